@@ -25,6 +25,7 @@ from .patterns import WORD_BITS, Patterns
 COUNTERS_PER_SCAN = 16_000_000
 CELLS_PER_PRODUCT = 256
 ROWS_PER_PRODUCT = 4096
+HEAVY_SCAN = 5_000_000_000
 
 
 @dataclass(frozen=True)
@@ -162,6 +163,11 @@ def cell_counts(
     per_scan = max(1, COUNTERS_PER_SCAN // ((candidates.shape[1] + 1) * (C + 1)))
     schema = "cell int, fid int, rank int, " + ", ".join(f"{n} bigint" for n in _names(C))
     source = patterns.df.select(*patterns.words, *patterns.counts)
+    products = patterns.n_patterns * len(cells) * (candidates.shape[1] + 1) * (C + 1)
+    tasks = patterns.df.sparkSession.sparkContext.defaultParallelism
+    if products > HEAVY_SCAN and patterns.n_patterns < ROWS_PER_PRODUCT * 16 * tasks:
+        # A small table in few files, but much work per row: use all cores.
+        source = source.repartition(tasks)
     partial = None
     for start in range(0, len(cells), per_scan):
         stop = min(len(cells), start + per_scan)

@@ -37,6 +37,7 @@ class Patterns:
     n_classes: int
     class_counts: tuple[int, ...]
     minority: int
+    n_patterns: int = 0
 
     @property
     def n_rows(self) -> int:
@@ -70,5 +71,6 @@ def compact(
     row = kept.agg(
         *[F.coalesce(F.sum(c), F.lit(0)) for c in counts],
         F.coalesce(F.sum(minority_count(counts)), F.lit(0)),
+        F.count("*"),
     ).first()
-    return Patterns(kept, len(tests), n_classes, tuple(row[:-1]), row[-1])
+    return Patterns(kept, len(tests), n_classes, tuple(row[:-2]), row[-2], row[-1])
