@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Output orders of models, data sets and modes.
-MODEL_ORDER = ["cart", "split-greedy", "split-optimal", "resplit"]
+MODEL_ORDER = ["cart", "lookahead-greedy", "lookahead-optimal", "treeset"]
 DATASET_ORDER = [
     "adult", "bank", "compass", "german", "heloc", "spambase",
     "covertype", "thyroid", "communities", "heart", "lawschool", "acsincome",
@@ -18,9 +18,9 @@ MODES = ["nofair", "fair", "lpfr"]
 # Parameters of the published experiment grid.
 MODEL_PARAMETERS = {
     "cart": {"max_depth": "5"},
-    "split-greedy": {"budget": "5", "reg": "0.0001", "lookahead": "2", "max_features": "50"},
-    "split-optimal": {"budget": "5", "reg": "0.0001", "lookahead": "2"},
-    "resplit": {"budget": "5", "reg": "0.0001", "lookahead": "2", "n_prefixes": "30", "tolerance": "0.02"},
+    "lookahead-greedy": {"budget": "5", "reg": "0.0001", "lookahead": "2", "max_features": "50"},
+    "lookahead-optimal": {"budget": "5", "reg": "0.0001", "lookahead": "2"},
+    "treeset": {"budget": "5", "reg": "0.0001", "lookahead": "2", "n_prefixes": "30", "tolerance": "0.02"},
 }
 REPAIR_PARAMETERS = {"fair_metric": "dp", "fair_lambda": "1.0", "acc_budget": "0.02"}
 
@@ -63,7 +63,7 @@ def run_identity(
 ) -> tuple[Column, Column]:
     """The display name and the mode of a run, out of its parameters."""
     shown = F.when(
-        model == "split", F.concat(F.lit("split-"), F.coalesce(leaf_fill, F.lit("greedy")))
+        model == "lookahead", F.concat(F.lit("lookahead-"), F.coalesce(leaf_fill, F.lit("greedy")))
     ).otherwise(model)
     mode = (
         F.when(~fair, F.lit("nofair")).when(fair_post == "leaf_pareto", F.lit("lpfr"))

@@ -45,12 +45,12 @@ def fit_model(config: RunConfig, data: Prepared) -> Tree:
     tests = fit_binary_features(
         data.train, data.label, f.numeric, f.categorical, data.n_classes, config.binarizer
     )
-    if config.model in ("split-greedy", "split-optimal"):
+    if config.model in ("lookahead-greedy", "lookahead-optimal"):
         fill = config.model.split("-")[1]
         return lookahead_tree(data.train, data.label, tests, data.n_classes, leaf_fill=fill, **p)
-    if config.model == "licketysplit":
+    if config.model == "rollout":
         return rollout_tree(data.train, data.label, tests, data.n_classes, **p)
-    if config.model == "resplit":
+    if config.model == "treeset":
         return near_optimal_trees(data.train, data.label, tests, data.n_classes, seed=config.seed, **p)[0]
     raise ValueError(f"unknown model {config.model!r}")
 

@@ -20,7 +20,7 @@ BLOCK_START = r"(?m)(?=^Fairness [-—] .+:\r?$)"
 BLOCK_HEADER = r"^Fairness [-—] (.+?)(?: \((calibrated|LPFR)\))?:$"
 REPAIRED_ACCURACY = r"(Calibrated|LPFR) accuracy:\s+([0-9.]+)\s+\(was\s+[0-9.]+\s*,\s*(?:delta|Δ)=.+\)"
 FAIR_MARKERS = r"FairPreprocess|FairCalibrate|LeafPareto|LPFR accuracy"
-FILE_NAME = r"^(cart|split-greedy|split-optimal|licketysplit|resplit)-(.+?)-d(\d+)-(bin|raw)-(nofair|fair|lpfr)(?:-(.+))?\.log$"
+FILE_NAME = r"^(.+)-([^-]+)-d(\d+)-(bin|raw)-(nofair|fair|lpfr)(?:-(.+))?\.log$"
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
