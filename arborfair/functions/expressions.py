@@ -42,9 +42,14 @@ def is_category(column: str, category: str) -> Column:
 
 def gini(counts: list[Column], n: Column | None = None) -> Column:
     """Gini impurity of a vector of class counts; 0 for an empty node."""
-    n = total(counts) if n is None else n
-    squares = total([(c / n) * (c / n) for c in counts])
-    return F.when(n > 0, 1.0 - squares).otherwise(F.lit(0.0))
+    n = (total(counts) if n is None else n).cast("double")
+    return F.when(n > 0, 1.0 - squares(counts) / (n * n)).otherwise(F.lit(0.0))
+
+
+def squares(counts: list[Column]) -> Column:
+    """Sum of squared counts, as double because a squared count can pass the range of bigint."""
+    doubles = [c.cast("double") for c in counts]
+    return total([c * c for c in doubles])
 
 
 def variance(n: Column, s: Column, ss: Column) -> Column:
@@ -52,23 +57,27 @@ def variance(n: Column, s: Column, ss: Column) -> Column:
     return F.when(n > 0, F.greatest(ss / n - (s / n) * (s / n), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
+def x_log_x(x: Column) -> Column:
+    return F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
+
+
 def entropy(counts: list[Column], n: Column | None = None) -> Column:
     """Base-2 entropy of a vector of class counts; 0 for an empty node."""
     n = total(counts) if n is None else n
-    terms = [
-        F.when(c > 0, -(c / n) * F.log2(c / n)).otherwise(F.lit(0.0)) for c in counts
-    ]
-    return F.when(n > 0, total(terms)).otherwise(F.lit(0.0))
+    return F.when(n > 0, F.log2(n) - total([x_log_x(c) for c in counts]) / n).otherwise(F.lit(0.0))
 
 
 def information_gain(left: list[Column], whole: list[Column]) -> Column:
-    """Entropy of ``whole`` minus the size-weighted entropy of ``left`` and the rest."""
+    """Entropy of ``whole`` minus the size-weighted entropy of ``left`` and the rest.
+
+    Written as sums of ``x log x`` over classes, so each count is used once.
+    """
     right = [w - l for w, l in zip(whole, left)]
-    n, n_left = total(whole), total(left)
-    n_right = n - n_left
-    return entropy(whole, n) - (
-        (n_left / n) * entropy(left, n_left) + (n_right / n) * entropy(right, n_right)
-    )
+
+    def spread(counts: list[Column]) -> Column:
+        return x_log_x(total(counts)) - total([x_log_x(c) for c in counts])
+
+    return (spread(whole) - spread(left) - spread(right)) / total(whole)
 
 
 def majority(counts: list[Column]) -> Column:

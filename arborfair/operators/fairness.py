@@ -261,13 +261,13 @@ def override_scores(
         F.map_from_entries(F.collect_list(F.struct("group", "change"))).alias("delta")
     )
     means = F.transform(
-        all_groups,
+        "groups",
         lambda g: (g["g_pos"] + F.coalesce(F.try_element_at("delta", g["group"]), F.lit(0))) / g["g_n"],
     )
     spread = F.when(F.size(means) >= 2, F.array_max(means) - F.array_min(means)).otherwise(F.lit(0.0))
-    now_means = F.transform(all_groups, lambda g: g["g_pos"] / g["g_n"])
+    now_means = F.transform("groups", lambda g: g["g_pos"] / g["g_n"])
     now = F.when(F.size(now_means) >= 2, F.array_max(now_means) - F.array_min(now_means)).otherwise(F.lit(0.0))
-    scored = errors.join(changes, ["leaf_id", "candidate"]).select(
+    scored = errors.join(changes, ["leaf_id", "candidate"]).withColumn("groups", all_groups).select(
         "leaf_id", "candidate",
         ((wrong_now - F.col("before") + F.col("after") - F.lit(base_errors)) / n_rows).alias("acc_drop"),
         spread.alias("gap"), (now - spread).alias("gain"),

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import SCORE_DIGITS, gini, total, variance
+from ..functions.expressions import SCORE_DIGITS, gini, squares, total, variance
 from ..functions.ranks import long_values, running_sums
 
 
@@ -54,26 +54,32 @@ def node_statistics(df: DataFrame, y: str, stats: Statistics) -> DataFrame:
     return df.groupBy("node").agg(*stats.aggregates(y))
 
 
+def split_gain(l: list[Column], w: list[Column], stats: Statistics) -> tuple[Column, Column]:
+    """The impurity a split removes, and the rounded score by which splits are compared."""
+    r = [b - a for a, b in zip(l, w)]
+    n, n_left, n_right = (stats.size(s).cast("double") for s in (w, l, r))
+    if stats.n_classes is None:
+        parent = stats.impurity(w)
+        gain = parent - (n_left / n) * stats.impurity(l) - (n_right / n) * stats.impurity(r)
+        # Compared relative to the parent: variances have the unit of the target squared.
+        return gain, F.when(parent > 0, F.round(gain / parent, SCORE_DIGITS)).otherwise(F.lit(0.0))
+    # The weighted Gini impurities, with the ones cancelled.
+    gain = (squares(l) / n_left + squares(r) / n_right - squares(w) / n) / n
+    return gain, F.round(gain, SCORE_DIGITS)
+
+
 def _score(candidates: DataFrame, totals: DataFrame, stats: Statistics, left: list[str],
            min_leaf: int) -> DataFrame:
     """Join the node totals (one row per open node) and add the gain of each candidate."""
     whole = [f"w{i}" for i in range(len(left))]
     renamed = totals.select("node", *[F.col(n).alias(w) for n, w in zip(stats.names, whole)])
-    l = [F.col(c) for c in left]
-    w = [F.col(c) for c in whole]
-    r = [b - a for a, b in zip(l, w)]
-    n, n_left, n_right = stats.size(w), stats.size(l), stats.size(r)
-    parent = stats.impurity(w)
-    gain = parent - ((n_left / n) * stats.impurity(l) + (n_right / n) * stats.impurity(r))
-    if stats.n_classes is None:
-        # Compared relative to the parent: variances have the unit of the target squared.
-        rounded = F.when(parent > 0, F.round(gain / parent, SCORE_DIGITS)).otherwise(F.lit(0.0))
-    else:
-        rounded = F.round(gain, SCORE_DIGITS)
+    l, w = [F.col(c) for c in left], [F.col(c) for c in whole]
+    gain, score = split_gain(l, w, stats)
+    n_left = stats.size(l)
     return (
         candidates.join(F.broadcast(renamed), "node")  # at most 2 ** depth rows
-        .where((n_left >= min_leaf) & (n_right >= min_leaf))
-        .select(candidates["*"], gain.alias("gain"), rounded.alias("score"))
+        .where((n_left >= min_leaf) & (stats.size(w) - n_left >= min_leaf))
+        .select(candidates["*"], gain.alias("gain"), score.alias("score"))
         .where(F.col("score") > 0)
     )
 
@@ -120,29 +126,50 @@ def category_statistics(df: DataFrame, columns: list[str], y: str, stats: Statis
 def best_category_prefix(
     per_category: DataFrame, totals: DataFrame, stats: Statistics, min_leaf: int
 ) -> DataFrame:
-    """Two classes or regression: cut the categories ordered by target mean, then by name."""
-    mean = F.round(stats.mean([F.col(s) for s in stats.names]), SCORE_DIGITS)
-    keyed = per_category.withColumn("key", F.struct(mean.alias("mean"), "category")).withColumn(
-        "one", F.lit(1)
-    )
-    running = running_sums(
-        keyed, ["node", "feature"], "key", [*stats.names, "one"], False
-    ).where(F.col("next_key").isNotNull())
-    left = [f"l{i}" for i in range(len(stats.names))]
-    cut = running.select(
-        "node", "feature", F.col("cum_one").alias("size"),
-        *[F.col(f"cum_{s}").alias(l) for s, l in zip(stats.names, left)],
+    """Two classes or regression: cut the categories ordered by target mean, then by name.
+
+    The categories of one node and feature (a bounded number) become one sorted array, which is
+    swept once with running sums.
+    """
+    names = stats.names
+    left = [f"l{i}" for i in range(len(names))]
+    whole = [f"w{i}" for i in range(len(names))]
+    mean = F.round(stats.mean([F.col(s) for s in names]), SCORE_DIGITS)
+    item = F.struct(mean.alias("mean"), "category", *[F.col(s).cast("double").alias(s) for s in names])
+    arrays = per_category.groupBy("node", "feature").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    renamed = totals.select("node", *[F.col(n).cast("double").alias(w) for n, w in zip(names, whole)])
+    joined = arrays.join(F.broadcast(renamed), "node")
+    w = [F.col(c) for c in whole]
+
+    zero = F.lit(0.0)
+    start = F.struct(
+        F.lit(0).alias("i"), *[zero.alias(s) for s in names], F.lit(0).alias("size"),
+        zero.alias("score"), zero.alias("gain"), *[zero.alias(c) for c in left],
     )
-    scored = _score(cut, totals, stats, left, min_leaf)
-    best = scored.groupBy("node", "feature").agg(
-        F.max_by(F.struct("*"), F.struct("score", -F.col("size"))).alias("_b")
-    ).select("_b.*")
-    ordered = keyed.groupBy("node", "feature").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    return best.join(ordered, ["node", "feature"]).select(
-        "node", "feature", "gain", "score", *left,
-        F.array_sort(F.transform(F.slice("keys", F.lit(1), F.col("size").cast("int")), lambda k: k["category"])).alias(
-            "left_categories"
-        ),
+
+    def step(acc: Column, x: Column) -> Column:
+        sums = [acc[s] + x[s] for s in names]
+        i = acc["i"] + 1
+        gain, score = split_gain(sums, w, stats)
+        n_left = stats.size(sums)
+        fits = (i < F.size("items")) & (n_left >= min_leaf) & (stats.size(w) - n_left >= min_leaf)
+        better = F.when(fits, score > acc["score"]).otherwise(F.lit(False))
+
+        def pick(new: Column, old: str) -> Column:
+            return F.when(better, new).otherwise(acc[old]).alias(old)
+
+        return F.struct(
+            i.alias("i"), *[v.alias(s) for v, s in zip(sums, names)], pick(i, "size"),
+            pick(score, "score"), pick(gain, "gain"), *[pick(v, c) for v, c in zip(sums, left)],
+        )
+
+    swept = joined.withColumn("best", F.aggregate("items", start, step)).where("best.size > 0")
+    kind = "double" if stats.n_classes is None else "bigint"
+    return swept.select(
+        "node", "feature", "best.gain", "best.score",
+        *[F.col(f"best.{c}").cast(kind).alias(c) for c in left],
+        F.array_sort(F.transform(F.slice("items", F.lit(1), F.col("best.size")), lambda k: k["category"])).alias(
+            "left_categories"),
     )
 
 

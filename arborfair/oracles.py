@@ -379,8 +379,8 @@ bits AS (SELECT combos.id, tests.fid, n0, n1, hits.id IS NOT NULL AS v FROM comb
 pairs AS (SELECT x.fid AS f, x.v AS side, z.fid AS g, sum(x.n0) FILTER (z.v) AS p, sum(x.n1) FILTER (z.v) AS q, sum(x.n0) AS a, sum(x.n1) AS b
   FROM bits x JOIN bits z ON x.id = z.id GROUP BY 1, 2, 3),
 pz AS (SELECT f, side, g, coalesce(p, 0) AS p, coalesce(q, 0) AS q, a, b FROM pairs),
-one AS (SELECT DISTINCT f, side, least(a, b) / n + 0.001 AS leaf FROM pz, tot),
-two AS (SELECT f, side, g, (least(p, q) + least(a - p, b - q)) / n + 0.002 AS loss FROM pz, tot WHERE p + q > 0 AND p + q < a + b),
+one AS (SELECT DISTINCT f, side, least(pz.a, pz.b) / n + 0.001 AS leaf FROM pz, tot),
+two AS (SELECT f, side, g, (least(p, q) + least(pz.a - p, pz.b - q)) / n + 0.002 AS loss FROM pz, tot WHERE p + q > 0 AND p + q < pz.a + pz.b),
 bt AS (SELECT f, side, g, loss, row_number() OVER (PARTITION BY f, side ORDER BY round(loss, 12), g) AS r FROM two),
 sub AS (SELECT one.f, one.side, CASE WHEN round(loss, 12) < round(leaf, 12) THEN loss ELSE leaf END AS loss,
   CASE WHEN round(loss, 12) < round(leaf, 12) THEN g ELSE -1 END AS g FROM one LEFT JOIN bt ON bt.f = one.f AND bt.side = one.side AND r = 1),

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 
 from ..operators import cleaning
 from ..operators.fairness import drop_sensitive, sensitive_group
-from ..operators.split import train_test_split
+from ..operators.split import mark_test_rows
 from ..operators.target import prepare_target
+from ..session import Scratch
 from ..sources.tables import FeatureSpec, infer_features
 
 Step = Callable[[DataFrame], DataFrame]
@@ -100,9 +101,13 @@ class Prepared:
 
 
 def prepare(
-    recipe: Recipe, df: DataFrame, test_size: float = 0.2, seed: int = 42, fair: bool = False
+    recipe: Recipe, df: DataFrame, test_size: float = 0.2, seed: int = 42, fair: bool = False,
+    scratch: Scratch | None = None,
 ) -> Prepared:
-    """Recipe, label coding, sensitive groups, optional removal of sensitive features, split."""
+    """Recipe, label coding, sensitive groups, optional removal of sensitive features, split.
+
+    With a ``scratch`` the split rows are written once and both parts are read from there.
+    """
     data = apply(recipe, df)
     table, target = prepare_target(data.df, data.label)
     groups: dict[str, str] = {}
@@ -113,5 +118,9 @@ def prepare(
         groups[column] = f"group_{column}"
         table = table.withColumn(groups[column], sensitive_group(table, column))
     features = drop_sensitive(data.features, list(groups)) if fair else data.features
-    train, test = train_test_split(table, data.label, data.row_id, test_size, seed)
+    columns = dict.fromkeys([*data.row_id, data.label, *features.all, *groups.values()])
+    marked = mark_test_rows(table.select(*columns), data.label, data.row_id, test_size, seed)
+    if scratch is not None:
+        marked = scratch.keep(marked, "prepared")
+    train, test = marked.where("NOT is_test").drop("is_test"), marked.where("is_test").drop("is_test")
     return Prepared(train, test, data.label, features, groups, len(target.classes), data.row_id)

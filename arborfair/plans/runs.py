@@ -130,8 +130,9 @@ def flatten_metrics(nested: DataFrame, keys: Sequence[str], metrics: str) -> Dat
 def merge_with_fallback(fair: DataFrame, nofair: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The fair result of each key, or the nofair one where there is none; ``source`` says which."""
     values = [c for c in fair.columns if c not in keys]
-    f = fair.select(*keys, F.struct(*values).alias("_f"))
-    n = nofair.select(*keys, F.struct(*values).alias("_n"))
+    row = F.struct(*[F.col(f"`{c}`") for c in values])
+    f = fair.select(*keys, row.alias("_f"))
+    n = nofair.select(*keys, row.alias("_n"))
     both = f.join(n, list(keys), "full_outer")
     return both.select(
         *keys, F.coalesce("_f", "_n").alias("_v"),

@@ -14,6 +14,7 @@ from ..operators.lookahead import BinarizerOptions, fit_binary_features, lookahe
 from ..operators.rollout import rollout_tree
 from ..operators.tree import Tree
 from ..operators.treeset import near_optimal_trees
+from ..session import Scratch
 from .recipe import Prepared, Recipe, prepare
 
 METRICS_SCHEMA = "metric string, value double"
@@ -101,17 +102,25 @@ def fairness_report(
 
 
 def train_and_evaluate(recipe: Recipe, table: DataFrame, config: RunConfig) -> tuple[Tree, DataFrame]:
-    """The fitted tree and its test metrics in long form (``metric, value``)."""
+    """The fitted tree and its test metrics in long form (``metric, value``).
+
+    The prepared rows are written once, because the learner reads them once per level.
+    """
     if config.mode not in ("nofair", "fair", "lpfr"):
         raise ValueError(f"unknown mode {config.mode!r}")
-    data = prepare(recipe, table, config.test_size, config.seed, fair=config.mode != "nofair")
-    started = time.perf_counter()
-    tree = fit_model(config, data)
-    elapsed = time.perf_counter() - started
-    test = tree.score(data.test, leaf="leaf_id")
-    train = tree.score(data.train, leaf="leaf_id")
-    quality = metrics.classification_metrics(test, data.label, "prediction", data.train).select(
-        F.col("accuracy").alias("test_accuracy"), "majority_baseline",
-        F.lit(elapsed).alias("training_time_s"), F.lit(float(tree.num_leaves())).alias("n_leaves"),
-    ).unpivot([], ["test_accuracy", "majority_baseline", "training_time_s", "n_leaves"], "metric", "value")
-    return tree, quality.unionByName(fairness_report(test, train, data, tree, config))
+    spark = table.sparkSession
+    with Scratch(spark) as scratch:
+        data = prepare(recipe, table, config.test_size, config.seed, config.mode != "nofair", scratch)
+        started = time.perf_counter()
+        tree = fit_model(config, data)
+        elapsed = time.perf_counter() - started
+        test = tree.score(data.test, leaf="leaf_id")
+        train = tree.score(data.train, leaf="leaf_id")
+        quality = metrics.classification_metrics(test, data.label, "prediction", data.train).select(
+            F.col("accuracy").alias("test_accuracy"), "majority_baseline",
+            F.lit(elapsed).alias("training_time_s"), F.lit(float(tree.num_leaves())).alias("n_leaves"),
+        ).unpivot(
+            [], ["test_accuracy", "majority_baseline", "training_time_s", "n_leaves"], "metric", "value"
+        )
+        report = quality.unionByName(fairness_report(test, train, data, tree, config))
+        return tree, spark.createDataFrame(report.collect(), METRICS_SCHEMA)
