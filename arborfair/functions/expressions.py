@@ -29,55 +29,70 @@ def nan_to_null(column: Column) -> Column:
     return F.when(~F.isnan(column), column)
 
 
-def at_most(column: str, threshold: float) -> Column:
-    """``column <= threshold``; false for null and NaN."""
-    value = F.col(column).cast("double")
-    return F.coalesce(value <= F.lit(float(threshold)), F.lit(False))
+def quoted(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def is_category(column: str, category: str) -> Column:
-    """``column = category``; false for null and for a category never seen."""
-    return F.coalesce(F.col(column) == F.lit(category), F.lit(False))
+def text_literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def gini(counts: list[Column], n: Column | None = None) -> Column:
-    """Gini impurity of a vector of class counts; 0 for an empty node."""
-    n = (total(counts) if n is None else n).cast("double")
-    return F.when(n > 0, 1.0 - squares(counts) / (n * n)).otherwise(F.lit(0.0))
+def at_most(column: str, threshold: float) -> str:
+    """``column <= threshold`` as SQL text; false for null and NaN."""
+    return f"coalesce(double({quoted(column)}) <= {float(threshold)!r}D, false)"
+
+
+def is_category(column: str, category: str) -> str:
+    """``column = category`` as SQL text; false for null and for a category never seen."""
+    return f"coalesce({quoted(column)} = {text_literal(category)}, false)"
+
+
+# The functions from here to ``information_gain`` take and return SQL text.  A score over many
+# classes has hundreds of operators; as text it is parsed once instead of built call by call.
 
 
-def squares(counts: list[Column]) -> Column:
+def plus(terms: list[str]) -> str:
+    return "(" + " + ".join(terms) + ")"
+
+
+def squares(counts: list[str]) -> str:
     """Sum of squared counts, as double because a squared count can pass the range of bigint."""
-    doubles = [c.cast("double") for c in counts]
-    return total([c * c for c in doubles])
+    return plus([f"double({c}) * double({c})" for c in counts])
+
+
+def gini(counts: list[str]) -> str:
+    """Gini impurity of a vector of class counts; 0 for an empty node."""
+    n = f"double({plus(counts)})"
+    return f"if({n} > 0, 1.0D - {squares(counts)} / ({n} * {n}), 0.0D)"
 
 
-def variance(n: Column, s: Column, ss: Column) -> Column:
+def variance(n: str, s: str, ss: str) -> str:
     """Population variance out of the count, the sum and the sum of squares."""
-    return F.when(n > 0, F.greatest(ss / n - (s / n) * (s / n), F.lit(0.0))).otherwise(F.lit(0.0))
+    return f"if({n} > 0, greatest({ss} / {n} - ({s} / {n}) * ({s} / {n}), 0.0D), 0.0D)"
 
 
-def x_log_x(x: Column) -> Column:
-    return F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
+def x_log_x(x: str) -> str:
+    return f"if({x} > 0, {x} * log2({x}), 0.0D)"
 
 
-def entropy(counts: list[Column], n: Column | None = None) -> Column:
+def entropy(counts: list[str]) -> str:
     """Base-2 entropy of a vector of class counts; 0 for an empty node."""
-    n = total(counts) if n is None else n
-    return F.when(n > 0, F.log2(n) - total([x_log_x(c) for c in counts]) / n).otherwise(F.lit(0.0))
+    n = plus(counts)
+    return f"if({n} > 0, log2({n}) - {plus([x_log_x(c) for c in counts])} / {n}, 0.0D)"
 
 
-def information_gain(left: list[Column], whole: list[Column]) -> Column:
+def information_gain(left: list[str], whole: list[str]) -> str:
     """Entropy of ``whole`` minus the size-weighted entropy of ``left`` and the rest.
 
     Written as sums of ``x log x`` over classes, so each count is used once.
     """
-    right = [w - l for w, l in zip(whole, left)]
+    right = [f"({w} - {l})" for w, l in zip(whole, left)]
 
-    def spread(counts: list[Column]) -> Column:
-        return x_log_x(total(counts)) - total([x_log_x(c) for c in counts])
+    def spread(counts: list[str]) -> str:
+        return f"({x_log_x(plus(counts))} - {plus([x_log_x(c) for c in counts])})"
 
-    return (spread(whole) - spread(left) - spread(right)) / total(whole)
+    return f"({spread(whole)} - {spread(left)} - {spread(right)}) / {plus(whole)}"
 
 
 def majority(counts: list[Column]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .expressions import seeded_hash
+from .expressions import quoted, seeded_hash
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 20_000
@@ -36,32 +36,25 @@ def long_values(
     df: DataFrame, columns: list[str], edges: dict[str, list[float]], carry: list[str]
 ) -> DataFrame:
     """One row per non-missing number: ``carry.., feature (position), value, bucket``."""
-    wide = df.select(
-        *carry,
-        *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"_v{i}") for i, c in enumerate(columns)],
+    wide = df.selectExpr(
+        *[quoted(c) for c in carry],
+        *[f"nanvl(double({quoted(c)}), NULL) AS _v{i}" for i, c in enumerate(columns)],
     )
-    buckets: list[Column] = []
+    buckets = []
     for i, c in enumerate(columns):
         if edges[c]:
             splits = [-math.inf, *edges[c], math.inf]
             wide = Bucketizer(
                 splits=splits, inputCol=f"_v{i}", outputCol=f"_b{i}", handleInvalid="keep"
             ).transform(wide)
-            buckets.append(F.col(f"_b{i}").cast("int"))
-        else:
-            buckets.append(F.lit(0))
-    cells = [
-        F.struct(
-            F.lit(i).alias("feature"),
-            F.col(f"_v{i}").alias("value"),
-            buckets[i].alias("bucket"),
-        )
-        for i in range(len(columns))
-    ]
-    long = wide.select(*carry, F.explode(F.array(*cells)).alias("_cell"))
-    return long.select(*carry, "_cell.feature", "_cell.value", "_cell.bucket").where(
-        F.col("value").isNotNull()
+        buckets.append(f"int(_b{i})" if edges[c] else "0")
+    cells = ", ".join(
+        f"struct({i} AS feature, _v{i} AS value, {b} AS bucket)" for i, b in enumerate(buckets)
     )
+    names = [quoted(c) for c in carry]
+    return wide.selectExpr(*names, f"explode(array({cells})) AS _cell").selectExpr(
+        *names, "_cell.feature", "_cell.value", "_cell.bucket"
+    ).where("value IS NOT NULL")
 
 
 def running_sums(
@@ -73,30 +66,29 @@ def running_sums(
     never decreases along ``order``.
     """
     group = [*keys, "bucket"] if bucketed else keys
-    inside = Window.partitionBy(*group).orderBy(order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = df.select(
+    inside = f"(PARTITION BY {', '.join(group)} ORDER BY {order}"
+    upto = f"{inside} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    local = df.selectExpr(
         "*",
-        *[F.sum(s).over(upto).alias(f"cum_{s}") for s in sums],
-        F.lead(order).over(inside).alias(f"next_{order}"),
+        *[f"sum({s}) OVER {upto} AS cum_{s}" for s in sums],
+        f"lead({order}) OVER {inside}) AS next_{order}",
     )
     if not bucketed:
         return local
-    across = Window.partitionBy(*keys).orderBy("bucket")
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    across = f"(PARTITION BY {', '.join(keys)} ORDER BY bucket"
+    before = f"{across} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     totals = df.groupBy(*group).agg(
         *[F.sum(s).alias(f"_{s}") for s in sums], F.min(order).alias("_first")
     )
-    offsets = totals.select(
+    offsets = totals.selectExpr(
         *group,
-        *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
-        F.lead("_first").over(across).alias("_next"),
+        *[f"coalesce(sum(_{s}) OVER {before}, 0) AS _off_{s}" for s in sums],
+        f"lead(_first) OVER {across}) AS _next",
     )
-    joined = local.join(offsets, group)
-    return joined.select(
+    return local.join(offsets, group).selectExpr(
         *df.columns,
-        *[(F.col(f"cum_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums],
-        F.coalesce(f"next_{order}", "_next").alias(f"next_{order}"),
+        *[f"cum_{s} + _off_{s} AS cum_{s}" for s in sums],
+        f"coalesce(next_{order}, _next) AS next_{order}",
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +26,8 @@ class BinaryFeature:
     category: str | None
     name: str
 
-    def test(self) -> Column:
+    def test(self) -> str:
+        """The condition as SQL text; false for null, NaN and unseen categories."""
         if self.op == "<=":
             return at_most(self.column, self.threshold)
         return is_category(self.column, self.category)
@@ -48,7 +49,7 @@ class BinaryFeatures:
     def names(self) -> list[str]:
         return [f.name for f in self.features]
 
-    def tests(self) -> list[Column]:
+    def tests(self) -> list[str]:
         return [f.test() for f in self.features]
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -57,7 +58,7 @@ class BinaryFeatures:
 
     def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
         """``keep`` plus one 0/1 column per feature, named as the feature is."""
-        return df.select(*keep, *[f.test().cast("int").alias(f.name) for f in self.features])
+        return df.select(*keep, *[F.expr(f.test()).cast("int").alias(f.name) for f in self.features])
 
     def feature_map(self) -> dict[int, list[int]]:
         """Position of each input column -> the binary features made from it."""

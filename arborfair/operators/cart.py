@@ -117,10 +117,7 @@ def fit_cart(
 
 def _route_open(nodes: dict[str, TreeNode], ids: dict[str, int]) -> Column:
     """The number of the open node a row has reached; null in a finished leaf."""
-    def leaf(node: TreeNode) -> Column:
-        return F.lit(ids.get(node.path)).cast("int")
-
-    return Tree(nodes, "LR")._route(leaf)
+    return F.expr(Tree(nodes, "LR").route(lambda n: f"int({ids.get(n.path, 'NULL')})"))
 
 
 def fit_cart_on_tests(
@@ -134,7 +131,7 @@ def fit_cart_on_tests(
     """
     features = fit_midpoints(df, numeric, categorical, max_thresholds)
     names = [f"_t{i}" for i in range(len(features))]
-    wide = df.select(label, *[t.cast("int").alias(n) for t, n in zip(features.tests(), names)])
+    wide = df.select(label, *[F.expr(t).cast("int").alias(n) for t, n in zip(features.tests(), names)])
     tree = fit_cart(wide, label, names, [], **kw)
     swap = str.maketrans("LR", "RL")
     nodes = {}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import SCORE_DIGITS, information_gain, total
+from ..functions.expressions import SCORE_DIGITS, information_gain, plus
 from .patterns import WORD_BITS, Patterns
 
 # Counters one task may hold (8 bytes each); more cells are counted by further scans.
@@ -180,23 +180,26 @@ def cell_counts(
     return partial.groupBy("cell", "fid", "rank").agg(*[F.sum(n).alias(n) for n in _names(C)])
 
 
+def _splitting(counts: DataFrame, n_classes: int) -> tuple[list[str], list[str], DataFrame]:
+    """The true and overall counts, and the tests that send rows both ways."""
+    t = [f"t{c}" for c in range(n_classes)]
+    n = [f"n{c}" for c in range(n_classes)]
+    return t, n, counts.where(f"{plus(t)} > 0 AND {plus(t)} < {plus(n)}")
+
+
 def with_gain(counts: DataFrame, n_classes: int) -> DataFrame:
     """Keep the tests that send rows both ways and add their rounded information gain."""
-    t = [F.col(f"t{c}") for c in range(n_classes)]
-    n = [F.col(f"n{c}") for c in range(n_classes)]
-    gain = F.round(information_gain(t, n), SCORE_DIGITS)
-    return counts.where((total(t) > 0) & (total(t) < total(n))).withColumn("gain", gain)
+    t, n, kept = _splitting(counts, n_classes)
+    return kept.selectExpr("*", f"round({information_gain(t, n)}, {SCORE_DIGITS}) AS gain")
 
 
 def with_leaf_loss(counts: DataFrame, n_classes: int, n_rows: int, reg: float) -> DataFrame:
     """Keep the tests that send rows both ways and add the loss of splitting into two leaves."""
-    t = [F.col(f"t{c}") for c in range(n_classes)]
-    n = [F.col(f"n{c}") for c in range(n_classes)]
-    rest = [w - l for w, l in zip(n, t)]
-    wrong = (total(n) - F.greatest(*t, F.lit(0)) - F.greatest(*rest, F.lit(0)))
-    return counts.where((total(t) > 0) & (total(t) < total(n))).withColumn(
-        "loss", F.round(wrong / F.lit(float(n_rows)) + F.lit(2.0 * reg), SCORE_DIGITS)
-    )
+    t, n, kept = _splitting(counts, n_classes)
+    rest = [f"{w} - {l}" for w, l in zip(n, t)]
+    right = f"greatest(0, {', '.join(t)}) + greatest(0, {', '.join(rest)})"
+    loss = f"({plus(n)} - ({right})) / {float(n_rows)!r}D + {2.0 * reg!r}D"
+    return kept.selectExpr("*", f"round({loss}, {SCORE_DIGITS}) AS loss")
 
 
 def split_counts(row, n_classes: int) -> tuple[tuple[int, ...], int, tuple[int, ...], int]:

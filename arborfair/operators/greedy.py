@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import SCORE_DIGITS, information_gain, total
+from ..functions.expressions import SCORE_DIGITS, information_gain, plus
 from .cells import Cell, Order, cell_counts, split_counts, with_gain
 from .patterns import WORD_BITS, Patterns
 from .tree import count_errors, count_leaves, leaf_of, split_of
@@ -46,13 +46,10 @@ def feature_gains(patterns: Patterns) -> DataFrame:
         "_w.*",
         F.posexplode(F.array(*patterns.counts)).alias("label", "n"),
     ).where(F.col("n") > 0)
-    used = min(WORD_BITS, patterns.n_features)
+    bits = range(used := min(WORD_BITS, patterns.n_features))
     sums = by_class.groupBy("word", "label").agg(
         F.sum("n").alias("n"),
-        *[
-            F.sum(F.when(F.col("bits").bitwiseAND(F.lit(1 << b)) != 0, F.col("n")).otherwise(0)).alias(f"b{b}")
-            for b in range(used)
-        ],
+        *[F.expr(f"sum(if(bits & {1 << b}L != 0, n, 0L)) AS b{b}") for b in bits],
     )
     long = sums.select(
         "word", "label", "n", F.posexplode(F.array(*[f"b{b}" for b in range(used)])).alias("bit", "t")
@@ -60,17 +57,14 @@ def feature_gains(patterns: Patterns) -> DataFrame:
         F.col("fid") < patterns.n_features
     )
     classes = range(patterns.n_classes)
-    wide = long.groupBy("fid").agg(
-        *[F.coalesce(F.sum(F.when(F.col("label") == c, F.col("t"))), F.lit(0)).alias(f"t{c}") for c in classes],
-        *[F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in classes],
-    )
-    t, n = [F.col(f"t{c}") for c in classes], [F.col(f"n{c}") for c in classes]
-    constant = (total(t) == 0) | (total(t) == total(n))
-    return wide.select(
-        "fid",
-        F.when(constant, F.lit(-1.0)).otherwise(
-            F.round(information_gain(t, n), SCORE_DIGITS)
-        ).alias("gain"),
+    wide = long.groupBy("fid").agg(*[
+        F.expr(f"coalesce(sum({v}) FILTER (WHERE label = {c}), 0L) AS {v}{c}")
+        for v in ("t", "n") for c in classes
+    ])
+    t, n = [f"t{c}" for c in classes], [f"n{c}" for c in classes]
+    gain = f"round({information_gain(t, n)}, {SCORE_DIGITS})"
+    return wide.selectExpr(
+        "fid", f"if({plus(t)} = 0 OR {plus(t)} = {plus(n)}, -1.0D, {gain}) AS gain"
     )
 
 

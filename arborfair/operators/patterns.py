@@ -12,21 +12,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import total
+from ..functions.expressions import plus
 from ..session import Scratch
 
 WORD_BITS = 62
 
 
-def pack(tests: list[Column]) -> list[Column]:
+def pack(tests: list[str]) -> list[Column]:
     """The answers of up to 62 tests per column, test ``i`` in bit ``i % 62`` of word ``i // 62``."""
     words = []
     for start in range(0, len(tests), WORD_BITS):
-        bits = [
-            F.when(t, F.lit(1 << b)).otherwise(F.lit(0)).cast("long")
-            for b, t in enumerate(tests[start : start + WORD_BITS])
-        ]
-        words.append(total(bits).alias(f"w{len(words)}"))
+        part = tests[start : start + WORD_BITS]
+        bits = [f"if({t}, {1 << b}L, 0L)" for b, t in enumerate(part)]
+        words.append(F.expr(plus(bits)).alias(f"w{len(words)}"))
     return words
 
 
@@ -52,25 +50,28 @@ class Patterns:
         return [f"n{c}" for c in range(self.n_classes)]
 
 
-def minority_count(counts: list[Column]) -> Column:
-    """Rows of a pattern that no tree on these features can get right."""
-    return total(counts) - (F.greatest(*counts) if len(counts) > 1 else counts[0])
+def minority_count(counts: list[str]) -> str:
+    """Rows of a pattern that no tree on these features can get right (SQL text)."""
+    most = f"greatest({', '.join(counts)})" if len(counts) > 1 else counts[0]
+    return f"{plus(counts)} - {most}"
 
 
 def compact(
-    df: DataFrame, tests: list[Column], label: str, n_classes: int, scratch: Scratch
+    df: DataFrame, tests: list[str], label: str, n_classes: int, scratch: Scratch
 ) -> Patterns:
-    """Group the table by its answers and count each class.  Labels are 0..n_classes-1."""
+    """Group the table by its answers and count each class.  Labels are 0..n_classes-1.
+
+    ``tests`` are conditions as SQL text.
+    """
     packed = df.select(*pack(tests), F.col(label).cast("int").alias("_y"))
     words = [c for c in packed.columns if c != "_y"]
     grouped = packed.groupBy(*words).agg(
-        *[F.count_if(F.col("_y") == c).alias(f"n{c}") for c in range(n_classes)]
+        *[F.expr(f"count_if(_y = {c}) AS n{c}") for c in range(n_classes)]
     )
     kept = scratch.keep(grouped, "patterns")
-    counts = [F.col(f"n{c}") for c in range(n_classes)]
-    row = kept.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)) for c in counts],
-        F.coalesce(F.sum(minority_count(counts)), F.lit(0)),
-        F.count("*"),
+    counts = [f"n{c}" for c in range(n_classes)]
+    row = kept.selectExpr(
+        *[f"coalesce(sum({c}), 0L) AS {c}" for c in counts],
+        f"coalesce(sum({minority_count(counts)}), 0L) AS minority", "count(*) AS n",
     ).first()
     return Patterns(kept, len(tests), n_classes, tuple(row[:-2]), row[-2], row[-1])

@@ -12,39 +12,39 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import SCORE_DIGITS, gini, squares, total, variance
+from ..functions.expressions import SCORE_DIGITS, gini, plus, squares, variance
 from ..functions.ranks import long_values, running_sums
 
 
 @dataclass(frozen=True)
 class Statistics:
-    """The additive statistics of a node and the impurity computed from them."""
+    """The additive statistics of a node and the impurity computed from them (as SQL text)."""
 
     n_classes: int | None  # None: regression
 
     @property
     def names(self) -> list[str]:
-        if self.n_classes is None:
-            return ["s0", "s1", "s2"]
-        return [f"s{c}" for c in range(self.n_classes)]
+        return self.columns("s")
+
+    def columns(self, prefix: str) -> list[str]:
+        return [f"{prefix}{i}" for i in range(3 if self.n_classes is None else self.n_classes)]
 
     def aggregates(self, y: str) -> list[Column]:
         if self.n_classes is None:
-            v = F.col(y)
-            return [
-                F.count(v).cast("double").alias("s0"), F.sum(v).alias("s1"), F.sum(v * v).alias("s2")
-            ]
-        return [F.count_if(F.col(y) == c).alias(f"s{c}") for c in range(self.n_classes)]
+            texts = [f"double(count({y}))", f"sum({y})", f"sum({y} * {y})"]
+        else:
+            texts = [f"count_if({y} = {c})" for c in range(self.n_classes)]
+        return [F.expr(t).alias(s) for t, s in zip(texts, self.names)]
 
-    def size(self, s: list[Column]) -> Column:
-        return s[0] if self.n_classes is None else total(s)
+    def size(self, s: list[str]) -> str:
+        return s[0] if self.n_classes is None else plus(s)
 
-    def impurity(self, s: list[Column]) -> Column:
+    def impurity(self, s: list[str]) -> str:
         return variance(*s) if self.n_classes is None else gini(s)
 
-    def mean(self, s: list[Column]) -> Column:
+    def mean(self, s: list[str]) -> str:
         """The target mean that orders categories (two classes, or regression)."""
-        return s[1] / s[0] if self.n_classes is None else s[1] / total(s)
+        return f"{s[1]} / {self.size(s)}"
 
     def ordered_categories(self) -> bool:
         return self.n_classes is None or self.n_classes == 2
@@ -54,33 +54,39 @@ def node_statistics(df: DataFrame, y: str, stats: Statistics) -> DataFrame:
     return df.groupBy("node").agg(*stats.aggregates(y))
 
 
-def split_gain(l: list[Column], w: list[Column], stats: Statistics) -> tuple[Column, Column]:
+def split_gain(l: list[str], w: list[str], stats: Statistics) -> tuple[str, str]:
     """The impurity a split removes, and the rounded score by which splits are compared."""
-    r = [b - a for a, b in zip(l, w)]
-    n, n_left, n_right = (stats.size(s).cast("double") for s in (w, l, r))
+    r = [f"({b} - {a})" for a, b in zip(l, w)]
+    n, n_left, n_right = (f"double({stats.size(s)})" for s in (w, l, r))
     if stats.n_classes is None:
         parent = stats.impurity(w)
-        gain = parent - (n_left / n) * stats.impurity(l) - (n_right / n) * stats.impurity(r)
+        gain = f"({parent} - ({n_left} / {n}) * {stats.impurity(l)} - ({n_right} / {n}) * {stats.impurity(r)})"
         # Compared relative to the parent: variances have the unit of the target squared.
-        return gain, F.when(parent > 0, F.round(gain / parent, SCORE_DIGITS)).otherwise(F.lit(0.0))
+        return gain, f"if({parent} > 0, round({gain} / {parent}, {SCORE_DIGITS}), 0.0D)"
     # The weighted Gini impurities, with the ones cancelled.
-    gain = (squares(l) / n_left + squares(r) / n_right - squares(w) / n) / n
-    return gain, F.round(gain, SCORE_DIGITS)
+    gain = f"(({squares(l)} / {n_left} + {squares(r)} / {n_right} - {squares(w)} / {n}) / {n})"
+    return gain, f"round({gain}, {SCORE_DIGITS})"
 
 
-def _score(candidates: DataFrame, totals: DataFrame, stats: Statistics, left: list[str],
-           min_leaf: int) -> DataFrame:
-    """Join the node totals (one row per open node) and add the gain of each candidate."""
-    whole = [f"w{i}" for i in range(len(left))]
-    renamed = totals.select("node", *[F.col(n).alias(w) for n, w in zip(stats.names, whole)])
-    l, w = [F.col(c) for c in left], [F.col(c) for c in whole]
-    gain, score = split_gain(l, w, stats)
+def _both_sides(l: list[str], w: list[str], stats: Statistics, min_leaf: int) -> str:
     n_left = stats.size(l)
+    return f"{n_left} >= {min_leaf} AND {stats.size(w)} - {n_left} >= {min_leaf}"
+
+
+def _with_totals(df: DataFrame, totals: DataFrame, stats: Statistics) -> DataFrame:
+    """Add the statistics ``w0..`` of the row's node: at most 2 ** depth rows are broadcast."""
+    renamed = totals.selectExpr("node", *[f"{n} AS {w}" for n, w in zip(stats.names, stats.columns("w"))])
+    return df.join(F.broadcast(renamed), "node")
+
+
+def _score(candidates: DataFrame, totals: DataFrame, stats: Statistics, min_leaf: int) -> DataFrame:
+    """Add the gain of each candidate with left statistics ``l0..``; keep those that gain."""
+    l, w = stats.columns("l"), stats.columns("w")
+    gain, score = split_gain(l, w, stats)
     return (
-        candidates.join(F.broadcast(renamed), "node")  # at most 2 ** depth rows
-        .where((n_left >= min_leaf) & (stats.size(w) - n_left >= min_leaf))
-        .select(candidates["*"], gain.alias("gain"), score.alias("score"))
-        .where(F.col("score") > 0)
+        _with_totals(candidates, totals, stats).where(_both_sides(l, w, stats, min_leaf))
+        .selectExpr(*candidates.columns, f"{gain} AS gain", f"{score} AS score")
+        .where("score > 0")
     )
 
 
@@ -97,18 +103,17 @@ def numeric_candidates(
     running = running_sums(
         per_value, ["node", "feature"], "value", stats.names, any(edges.values())
     ).where(F.col("next_value").isNotNull())
-    left = [f"l{i}" for i in range(len(stats.names))]
-    cut = running.select(
-        "node", "feature", ((F.col("value") + F.col("next_value")) / 2.0).alias("threshold"),
-        *[F.col(f"cum_{s}").alias(l) for s, l in zip(stats.names, left)],
+    cut = running.selectExpr(
+        "node", "feature", "(value + next_value) / 2.0D AS threshold",
+        *[f"cum_{s} AS {l}" for s, l in zip(stats.names, stats.columns("l"))],
     )
-    return _score(cut, totals, stats, left, min_leaf)
+    return _score(cut, totals, stats, min_leaf)
 
 
 def best_numeric(candidates: DataFrame) -> DataFrame:
     """The best boundary per node and feature; the lowest threshold wins a tie."""
-    best = F.max_by(F.struct("*"), F.struct("score", -F.col("threshold")))
-    return candidates.groupBy("node", "feature").agg(best.alias("_b")).select("_b.*")
+    best = F.expr("max_by(struct(*), struct(score, -threshold)) AS _b")
+    return candidates.groupBy("node", "feature").agg(best).select("_b.*")
 
 
 def category_statistics(df: DataFrame, columns: list[str], y: str, stats: Statistics) -> DataFrame:
@@ -131,45 +136,30 @@ def best_category_prefix(
     The categories of one node and feature (a bounded number) become one sorted array, which is
     swept once with running sums.
     """
-    names = stats.names
-    left = [f"l{i}" for i in range(len(names))]
-    whole = [f"w{i}" for i in range(len(names))]
-    mean = F.round(stats.mean([F.col(s) for s in names]), SCORE_DIGITS)
-    item = F.struct(mean.alias("mean"), "category", *[F.col(s).cast("double").alias(s) for s in names])
-    arrays = per_category.groupBy("node", "feature").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    renamed = totals.select("node", *[F.col(n).cast("double").alias(w) for n, w in zip(names, whole)])
-    joined = arrays.join(F.broadcast(renamed), "node")
-    w = [F.col(c) for c in whole]
-
-    zero = F.lit(0.0)
-    start = F.struct(
-        F.lit(0).alias("i"), *[zero.alias(s) for s in names], F.lit(0).alias("size"),
-        zero.alias("score"), zero.alias("gain"), *[zero.alias(c) for c in left],
+    names, left, w = stats.names, stats.columns("l"), stats.columns("w")
+    mean = f"round({stats.mean(names)}, {SCORE_DIGITS})"
+    item = f"struct({mean} AS mean, category, {', '.join(f'double({s}) AS {s}' for s in names)})"
+    arrays = per_category.groupBy("node", "feature").agg(
+        F.expr(f"array_sort(collect_list({item})) AS items")
     )
-
-    def step(acc: Column, x: Column) -> Column:
-        sums = [acc[s] + x[s] for s in names]
-        i = acc["i"] + 1
-        gain, score = split_gain(sums, w, stats)
-        n_left = stats.size(sums)
-        fits = (i < F.size("items")) & (n_left >= min_leaf) & (stats.size(w) - n_left >= min_leaf)
-        better = F.when(fits, score > acc["score"]).otherwise(F.lit(False))
-
-        def pick(new: Column, old: str) -> Column:
-            return F.when(better, new).otherwise(acc[old]).alias(old)
-
-        return F.struct(
-            i.alias("i"), *[v.alias(s) for v, s in zip(sums, names)], pick(i, "size"),
-            pick(score, "score"), pick(gain, "gain"), *[pick(v, c) for v, c in zip(sums, left)],
-        )
-
-    swept = joined.withColumn("best", F.aggregate("items", start, step)).where("best.size > 0")
+    zeros = ", ".join(f"0.0D AS {c}" for c in [*names, "score", "gain", *left])
+    sums = [f"(a.{s} + x.{s})" for s in names]
+    gain, score = split_gain(sums, w, stats)
+    fits = f"a.i + 1 < size(items) AND {_both_sides(sums, w, stats, min_leaf)} AND {score} > a.score"
+    picks = [("a.i + 1", "size"), (score, "score"), (gain, "gain"), *zip(sums, left)]
+    best = f"aggregate(items, struct(0 AS i, {zeros}, 0 AS size), (a, x) -> {{}})"
+    # The accumulator keeps one field order: counters, sums, best so far.
+    order = ["i", *names, "score", "gain", *left, "size"]
+    fields = dict([("i", "a.i + 1"), *zip(names, sums), *[(old, f"if({fits}, {new}, a.{old})") for new, old in picks]])
+    step = "struct(" + ", ".join(f"{fields[f]} AS {f}" for f in order) + ")"
+    swept = _with_totals(arrays, totals, stats).selectExpr(
+        "node", "feature", "items", f"{best.format(step)} AS best"
+    ).where("best.size > 0")
     kind = "double" if stats.n_classes is None else "bigint"
-    return swept.select(
+    return swept.selectExpr(
         "node", "feature", "best.gain", "best.score",
-        *[F.col(f"best.{c}").cast(kind).alias(c) for c in left],
-        F.array_sort(F.transform(F.slice("items", F.lit(1), F.col("best.size")), lambda k: k["category"])).alias(
-            "left_categories"),
+        *[f"{kind}(best.{c}) AS {c}" for c in left],
+        "array_sort(transform(slice(items, 1, best.size), k -> k.category)) AS left_categories",
     )
 
 
@@ -191,16 +181,14 @@ def best_category_subset(
     members = numbered.withColumn(
         "mask", F.explode(F.expr("sequence(1, int(shiftleft(1, int(k))) - 1)"))
     ).where((F.bit_count("mask") <= F.floor(F.col("k") / 2)) & (bit == 1))
-    left = [f"l{i}" for i in range(len(stats.names))]
+    left = stats.columns("l")
     subsets = members.groupBy("node", "feature", "mask").agg(
         *[F.sum(s).alias(l) for s, l in zip(stats.names, left)],
-        F.array_sort(F.collect_list("category")).alias("left_categories"),
-    )
-    scored = _score(subsets, totals, stats, left, min_leaf)
-    order = F.struct("score", -F.bit_count("mask"), "mask")
-    return scored.groupBy("node", "feature").agg(F.max_by(F.struct("*"), order).alias("_b")).select(
-        "_b.node", "_b.feature", "_b.gain", "_b.score", *[f"_b.{l}" for l in left], "_b.left_categories"
+        F.expr("array_sort(collect_list(category)) AS left_categories"),
     )
+    best = F.expr("max_by(struct(*), struct(score, -bit_count(mask), mask)) AS _b")
+    found = _score(subsets, totals, stats, min_leaf).groupBy("node", "feature").agg(best)
+    return found.select("_b.*").select("node", "feature", "gain", "score", *left, "left_categories")
 
 
 def best_splits(
@@ -211,7 +199,7 @@ def best_splits(
 
     ``feature`` counts through the numeric, then the categorical columns.
     """
-    left = [f"l{i}" for i in range(len(stats.names))]
+    left = stats.columns("l")
     shape = ["node", "feature", "threshold", "left_categories", "gain", "score", *left]
     found = None
     if numeric:
@@ -228,5 +216,5 @@ def best_splits(
             "feature", F.col("feature") + len(numeric)
         ).select(shape)
         found = by_category if found is None else found.unionByName(by_category)
-    best = F.max_by(F.struct("*"), F.struct("score", -F.col("feature")))
-    return found.groupBy("node").agg(best.alias("_b")).select("_b.*")
+    best = F.expr("max_by(struct(*), struct(score, -feature)) AS _b")
+    return found.groupBy("node").agg(best).select("_b.*")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import at_most, quoted, text_literal
 from .binarize import BinaryFeatures
 
 NODE_SCHEMA = (
@@ -36,13 +38,12 @@ class TreeNode:
     def is_leaf(self) -> bool:
         return self.prediction is not None
 
-    def test(self) -> Column:
-        value = F.col(self.feature)
+    def test(self) -> str:
+        """The condition of the first branch as SQL text; false for missing values."""
         if self.is_numeric:
-            found = value.cast("double") <= F.lit(float(self.threshold))
-        else:
-            found = value.isin(list(self.left_categories))
-        return F.coalesce(found, F.lit(False))
+            return at_most(self.feature, self.threshold)
+        values = ", ".join(text_literal(c) for c in self.left_categories)
+        return f"coalesce({quoted(self.feature)} IN ({values}), false)"
 
 
 @dataclass
@@ -58,24 +59,23 @@ class Tree:
 
     # -- scoring -------------------------------------------------------------------
 
-    def _route(self, leaf, path: str = "") -> Column:
+    def route(self, leaf: Callable[[TreeNode], str], path: str = "") -> str:
+        """Nested IF as SQL text, with ``leaf(node)`` at the leaves."""
         node = self.nodes[path]
         if node.is_leaf:
             return leaf(node)
         first, second = self.branches
-        return F.when(node.test(), self._route(leaf, path + first)).otherwise(
-            self._route(leaf, path + second)
-        )
+        return f"if({node.test()}, {self.route(leaf, path + first)}, {self.route(leaf, path + second)})"
 
     def predict(self) -> Column:
-        """The prediction of a row: nested CASE WHEN, so no join, shuffle or Python at scoring."""
+        """The prediction of a row, so scoring needs no join, shuffle or Python."""
         if self.integer_labels:
-            return self._route(lambda n: F.lit(int(n.prediction)))
-        return self._route(lambda n: F.lit(float(n.prediction)))
+            return F.expr(self.route(lambda n: f"{int(n.prediction)}"))
+        return F.expr(self.route(lambda n: f"{float(n.prediction)!r}D"))
 
     def leaf_id(self) -> Column:
         """The path of the leaf a row falls into."""
-        return self._route(lambda n: F.lit(n.path))
+        return F.expr(self.route(lambda n: text_literal(n.path)))
 
     def score(self, df: DataFrame, prediction: str = "prediction", leaf: str | None = None) -> DataFrame:
         extra = {prediction: self.predict()}

@@ -329,7 +329,7 @@ def stump_thresholds(spark, sf):
 def stump_matrix(spark, sf):
     data = lines(spark, sf)
     tests = fit_stump_thresholds(data, "y", ["l_extendedprice", "l_discount"], ["l_returnflag"], 2, n_estimators=3)
-    bits = F.concat(*[t.cast("int").cast("string") for t in tests.tests()]).alias("bits")
+    bits = F.concat(*[F.expr(t).cast("int").cast("string") for t in tests.tests()]).alias("bits")
     return data.select(bits, "y").groupBy("bits", "y").agg(F.count("*").alias("n"))
 
 
@@ -349,15 +349,15 @@ def column_elimination(spark, sf):
 def gini_impurity(spark, sf):
     counts = lines(spark, sf).groupBy("l_returnflag", "l_linestatus").agg(
         F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
-    c = [F.col("n0"), F.col("n1")]
-    return _rounded(counts.select("l_returnflag", "l_linestatus", gini(c).alias("gini"), entropy(c).alias("entropy")))
+    c = ["n0", "n1"]
+    return _rounded(counts.selectExpr("l_returnflag", "l_linestatus", f"{gini(c)} AS gini", f"{entropy(c)} AS entropy"))
 
 
 @query
 def variance_impurity(spark, sf):
     sums = lines(spark, sf).groupBy("l_returnflag").agg(
         F.count("net").alias("n"), F.sum("net").alias("s"), F.sum(F.col("net") * F.col("net")).alias("ss"))
-    return sums.select("l_returnflag", F.round(variance(F.col("n"), F.col("s"), F.col("ss")) / 1e6, 4).alias("variance"))
+    return sums.selectExpr("l_returnflag", f"round({variance('n', 's', 'ss')} / 1e6D, 4) AS variance")
 
 
 @query
