@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import ROWS_PER_BUCKET, bucket_edges
+from ..session import spread
 from .binarize import MAX_CATEGORIES, fit_midpoints
 from .splits import Statistics, best_splits
 from .tree import Tree, TreeNode
@@ -48,7 +49,9 @@ def fit_cart(
     spark = df.sparkSession
     regression = task == "regression"
 
-    source = df.select(*columns, F.col(label).cast("double" if regression else "int").alias("_y"))
+    source = spread(
+        df.select(*columns, F.col(label).cast("double" if regression else "int").alias("_y"))
+    )
     summary = source.agg(
         F.count("_y").alias("n"), F.max("_y").alias("top"), F.avg("_y").alias("mean"),
         *[F.approx_count_distinct(c).alias(f"k{i}") for i, c in enumerate(categorical)],

@@ -1,11 +1,12 @@
-"""Class counts of many overlapping cells of the feature space in one pass.
+"""Class counts of many cells of the feature space in one pass.
 
 A cell is a conjunction of answers, written as a tuple of literals: ``fid + 1`` for a true
-test and ``-(fid + 1)`` for a false one.  Cells of a search overlap (every row lies in one
-cell per candidate test), so grouping by cell would need a copy of each row per cell, or a
-join on a range of conditions.  Instead each task unpacks its Arrow batches to a 0/1 matrix, marks the
-cells each pattern lies in, and one matrix product per batch gives the counts of all (cell,
-test) pairs.  Tasks emit their partial counts; Spark adds them up and picks the winners.
+test and ``-(fid + 1)`` for a false one.  Cells that do not overlap (the open nodes of one tree)
+are counted by grouping.  Cells of a search overlap: every row lies in one cell per candidate
+test, so grouping would need a copy of each row per cell, or a join on a range of conditions.
+There each task turns its Arrow batches to a 0/1 matrix, marks the cells each pattern lies in,
+and one matrix product per batch gives the counts of all (cell, test) pairs.  Tasks emit their
+partial counts; Spark adds them up and picks the winners.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import SCORE_DIGITS, information_gain, plus
-from .patterns import WORD_BITS, Patterns
+from .patterns import Patterns, minority_count
 
 # Counters one task may hold (8 bytes each); more cells are counted by further scans.
 COUNTERS_PER_SCAN = 16_000_000
 CELLS_PER_PRODUCT = 256
 ROWS_PER_PRODUCT = 4096
 HEAVY_SCAN = 5_000_000_000
+# Cells that a single CASE expression tells apart.
+MAX_GROUPED_CELLS = 64
 
 
 @dataclass(frozen=True)
@@ -80,15 +83,16 @@ def _candidate_arrays(orders: list[Order], limits: list[int], n_features: int):
     return padded
 
 
-def _counter(literals: np.ndarray, candidates: np.ndarray, first: int, n_features: int,
-             n_words: int, n_classes: int):
+def _counter(literals: np.ndarray, candidates: np.ndarray, first: int,
+             ranges: list[tuple[int, int, int]], n_keys: int, n_classes: int):
     """The function each task runs over its Arrow batches."""
-    n_cells = len(literals)
+    n_cells, n_features = len(literals), len(ranges)
     columns = np.unique(candidates[candidates >= 0])
     position = np.full(n_features + 1, -1, dtype=np.int64)
     position[columns] = np.arange(len(columns))
+    key_of, low, high = (np.array(x, dtype=np.int64) for x in zip(*ranges))
     names = ["cell", "fid", "rank", *_names(n_classes)]
-    word_bits, per_product, per_slice = WORD_BITS, CELLS_PER_PRODUCT, ROWS_PER_PRODUCT
+    per_product, per_slice = CELLS_PER_PRODUCT, ROWS_PER_PRODUCT
 
     # Refers to nothing but numpy, pyarrow and the arrays above, so executors need no package.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,13 +104,11 @@ def _counter(literals: np.ndarray, candidates: np.ndarray, first: int, n_feature
             whole.slice(at, per_slice) for whole in batches
             for at in range(0, whole.num_rows, per_slice)
         ):
-            words = np.stack([batch.column(i).to_numpy() for i in range(n_words)], axis=1)
-            raw = np.unpackbits(
-                np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little"
-            ).reshape(len(words), n_words, 64)[:, :, :word_bits]
-            bits = raw.reshape(len(words), -1)[:, :n_features].astype(bool)
+            keys = np.stack([batch.column(i).to_numpy() for i in range(n_keys)], axis=1)
+            at = keys[:, key_of]
+            bits = (at >= low) & (at <= high)
             weights = np.stack(
-                [batch.column(n_words + c).to_numpy() for c in range(n_classes)], axis=1
+                [batch.column(n_keys + c).to_numpy() for c in range(n_classes)], axis=1
             ).astype(np.float64)
             weights = np.column_stack([weights, weights.sum(1) - weights.max(1)])
             # Columns: true, then false answers, then a column that always holds (padding).
@@ -146,23 +148,27 @@ def _names(n_classes: int) -> list[str]:
 
 
 def cell_counts(
-    patterns: Patterns, cells: list[Cell], orders: list[Order], limits: list[int]
+    patterns: Patterns, cells: list[Cell], orders: list[Order], limits: list[int],
+    disjoint: bool = False,
 ) -> DataFrame:
     """``cell, fid, rank, t0.., tm, n0.., nm``: class counts where the test is true, and overall.
 
     ``cell`` is the position in ``cells``; ``tm`` and ``nm`` count minority rows.  Cell ``i``
-    is crossed with the first ``limits[i]`` tests of ``orders[i]``.
+    is crossed with the first ``limits[i]`` tests of ``orders[i]``.  ``disjoint`` promises that
+    no row lies in two cells.
     """
-    F_, C = patterns.n_features, patterns.n_classes
+    candidates = _candidate_arrays(orders, limits, patterns.n_features)
+    if disjoint and len(cells) <= MAX_GROUPED_CELLS:
+        return _grouped_counts(patterns, cells, candidates)
+    C = patterns.n_classes
     depth = max((len(c.literals) for c in cells), default=0) or 1
-    literals = np.full((len(cells), depth), 2 * F_, dtype=np.int32)
+    literals = np.full((len(cells), depth), 2 * patterns.n_features, dtype=np.int32)
     for i, cell in enumerate(cells):
         for d, lit in enumerate(cell.literals):
-            literals[i, d] = lit - 1 if lit > 0 else F_ - lit - 1
-    candidates = _candidate_arrays(orders, limits, F_)
+            literals[i, d] = lit - 1 if lit > 0 else patterns.n_features - lit - 1
     per_scan = max(1, COUNTERS_PER_SCAN // ((candidates.shape[1] + 1) * (C + 1)))
     schema = "cell int, fid int, rank int, " + ", ".join(f"{n} bigint" for n in _names(C))
-    source = patterns.df.select(*patterns.words, *patterns.counts)
+    source = patterns.df.select(*patterns.keys, *patterns.counts)
     products = patterns.n_patterns * len(cells) * (candidates.shape[1] + 1) * (C + 1)
     tasks = patterns.df.sparkSession.sparkContext.defaultParallelism
     if products > HEAVY_SCAN and patterns.n_patterns < ROWS_PER_PRODUCT * 16 * tasks:
@@ -172,14 +178,48 @@ def cell_counts(
     for start in range(0, len(cells), per_scan):
         stop = min(len(cells), start + per_scan)
         counted = source.mapInArrow(
-            _counter(literals[start:stop], candidates[start:stop], start, F_,
-                     len(patterns.words), C),
+            _counter(literals[start:stop], candidates[start:stop], start, patterns.ranges,
+                     len(patterns.keys), C),
             schema,
         )
         partial = counted if partial is None else partial.unionByName(counted)
     return partial.groupBy("cell", "fid", "rank").agg(*[F.sum(n).alias(n) for n in _names(C)])
 
 
+def _grouped_counts(patterns: Patterns, cells: list[Cell], candidates: np.ndarray) -> DataFrame:
+    """Counts of cells that do not overlap, without Python.
+
+    Rows are grouped by cell, input column and position: one row per column instead of one sum
+    per test.  The sums of a test are those of a range of positions of that small table.
+    """
+    C = patterns.n_classes
+    spark = patterns.df.sparkSession
+    counts = [*patterns.counts, "nm"]
+    cell = "CASE " + " ".join(
+        f"WHEN {patterns.holds(c.literals)} THEN {i}" for i, c in enumerate(cells)
+    ) + " END"
+    placed = ", ".join(f"struct({i} AS key, {k} AS at)" for i, k in enumerate(patterns.keys))
+    histogram = (
+        patterns.df.selectExpr(
+            f"{cell} AS cell", *patterns.counts, f"{minority_count(patterns.counts)} AS nm",
+            f"explode(array({placed})) AS p",
+        )
+        .where("cell IS NOT NULL")
+        .groupBy("cell", "p.key", "p.at").agg(*[F.sum(n).alias(n) for n in counts])
+    )
+    tests = [
+        (i, int(fid), rank, *patterns.ranges[fid])
+        for i, row in enumerate(candidates) for rank, fid in enumerate(row) if fid >= 0
+    ]
+    table = spark.createDataFrame(tests, "cell int, fid int, rank int, key int, low int, high int")
+    sums = [F.expr(f"sum(if(at BETWEEN low AND high, {n}, 0L)) AS t{n[1:]}") for n in counts]
+    # One row per cell and candidate test, at most MAX_GROUPED_CELLS times the number of tests.
+    joined = histogram.join(F.broadcast(table), ["cell", "key"])
+    return joined.groupBy("cell", "fid", "rank").agg(*sums, *[F.sum(n).alias(n) for n in counts]).select(
+        "cell", "fid", "rank", *_names(C)
+    )
+
+
 def _splitting(counts: DataFrame, n_classes: int) -> tuple[list[str], list[str], DataFrame]:
     """The true and overall counts, and the tests that send rows both ways."""
     t = [f"t{c}" for c in range(n_classes)]

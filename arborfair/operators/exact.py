@@ -34,18 +34,21 @@ def search(
     remaining: int = 0,
     narrow: bool = False,
     max_cells: int = MAX_CELLS,
+    disjoint: bool = False,
 ) -> list[tuple]:
     """One optimal subtree per root cell, with at most ``depths[i]`` splits on a path.
 
     With ``remaining > 0`` every cell that uses up its depth is completed by a greedy tree of
     budget ``remaining`` and counted at that tree's loss.  Equal losses are decided for the
     leaf first, then for the lowest test rank.  ``max_features`` ranks the tests on the rows
-    of each root; ``narrow`` gives lower levels only the first of them.
+    of each root; ``narrow`` gives lower levels only the first of them.  ``disjoint`` promises
+    that the roots share no rows.
     """
     n_rows, C, n_features = patterns.n_rows, patterns.n_classes, patterns.n_features
     orders = [Order() for _ in roots]
+    disjoint = disjoint or len(roots) == 1
     if 0 < max_features < n_features:
-        orders = rank_cells(patterns, roots, max_features)
+        orders = rank_cells(patterns, roots, max_features, disjoint)
 
     # cells[level][(root, literal set)]; splits holds the children of each expanded cell.
     levels: list[dict] = [{(i, frozenset(c.literals)): c for i, c in enumerate(roots)}]
@@ -79,7 +82,10 @@ def search(
                 if narrow else orders[k[0]].size(n_features)
                 for k, _ in group
             ]
-            counts = cell_counts(patterns, [c for _, c in group], [orders[k[0]] for k, _ in group], limits)
+            counts = cell_counts(
+                patterns, [c for _, c in group], [orders[k[0]] for k, _ in group], limits,
+                disjoint=level == 0 and disjoint,
+            )
             if is_last:
                 picked = with_leaf_loss(counts, C, n_rows, reg).groupBy("cell").agg(
                     F.min_by(F.struct("*"), F.struct("loss", "rank")).alias("best")
@@ -134,10 +140,12 @@ def _smaller(sub: tuple, other: tuple, n_rows: int, reg: float) -> tuple:
     return sub if _loss(sub, n_rows, reg) < _loss(other, n_rows, reg) else other
 
 
-def rank_cells(patterns: Patterns, roots: list[Cell], max_features: int) -> list[Order]:
+def rank_cells(
+    patterns: Patterns, roots: list[Cell], max_features: int, disjoint: bool = False
+) -> list[Order]:
     """The ``max_features`` tests of largest gain on the rows of each root."""
     size = patterns.n_features
-    counts = cell_counts(patterns, roots, [Order()] * len(roots), [size] * len(roots))
+    counts = cell_counts(patterns, roots, [Order()] * len(roots), [size] * len(roots), disjoint)
     ranked = with_gain(counts, patterns.n_classes).groupBy("cell").agg(
         F.slice(
             F.array_sort(F.collect_list(F.struct((-F.col("gain")).alias("g"), F.col("fid")))), 1, max_features

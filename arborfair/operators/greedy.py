@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import SCORE_DIGITS, information_gain, plus
 from .cells import Cell, Order, cell_counts, split_counts, with_gain
-from .patterns import WORD_BITS, Patterns
+from .patterns import Patterns
 from .tree import count_errors, count_leaves, leaf_of, split_of
 
 MIN_CANDIDATES = 5
@@ -32,38 +32,12 @@ def can_improve(cell: Cell, n_rows: int, reg: float) -> bool:
 
 
 def feature_gains(patterns: Patterns) -> DataFrame:
-    """``fid, gain`` of every test on the whole table; constant tests have gain -1.
-
-    Each word is one row per pattern and class, so the plan has 62 sums whatever the number
-    of tests.
-    """
-    words = F.array(*[
-        F.struct(F.lit(i).alias("word"), F.col(w).alias("bits"))
-        for i, w in enumerate(patterns.words)
-    ])
-    by_word = patterns.df.select(*patterns.counts, F.explode(words).alias("_w"))
-    by_class = by_word.select(
-        "_w.*",
-        F.posexplode(F.array(*patterns.counts)).alias("label", "n"),
-    ).where(F.col("n") > 0)
-    bits = range(used := min(WORD_BITS, patterns.n_features))
-    sums = by_class.groupBy("word", "label").agg(
-        F.sum("n").alias("n"),
-        *[F.expr(f"sum(if(bits & {1 << b}L != 0, n, 0L)) AS b{b}") for b in bits],
-    )
-    long = sums.select(
-        "word", "label", "n", F.posexplode(F.array(*[f"b{b}" for b in range(used)])).alias("bit", "t")
-    ).select((F.col("word") * WORD_BITS + F.col("bit")).alias("fid"), "label", "n", "t").where(
-        F.col("fid") < patterns.n_features
-    )
-    classes = range(patterns.n_classes)
-    wide = long.groupBy("fid").agg(*[
-        F.expr(f"coalesce(sum({v}) FILTER (WHERE label = {c}), 0L) AS {v}{c}")
-        for v in ("t", "n") for c in classes
-    ])
+    """``fid, gain`` of every test on the whole table; constant tests have gain -1."""
+    size, classes = patterns.n_features, range(patterns.n_classes)
+    counts = cell_counts(patterns, [whole_table(patterns)], [Order()], [size], disjoint=True)
     t, n = [f"t{c}" for c in classes], [f"n{c}" for c in classes]
     gain = f"round({information_gain(t, n)}, {SCORE_DIGITS})"
-    return wide.selectExpr(
+    return counts.selectExpr(
         "fid", f"if({plus(t)} = 0 OR {plus(t)} = {plus(n)}, -1.0D, {gain}) AS gain"
     )
 
@@ -93,13 +67,15 @@ def grow(
     orders: list[Order] | None = None,
     pick_first: bool = False,
     narrow: bool = True,
+    disjoint: bool = False,
 ) -> list[tuple]:
     """One subtree per root cell.  A budget of ``d`` allows ``d - 1`` splits on a path.
 
     Each node takes the test of largest gain (lower rank wins a tie); with ``pick_first`` the
     first test in rank order with a positive gain.  Afterwards a split is kept only if the
     losses of its two sides add up to less than the loss of the leaf.  With ``max_features``
-    every root ranks the tests on its own rows and keeps that many.
+    every root ranks the tests on its own rows and keeps that many.  ``disjoint`` promises that
+    the roots share no rows.
     """
     n_rows, C, n_features = patterns.n_rows, patterns.n_classes, patterns.n_features
     rank_here = orders is None and 0 < max_features < n_features
@@ -120,7 +96,8 @@ def grow(
             size = n_features if at_root else root_orders[i].size(n_features)
             limits.append(level_candidates(size, remaining, budgets[i]) if narrow else size)
         counts = cell_counts(
-            patterns, [f[2] for f in frontier], [root_orders[f[0]] for f in frontier], limits
+            patterns, [f[2] for f in frontier], [root_orders[f[0]] for f in frontier], limits,
+            disjoint=disjoint or len(roots) == 1,
         )
         if at_root:
             picked = _ranked_best(counts, C, max_features, n_features)

@@ -44,7 +44,7 @@ def greedy_tree(
 ) -> Tree:
     """A greedy tree with at most ``budget - 1`` splits on a path."""
     with Scratch(df.sparkSession) as scratch:
-        patterns = compact(df, features.tests(), label, n_classes, scratch)
+        patterns = compact(df, features, label, n_classes, scratch)
         sub = grow(patterns, [whole_table(patterns)], [budget], reg, max_features)[0]
         return to_tree(sub, features, patterns.n_rows, reg)
 
@@ -57,7 +57,7 @@ def optimal_tree(
     if depth < 0:
         raise ValueError("depth must not be negative")
     with Scratch(df.sparkSession) as scratch:
-        patterns = compact(df, features.tests(), label, n_classes, scratch)
+        patterns = compact(df, features, label, n_classes, scratch)
         sub = search(patterns, [whole_table(patterns)], [depth], reg, max_features,
                      narrow=narrow, max_cells=max_cells)[0]
         return to_tree(sub, features, patterns.n_rows, reg)
@@ -78,7 +78,7 @@ def lookahead_tree(
     if leaf_fill not in ("optimal", "greedy"):
         raise ValueError(f"unknown leaf_fill {leaf_fill!r}")
     with Scratch(df.sparkSession) as scratch:
-        patterns = compact(df, features.tests(), label, n_classes, scratch)
+        patterns = compact(df, features, label, n_classes, scratch)
         n_rows, root = patterns.n_rows, whole_table(patterns)
         start = grow(patterns, [root], [budget], reg, max_features)[0]
         prefix = search(patterns, [root], [lookahead], reg, max_features,
@@ -89,9 +89,9 @@ def lookahead_tree(
             cells = [c for _, c in leaves]
             left = [budget - len(path) for path, _ in leaves]
             if leaf_fill == "optimal":
-                filled = search(patterns, cells, left, reg, max_features, max_cells=max_cells)
+                filled = search(patterns, cells, left, reg, max_features, max_cells=max_cells, disjoint=True)
             else:
-                filled = grow(patterns, cells, left, reg, max_features)
+                filled = grow(patterns, cells, left, reg, max_features, disjoint=True)
             sub = replace_leaves(prefix, {p: f for (p, _), f in zip(leaves, filled)})
         tree = to_tree(sub, features, n_rows, reg)
         tree.info = {

@@ -24,7 +24,7 @@ def rollout_tree(
     ``Tree.info["selection_loss"]`` is the estimate at the root when it was chosen.
     """
     with Scratch(df.sparkSession) as scratch:
-        patterns = compact(df, features.tests(), label, n_classes, scratch)
+        patterns = compact(df, features, label, n_classes, scratch)
         n_rows, size = patterns.n_rows, patterns.n_features
         chosen: dict[str, tuple[int, Cell, Cell]] = {}
         root = whole_table(patterns)
@@ -41,9 +41,10 @@ def rollout_tree(
             cells = [c for _, c in frontier]
             orders = [Order()] * len(cells)
             if 0 < max_features < size:
-                orders = rank_cells(patterns, cells, max_features)
+                orders = rank_cells(patterns, cells, max_features, disjoint=True)
             rows = with_gain(
-                cell_counts(patterns, cells, orders, [o.size(size) for o in orders]), n_classes
+                cell_counts(patterns, cells, orders, [o.size(size) for o in orders], disjoint=True),
+                n_classes,
             ).collect()
             sides, trials = [], []
             for r in sorted(rows, key=lambda r: (r["cell"], r["rank"])):

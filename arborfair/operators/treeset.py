@@ -64,7 +64,7 @@ def near_optimal_trees(
     """
     check_depths(lookahead, budget)
     with Scratch(df.sparkSession) as scratch:
-        patterns = compact(df, features.tests(), label, n_classes, scratch)
+        patterns = compact(df, features, label, n_classes, scratch)
         n_rows, root = patterns.n_rows, whole_table(patterns)
         orders = [shuffled(patterns.n_features, seed, i) for i in range(n_prefixes)]
         prefixes = grow(

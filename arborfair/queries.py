@@ -452,7 +452,7 @@ def _line_tests(spark, sf, max_thresholds=10):
 
 def _gains(spark, sf, scratch):
     tests = _line_tests(spark, sf)
-    return compact(lines(spark, sf), tests.tests(), "y", 2, scratch)
+    return compact(lines(spark, sf), tests, "y", 2, scratch)
 
 
 @query

@@ -28,6 +28,14 @@ def shared_folder(spark: SparkSession) -> str | None:
     return _LOCAL_FOLDER
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input of few files; an input with enough partitions is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 class Scratch:
     """Tables written during one fit; they are dropped when the ``with`` block ends."""
 
