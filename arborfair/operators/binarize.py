@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.expressions import at_most, is_category
 from ..functions.ranks import ROWS_PER_BUCKET, bucket_edges, long_values, running_sums
+from ..session import spread
 
 # Every category becomes a feature of the model, so an identifier column must not get here.
 MAX_CATEGORIES = 10_000
@@ -92,8 +93,8 @@ def kept_values(
     evenly spaced ranks ``floor(i * (n - 1) / max_thresholds)``.  ``max_thresholds=0`` keeps all.
     The last value of a column has no threshold.
     """
-    rows = df.count() if rows_per_bucket else 0
-    edges = bucket_edges(df, numeric, rows, rows_per_bucket)
+    edges = bucket_edges(df, numeric, df.count(), rows_per_bucket)
+    df = spread(df.select(*numeric))
     distinct = (
         long_values(df, numeric, edges, [])
         .groupBy("feature", "bucket", "value").agg(F.lit(1).alias("one"))
