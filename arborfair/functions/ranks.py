@@ -32,27 +32,44 @@ def bucket_edges(
     return {c: sorted(set(edges or [])) for c, edges in zip(columns, found)}
 
 
-def long_values(
-    df: DataFrame, columns: list[str], edges: dict[str, list[float]], carry: list[str]
-) -> DataFrame:
-    """One row per non-missing number: ``carry.., feature (position), value, bucket``."""
+def with_buckets(df: DataFrame, columns: list[str], edges: dict[str, list[float]]) -> DataFrame:
+    """Add ``_b0, _b1, ..``, the bucket of each column's value; missing values have any bucket."""
     wide = df.selectExpr(
-        *[quoted(c) for c in carry],
-        *[f"nanvl(double({quoted(c)}), NULL) AS _v{i}" for i, c in enumerate(columns)],
+        "*", *[f"nanvl(double({quoted(c)}), NULL) AS _v{i}" for i, c in enumerate(columns) if edges[c]]
     )
-    buckets = []
     for i, c in enumerate(columns):
         if edges[c]:
-            splits = [-math.inf, *edges[c], math.inf]
             wide = Bucketizer(
-                splits=splits, inputCol=f"_v{i}", outputCol=f"_b{i}", handleInvalid="keep"
+                splits=[-math.inf, *edges[c], math.inf], inputCol=f"_v{i}", outputCol=f"_d{i}",
+                handleInvalid="keep",
             ).transform(wide)
-        buckets.append(f"int(_b{i})" if edges[c] else "0")
-    cells = ", ".join(
-        f"struct({i} AS feature, _v{i} AS value, {b} AS bucket)" for i, b in enumerate(buckets)
+    return wide.selectExpr(
+        *[quoted(c) for c in df.columns],
+        *[f"int(_d{i}) AS _b{i}" if edges[c] else f"0 AS _b{i}" for i, c in enumerate(columns)],
     )
+
+
+def long_values(
+    df: DataFrame, columns: list[str], edges: dict[str, list[float]], carry: list[str],
+    wanted: dict[int, str] | None = None,
+) -> DataFrame:
+    """One row per non-missing number: ``carry.., feature (position), value, bucket``.
+
+    Bucket columns of :func:`with_buckets` are used if the table has them.  ``wanted`` keeps only the listed features,
+    each for the rows that meet its condition (SQL text).
+    """
+    chosen = range(len(columns)) if wanted is None else sorted(wanted)
+    if any(edges.values()) and "_b0" not in df.columns:
+        df = with_buckets(df, columns, edges)
     names = [quoted(c) for c in carry]
-    return wide.selectExpr(*names, f"explode(array({cells})) AS _cell").selectExpr(
+    cells = []
+    for i in chosen:
+        bucket = f"_b{i}" if edges[columns[i]] else "0"
+        cell = f"struct({i} AS feature, nanvl(double({quoted(columns[i])}), NULL) AS value, {bucket} AS bucket)"
+        cells.append(cell if wanted is None else f"if({wanted[i]}, {cell}, NULL)")
+    if wanted is not None:
+        df = df.where(" OR ".join(wanted.values()))
+    return df.selectExpr(*names, f"explode(array({', '.join(cells)})) AS _cell").selectExpr(
         *names, "_cell.feature", "_cell.value", "_cell.bucket"
     ).where("value IS NOT NULL")
 

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import ROWS_PER_BUCKET, bucket_edges
-from ..session import spread
+from ..functions.ranks import ROWS_PER_BUCKET, bucket_edges, with_buckets
+from ..session import Scratch
 from .binarize import MAX_CATEGORIES, fit_midpoints
-from .splits import Statistics, best_splits
+from .splits import Statistics, collect_best_splits
 from .tree import Tree, TreeNode
 
 
+SORT_ALL_ROWS = 200_000
+BUCKETS = 256
+
+
 def _gini(counts: list[int]) -> float:
     n = sum(counts)
     return 1.0 - sum((c / n) ** 2 for c in counts) if n else 0.0
@@ -32,13 +36,14 @@ def fit_cart(
     min_samples_leaf: int = 10,
     max_cat_brute_force: int = 10,
     n_classes: int | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int = SORT_ALL_ROWS,
 ) -> Tree:
     """Gini (labels 0..k-1) or variance splits until depth, node size or purity stops a node.
 
     Numeric rows go left if ``value <= threshold``, categorical rows if the category is in the
     left set; missing values go right.  A leaf predicts its majority class (the smallest on a
-    tie) or its mean.
+    tie) or its mean.  Above ``rows_per_bucket`` rows, numeric columns are cut into buckets and
+    only buckets that can hold the best split are sorted; the tree is the same.
     """
     if task not in ("classification", "regression"):
         raise ValueError(f"unknown task {task!r}")
@@ -49,9 +54,22 @@ def fit_cart(
     spark = df.sparkSession
     regression = task == "regression"
 
-    source = spread(
-        df.select(*columns, F.col(label).cast("double" if regression else "int").alias("_y"))
-    )
+    with Scratch(spark) as scratch:
+        source = scratch.reread(
+            df.select(*columns, F.col(label).cast("double" if regression else "int").alias("_y"))
+        )
+        return _grow(
+            source, numeric, categorical, regression, max_depth, min_samples_split,
+            min_samples_leaf, max_cat_brute_force, n_classes, rows_per_bucket,
+        )
+
+
+def _grow(
+    source: DataFrame, numeric: list[str], categorical: list[str], regression: bool, max_depth: int,
+    min_samples_split: int, min_samples_leaf: int, max_cat_brute_force: int,
+    n_classes: int | None, rows_per_bucket: int,
+) -> Tree:
+    spark, columns = source.sparkSession, [*numeric, *categorical]
     summary = source.agg(
         F.count("_y").alias("n"), F.max("_y").alias("top"), F.avg("_y").alias("mean"),
         *[F.approx_count_distinct(c).alias(f"k{i}") for i, c in enumerate(categorical)],
@@ -66,7 +84,11 @@ def fit_cart(
     if regression:
         source = source.withColumn("_y", F.col("_y") - F.lit(centre))
     stats = Statistics(None if regression else n_classes or int(summary["top"]) + 1)
-    edges = bucket_edges(source, numeric, summary["n"], rows_per_bucket)
+    edges = {c: [] for c in numeric}
+    if summary["n"] > rows_per_bucket:
+        buckets = max(BUCKETS, -(-summary["n"] // ROWS_PER_BUCKET))
+        edges = bucket_edges(source, numeric, buckets, 1)
+        source = with_buckets(source, numeric, edges)
     root = list(source.agg(*stats.aggregates("_y")).first())
     root_impurity = _variance(root) if regression else _gini(root)
 
@@ -96,10 +118,10 @@ def fit_cart(
             "node int, " + ", ".join(f"{s} {'double' if regression else 'bigint'}" for s in stats.names),
         )
         routed = source.withColumn("node", _route_open(nodes, ids)).where(F.col("node").isNotNull())
-        rows = best_splits(
+        rows = collect_best_splits(
             routed, numeric, categorical, "_y", totals, stats, min_samples_leaf,
             max_cat_brute_force, edges,
-        ).collect()
+        )
         paths = {i: p for p, i in ids.items()}
         open_nodes = {}
         for r in rows:

@@ -8,6 +8,8 @@ count, sum and sum of squares for regression.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,6 +118,118 @@ def best_numeric(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("node", "feature").agg(best).select("_b.*")
 
 
+# -- numeric splits of large tables ------------------------------------------------------------
+#
+# Sorting all values of all columns for every level would shuffle the table once per level.  But
+# the gain is a convex function of the left statistics, so inside a bucket of values it cannot be
+# larger than at a corner of the box of statistics the bucket spans.  One small table of bucket
+# statistics gives the gains at bucket borders and these bounds; only buckets whose bound
+# reaches the best border of their node are looked into.  The result stays exact.
+
+MAX_CORNER_CLASSES = 4
+MAX_OPEN_BUCKETS = 20_000
+BOUND_SLACK = 1e-9
+
+
+def _bound(start: list[str], end: list[str], w: list[str], stats: Statistics) -> str:
+    """An upper bound of the score of any cut inside a bucket; null if there is none."""
+    parent = stats.impurity(w)
+    if stats.n_classes is None:
+        # The sum inside a bucket lies between all negative and all positive targets of it.
+        n, s = f"double({w[0]})", w[1]
+        corners = [
+            f"({sl} * {sl} / nullif({nl}, 0D) + ({s} - {sl}) * ({s} - {sl}) / nullif({n} - {nl}, 0D) - {s} * {s} / {n}) / {n}"
+            for nl in (f"double({start[0]})", f"double({end[0]})")
+            for sl in (f"({start[1]} + neg)", f"({start[1]} + pos)")
+        ]
+        worst = f"greatest({', '.join(corners)})"
+        known = " AND ".join(f"{c} IS NOT NULL" for c in corners)
+        return f"if({known}, {worst} / nullif({parent}, 0D), NULL)"
+    n = f"double({plus(w)})"
+    if stats.n_classes <= MAX_CORNER_CLASSES:
+        corners = []
+        for choice in product(*zip(start, end)):
+            l = list(choice)
+            r = [f"({b} - {a})" for a, b in zip(l, w)]
+            corners.append(
+                f"({squares(l)} / nullif(double({plus(l)}), 0D) + {squares(r)} / nullif(double({plus(r)}), 0D) - {squares(w)} / {n}) / {n}"
+            )
+        # An empty side gains nothing, so a corner without rows can be left out.
+        return f"coalesce(greatest({', '.join(corners)}), 0D)"
+    rest = [f"({b} - {a})" for a, b in zip(start, w)]
+    return (
+        f"({squares(end)} / nullif(double({plus(start)}), 0D) + {squares(rest)} / nullif({n} - {plus(end)}, 0D)"
+        f" - {squares(w)} / {n}) / {n}"
+    )
+
+
+def bucket_borders(
+    df: DataFrame, columns: list[str], y: str, totals: DataFrame, stats: Statistics, min_leaf: int,
+    edges: dict[str, list[float]],
+) -> DataFrame:
+    """The cuts between buckets that can be best in their node, and the buckets to look into.
+
+    ``node, feature, bucket, threshold, score, gain, l0.. (at the border), b0.. (before the bucket),
+    open``.
+    """
+    long = long_values(df, columns, edges, ["node", y])
+    extra = [] if stats.n_classes is not None else [
+        F.expr(f"sum(least({y}, 0D)) AS neg"), F.expr(f"sum(greatest({y}, 0D)) AS pos")
+    ]
+    buckets = long.groupBy("node", "feature", "bucket").agg(
+        *stats.aggregates(y), F.min("value").alias("lo"), F.max("value").alias("hi"), *extra
+    )
+    names, l, w, b = stats.names, stats.columns("l"), stats.columns("w"), stats.columns("b")
+    window = "(PARTITION BY node, feature ORDER BY bucket"
+    swept = buckets.selectExpr(
+        "*", *[f"sum({s}) OVER {window}) AS {c}" for s, c in zip(names, l)],
+        f"(hi + lead(lo) OVER {window})) / 2.0D AS threshold",
+    )
+    swept = _with_totals(swept, totals, stats).selectExpr(
+        "*", *[f"{c} - {s} AS {d}" for c, s, d in zip(l, names, b)]
+    )
+    gain, score = split_gain(l, w, stats)
+    valid = f"threshold IS NOT NULL AND {_both_sides(l, w, stats, min_leaf)}"
+    scored = swept.selectExpr(
+        "node", "feature", "bucket", "threshold", *l, *b, "lo < hi AS inner_cuts",
+        f"if({valid}, {score}, 0D) AS score", f"if({valid}, {gain}, 0D) AS gain",
+        f"{_bound(b, l, w, stats)} AS bound",
+    ).selectExpr("*", "max(score) OVER (PARTITION BY node) AS best")
+    return scored.selectExpr(
+        "node", "feature", "bucket", "threshold", "score", "gain", *l, *b, "best",
+        f"inner_cuts AND coalesce(bound >= best - {BOUND_SLACK!r}D, true) AS open",
+    ).where("open OR (score > 0 AND score = best)").drop("best")
+
+
+def inner_candidates(
+    df: DataFrame, columns: list[str], y: str, totals: DataFrame, stats: Statistics, min_leaf: int,
+    edges: dict[str, list[float]], opened: list[tuple],
+) -> DataFrame:
+    """Every cut inside the ``opened`` buckets (``node, feature, bucket, b0..``), as in
+    :func:`numeric_candidates`."""
+    keys = ["node", "feature", "bucket"]
+    slots = 1 + max(len(e) for e in edges.values())
+    places: dict[int, list[str]] = {}
+    for node, feature, bucket, *_ in opened:
+        places.setdefault(feature, []).append(str(node * slots + bucket))
+    # A set test per column drops all other rows before they are taken apart.
+    wanted = {i: f"node * {slots} + _b{i} IN ({', '.join(p)})" for i, p in places.items()}
+    per_value = long_values(df, columns, edges, ["node", y], wanted).groupBy(*keys, "value").agg(
+        *stats.aggregates(y)
+    )
+    running = running_sums(per_value, keys, "value", stats.names, False).where("next_value IS NOT NULL")
+    kind = "double" if stats.n_classes is None else "bigint"
+    before = df.sparkSession.createDataFrame(
+        opened, "node int, feature int, bucket int, " + ", ".join(f"{b} {kind}" for b in stats.columns("b"))
+    )
+    placed = running.join(F.broadcast(before), keys)  # at most MAX_OPEN_BUCKETS rows
+    cut = placed.selectExpr(
+        "node", "feature", "(value + next_value) / 2.0D AS threshold",
+        *[f"cum_{s} + {b} AS {l}" for s, b, l in zip(stats.names, stats.columns("b"), stats.columns("l"))],
+    )
+    return _score(cut, totals, stats, min_leaf)
+
+
 def category_statistics(df: DataFrame, columns: list[str], y: str, stats: Statistics) -> DataFrame:
     """``node, feature, category, s0..``; null categories are left out and go right."""
     cells = [
@@ -191,30 +305,73 @@ def best_category_subset(
     return found.select("_b.*").select("node", "feature", "gain", "score", *left, "left_categories")
 
 
-def best_splits(
+def best_per_feature(
     df: DataFrame, numeric: list[str], categorical: list[str], y: str, totals: DataFrame,
     stats: Statistics, min_leaf: int, max_categories: int, edges: dict[str, list[float]],
-) -> DataFrame:
-    """One row per node that can be split: the feature of largest gain, numeric ones first on a tie.
+    opened: list[tuple] | None = None,
+) -> DataFrame | None:
+    """The best split of every node on every feature that can split it.
 
-    ``feature`` counts through the numeric, then the categorical columns.
+    ``feature`` counts through the numeric, then the categorical columns.  With ``opened``, only
+    the numeric cuts inside those buckets are tried.
     """
-    left = stats.columns("l")
-    shape = ["node", "feature", "threshold", "left_categories", "gain", "score", *left]
-    found = None
-    if numeric:
-        found = best_numeric(
-            numeric_candidates(df, numeric, y, totals, stats, min_leaf, edges)
-        ).withColumn("left_categories", F.lit(None).cast("array<string>")).select(shape)
+    shape = ["node", "feature", "threshold", "left_categories", "gain", "score", *stats.columns("l")]
+    found = []
+    if numeric and opened is None:
+        found.append(numeric_candidates(df, numeric, y, totals, stats, min_leaf, edges))
+    elif numeric and opened:
+        found.append(inner_candidates(df, numeric, y, totals, stats, min_leaf, edges, opened))
+    found = [
+        best_numeric(c).withColumn("left_categories", F.lit(None).cast("array<string>")) for c in found
+    ]
     if categorical:
         per_category = category_statistics(df, categorical, y, stats)
         if stats.ordered_categories():
             by_category = best_category_prefix(per_category, totals, stats, min_leaf)
         else:
             by_category = best_category_subset(per_category, totals, stats, min_leaf, max_categories)
-        by_category = by_category.withColumn("threshold", F.lit(None).cast("double")).withColumn(
+        found.append(by_category.withColumn("threshold", F.lit(None).cast("double")).withColumn(
             "feature", F.col("feature") + len(numeric)
-        ).select(shape)
-        found = by_category if found is None else found.unionByName(by_category)
+        ))
+    parts = [f.select(shape) for f in found]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def best_splits(
+    df: DataFrame, numeric: list[str], categorical: list[str], y: str, totals: DataFrame,
+    stats: Statistics, min_leaf: int, max_categories: int, edges: dict[str, list[float]],
+) -> DataFrame:
+    """One row per node that can be split: the feature of largest gain, the first one on a tie."""
+    found = best_per_feature(
+        df, numeric, categorical, y, totals, stats, min_leaf, max_categories, edges
+    )
     best = F.expr("max_by(struct(*), struct(score, -feature)) AS _b")
     return found.groupBy("node").agg(best).select("_b.*")
+
+
+def collect_best_splits(
+    df: DataFrame, numeric: list[str], categorical: list[str], y: str, totals: DataFrame,
+    stats: Statistics, min_leaf: int, max_categories: int, edges: dict[str, list[float]],
+) -> list[dict]:
+    """The rows of :func:`best_splits`; with bucket ``edges`` most values are never sorted.
+
+    What comes to the driver is one row per open node and feature, and the open buckets.
+    """
+    args = (numeric, categorical, y, totals, stats, min_leaf, max_categories, edges)
+    borders, opened = [], None
+    if any(edges.values()):
+        borders = bucket_borders(df, numeric, y, totals, stats, min_leaf, edges).limit(
+            MAX_OPEN_BUCKETS + 1
+        ).collect()
+        if len(borders) > MAX_OPEN_BUCKETS:
+            borders = []  # hardly anything was ruled out: sort all values
+        else:
+            keys = ["node", "feature", "bucket", *stats.columns("b")]
+            opened = [tuple(r[k] for k in keys) for r in borders if r["open"]]
+    found = best_per_feature(df, *args, opened=opened)
+    rows = [r.asDict() for r in found.collect()] if found is not None else []
+    rows += [{**r.asDict(), "left_categories": None} for r in borders if r["score"] > 0]
+    best: dict[int, dict] = {}
+    for r in sorted(rows, key=lambda r: (-r["score"], r["feature"], r["threshold"] or 0.0)):
+        best.setdefault(r["node"], r)
+    return list(best.values())

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_FOLDER: str | None = None
 
@@ -33,7 +34,8 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores)
+    # Dealt out by a running number: even, and without the sort of a round-robin exchange.
+    return df.repartition(cores, F.monotonically_increasing_id())
 
 
 class Scratch:
@@ -56,6 +58,18 @@ class Scratch:
         self._paths.append(path)
         return self.spark.read.parquet(path)
 
+    def reread(self, df: DataFrame) -> DataFrame:
+        """A table that will be scanned many times.
+
+        One with fewer partitions than cores is small: it is dealt out to all cores and cached.
+        A larger one is scanned again each time, which reads only the columns in use.
+        """
+        dealt = spread(df)
+        if dealt is not df:
+            dealt = dealt.persist()
+            self._persisted.append(dealt)
+        return dealt
+
     def release(self) -> None:
         for df in self._persisted:
             df.unpersist()
