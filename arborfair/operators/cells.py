@@ -66,28 +66,34 @@ class Order:
         return n_features if self.fids is None else len(self.fids)
 
 
-def _candidate_arrays(orders: list[Order], limits: list[int], n_features: int):
-    """Per cell the candidate fids and their ranks, padded with -1."""
-    shared: dict[tuple[int, int], np.ndarray] = {}
-    lists = []
-    for order, limit in zip(orders, limits):
+def _candidate_lists(
+    orders: list[Order], limits: list[int], n_features: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct candidate lists (rows padded with -1), and the list of each cell.
+
+    Most cells share a list, so it is shipped once and not once per cell.
+    """
+    numbers: dict[tuple[int, int], int] = {}
+    lists: list[np.ndarray] = []
+    of_cell = np.empty(len(orders), dtype=np.int32)
+    for i, (order, limit) in enumerate(zip(orders, limits)):
         key = (id(order), limit)
-        if key not in shared:
+        if key not in numbers:
             fids = np.arange(n_features) if order.fids is None else np.asarray(order.fids)
-            shared[key] = fids[:limit].astype(np.int32)
-        lists.append(shared[key])
-    width = max((len(f) for f in lists), default=0)
-    padded = np.full((len(lists), width), -1, dtype=np.int32)
+            numbers[key] = len(lists)
+            lists.append(fids[:limit].astype(np.int32))
+        of_cell[i] = numbers[key]
+    padded = np.full((len(lists), max(len(f) for f in lists)), -1, dtype=np.int32)
     for i, fids in enumerate(lists):
         padded[i, : len(fids)] = fids
-    return padded
+    return padded, of_cell
 
 
-def _counter(literals: np.ndarray, candidates: np.ndarray, first: int,
+def _counter(literals: np.ndarray, lists: np.ndarray, of_cell: np.ndarray, first: int,
              ranges: list[tuple[int, int, int]], n_keys: int, n_classes: int):
     """The function each task runs over its Arrow batches."""
     n_cells, n_features = len(literals), len(ranges)
-    columns = np.unique(candidates[candidates >= 0])
+    columns = np.unique(lists[lists >= 0])
     position = np.full(n_features + 1, -1, dtype=np.int64)
     position[columns] = np.arange(len(columns))
     key_of, low, high = (np.array(x, dtype=np.int64) for x in zip(*ranges))
@@ -124,7 +130,7 @@ def _counter(literals: np.ndarray, candidates: np.ndarray, first: int,
         sums = sums.astype(np.int64).reshape(n_cells, len(columns) + 1, k)
         for start in range(0, n_cells, 2048):
             part = sums[start : start + 2048]
-            mine = candidates[start : start + 2048]
+            mine = lists[of_cell[start : start + 2048]]
             cell, rank = np.nonzero((mine >= 0) & (part[:, 0, :].sum(1) > 0)[:, None])
             if not len(cell):
                 continue
@@ -157,19 +163,19 @@ def cell_counts(
     is crossed with the first ``limits[i]`` tests of ``orders[i]``.  ``disjoint`` promises that
     no row lies in two cells.
     """
-    candidates = _candidate_arrays(orders, limits, patterns.n_features)
+    lists, of_cell = _candidate_lists(orders, limits, patterns.n_features)
     if disjoint and len(cells) <= MAX_GROUPED_CELLS:
-        return _grouped_counts(patterns, cells, candidates)
+        return _grouped_counts(patterns, cells, lists[of_cell])
     C = patterns.n_classes
     depth = max((len(c.literals) for c in cells), default=0) or 1
     literals = np.full((len(cells), depth), 2 * patterns.n_features, dtype=np.int32)
     for i, cell in enumerate(cells):
         for d, lit in enumerate(cell.literals):
             literals[i, d] = lit - 1 if lit > 0 else patterns.n_features - lit - 1
-    per_scan = max(1, COUNTERS_PER_SCAN // ((candidates.shape[1] + 1) * (C + 1)))
+    per_scan = max(1, COUNTERS_PER_SCAN // ((lists.shape[1] + 1) * (C + 1)))
     schema = "cell int, fid int, rank int, " + ", ".join(f"{n} bigint" for n in _names(C))
     source = patterns.df.select(*patterns.keys, *patterns.counts)
-    products = patterns.n_patterns * len(cells) * (candidates.shape[1] + 1) * (C + 1)
+    products = patterns.n_patterns * len(cells) * (lists.shape[1] + 1) * (C + 1)
     tasks = patterns.df.sparkSession.sparkContext.defaultParallelism
     if products > HEAVY_SCAN and patterns.n_patterns < ROWS_PER_PRODUCT * 16 * tasks:
         # A small table in few files, but much work per row: use all cores.
@@ -178,7 +184,7 @@ def cell_counts(
     for start in range(0, len(cells), per_scan):
         stop = min(len(cells), start + per_scan)
         counted = source.mapInArrow(
-            _counter(literals[start:stop], candidates[start:stop], start, patterns.ranges,
+            _counter(literals[start:stop], lists, of_cell[start:stop], start, patterns.ranges,
                      len(patterns.keys), C),
             schema,
         )

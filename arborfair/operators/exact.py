@@ -19,6 +19,7 @@ from .patterns import Patterns
 from .tree import count_errors, count_leaves, leaf_of, split_of
 
 MAX_CELLS = 200_000
+CHILDREN_PER_CELL = 10  # splits of an inner level that may come to the driver, per allowed cell
 
 
 class SearchTooLarge(ValueError):
@@ -82,6 +83,10 @@ def search(
                 if narrow else orders[k[0]].size(n_features)
                 for k, _ in group
             ]
+            if not is_last and sum(limits) > CHILDREN_PER_CELL * max_cells:
+                raise SearchTooLarge(
+                    f"level {level} has {sum(limits)} splits to try; lower max_features or the depth"
+                )
             counts = cell_counts(
                 patterns, [c for _, c in group], [orders[k[0]] for k, _ in group], limits,
                 disjoint=level == 0 and disjoint,

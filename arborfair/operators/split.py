@@ -12,7 +12,7 @@ from ..functions.ranks import take_per_group
 from .target import MAX_CLASSES
 
 
-def test_quotas(counts: dict, test_size: float) -> dict:
+def quotas_by_class(counts: dict, test_size: float) -> dict:
     """Test rows per class: the floor of each share, then the largest remainders, ties by class."""
     n = sum(counts.values())
     n_test = math.ceil(test_size * n)
@@ -46,7 +46,7 @@ def mark_test_rows(
         )
     if not stratified:
         counts = {0: df.count()}
-    quotas = test_quotas(counts, test_size)
+    quotas = quotas_by_class(counts, test_size)
     stratum = F.col(label) if stratified else F.lit(0)
     dtype = df.schema[label].dataType if stratified else T.IntegerType()
     table = spark.createDataFrame(
