@@ -51,10 +51,9 @@ def fit_cart(
         raise ValueError("min_samples_leaf must be at least 1")
     numeric, categorical = list(numeric or []), list(categorical or [])
     columns = [*numeric, *categorical]
-    spark = df.sparkSession
     regression = task == "regression"
 
-    with Scratch(spark) as scratch:
+    with Scratch(df.sparkSession) as scratch:
         source = scratch.reread(
             df.select(*columns, F.col(label).cast("double" if regression else "int").alias("_y"))
         )
@@ -69,7 +68,7 @@ def _grow(
     min_samples_split: int, min_samples_leaf: int, max_cat_brute_force: int,
     n_classes: int | None, rows_per_bucket: int,
 ) -> Tree:
-    spark, columns = source.sparkSession, [*numeric, *categorical]
+    columns = [*numeric, *categorical]
     summary = source.agg(
         F.count("_y").alias("n"), F.max("_y").alias("top"), F.avg("_y").alias("mean"),
         *[F.approx_count_distinct(c).alias(f"k{i}") for i, c in enumerate(categorical)],
@@ -113,10 +112,7 @@ def _grow(
         if not splittable or not columns:
             break
         ids = {path: i for i, path in enumerate(sorted(splittable))}
-        totals = spark.createDataFrame(
-            [(i, *splittable[p]) for p, i in ids.items()],
-            "node int, " + ", ".join(f"{s} {'double' if regression else 'bigint'}" for s in stats.names),
-        )
+        totals = [tuple(splittable[p]) for p in ids]
         routed = source.withColumn("node", _route_open(nodes, ids)).where(F.col("node").isNotNull())
         rows = collect_best_splits(
             routed, numeric, categorical, "_y", totals, stats, min_samples_leaf,

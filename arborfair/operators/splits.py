@@ -75,13 +75,23 @@ def _both_sides(l: list[str], w: list[str], stats: Statistics, min_leaf: int) ->
     return f"{n_left} >= {min_leaf} AND {stats.size(w)} - {n_left} >= {min_leaf}"
 
 
-def _with_totals(df: DataFrame, totals: DataFrame, stats: Statistics) -> DataFrame:
-    """Add the statistics ``w0..`` of the row's node: at most 2 ** depth rows are broadcast."""
+def _with_totals(df: DataFrame, totals: DataFrame | list[tuple], stats: Statistics) -> DataFrame:
+    """Add the statistics ``w0..`` of the row's node.
+
+    ``totals`` lists them for nodes 0, 1, .. (they become literals), or is a table with a
+    row per node, at most 2 ** depth of them.
+    """
+    if isinstance(totals, list):
+        kind = "double" if stats.n_classes is None else "bigint"
+        return df.selectExpr("*", *[
+            f"get(array({', '.join(f'{kind}({t[i]!r})' for t in totals)}), node) AS {w}"
+            for i, w in enumerate(stats.columns("w"))
+        ])
     renamed = totals.selectExpr("node", *[f"{n} AS {w}" for n, w in zip(stats.names, stats.columns("w"))])
     return df.join(F.broadcast(renamed), "node")
 
 
-def _score(candidates: DataFrame, totals: DataFrame, stats: Statistics, min_leaf: int) -> DataFrame:
+def _score(candidates: DataFrame, totals: DataFrame | list[tuple], stats: Statistics, min_leaf: int) -> DataFrame:
     """Add the gain of each candidate with left statistics ``l0..``; keep those that gain."""
     l, w = stats.columns("l"), stats.columns("w")
     gain, score = split_gain(l, w, stats)
@@ -93,7 +103,7 @@ def _score(candidates: DataFrame, totals: DataFrame, stats: Statistics, min_leaf
 
 
 def numeric_candidates(
-    df: DataFrame, columns: list[str], y: str, totals: DataFrame, stats: Statistics,
+    df: DataFrame, columns: list[str], y: str, totals: DataFrame | list[tuple], stats: Statistics,
     min_leaf: int, edges: dict[str, list[float]],
 ) -> DataFrame:
     """``node, feature, threshold, gain, score, l0..``: every boundary between two values.
@@ -164,7 +174,7 @@ def _bound(start: list[str], end: list[str], w: list[str], stats: Statistics) ->
 
 
 def bucket_borders(
-    df: DataFrame, columns: list[str], y: str, totals: DataFrame, stats: Statistics, min_leaf: int,
+    df: DataFrame, columns: list[str], y: str, totals: DataFrame | list[tuple], stats: Statistics, min_leaf: int,
     edges: dict[str, list[float]],
 ) -> DataFrame:
     """The cuts between buckets that can be best in their node, and the buckets to look into.
@@ -202,7 +212,7 @@ def bucket_borders(
 
 
 def inner_candidates(
-    df: DataFrame, columns: list[str], y: str, totals: DataFrame, stats: Statistics, min_leaf: int,
+    df: DataFrame, columns: list[str], y: str, totals: DataFrame | list[tuple], stats: Statistics, min_leaf: int,
     edges: dict[str, list[float]], opened: list[tuple],
 ) -> DataFrame:
     """Every cut inside the ``opened`` buckets (``node, feature, bucket, b0..``), as in
@@ -243,7 +253,7 @@ def category_statistics(df: DataFrame, columns: list[str], y: str, stats: Statis
 
 
 def best_category_prefix(
-    per_category: DataFrame, totals: DataFrame, stats: Statistics, min_leaf: int
+    per_category: DataFrame, totals: DataFrame | list[tuple], stats: Statistics, min_leaf: int
 ) -> DataFrame:
     """Two classes or regression: cut the categories ordered by target mean, then by name.
 
@@ -278,7 +288,7 @@ def best_category_prefix(
 
 
 def best_category_subset(
-    per_category: DataFrame, totals: DataFrame, stats: Statistics, min_leaf: int, max_categories: int
+    per_category: DataFrame, totals: DataFrame | list[tuple], stats: Statistics, min_leaf: int, max_categories: int
 ) -> DataFrame:
     """More classes: all subsets of at most half the categories; small, then first by name, wins.
 
@@ -306,7 +316,7 @@ def best_category_subset(
 
 
 def best_per_feature(
-    df: DataFrame, numeric: list[str], categorical: list[str], y: str, totals: DataFrame,
+    df: DataFrame, numeric: list[str], categorical: list[str], y: str, totals: DataFrame | list[tuple],
     stats: Statistics, min_leaf: int, max_categories: int, edges: dict[str, list[float]],
     opened: list[tuple] | None = None,
 ) -> DataFrame | None:
@@ -338,7 +348,7 @@ def best_per_feature(
 
 
 def best_splits(
-    df: DataFrame, numeric: list[str], categorical: list[str], y: str, totals: DataFrame,
+    df: DataFrame, numeric: list[str], categorical: list[str], y: str, totals: DataFrame | list[tuple],
     stats: Statistics, min_leaf: int, max_categories: int, edges: dict[str, list[float]],
 ) -> DataFrame:
     """One row per node that can be split: the feature of largest gain, the first one on a tie."""
@@ -350,7 +360,7 @@ def best_splits(
 
 
 def collect_best_splits(
-    df: DataFrame, numeric: list[str], categorical: list[str], y: str, totals: DataFrame,
+    df: DataFrame, numeric: list[str], categorical: list[str], y: str, totals: DataFrame | list[tuple],
     stats: Statistics, min_leaf: int, max_categories: int, edges: dict[str, list[float]],
 ) -> list[dict]:
     """The rows of :func:`best_splits`; with bucket ``edges`` most values are never sorted.
