@@ -353,6 +353,33 @@ add("used_features", f"""WITH {cart_two_levels()}, nm AS (SELECT ['c_acctbal', '
 u AS (SELECT 0 AS node, nm[feature + 1] AS feature FROM b0, nm WHERE r = 1 UNION ALL SELECT node, nm[feature + 1] FROM b1, nm WHERE r = 1)
 SELECT row_number() OVER (ORDER BY node) - 1 AS position, feature FROM u""")
 
+def cart_nodes(source: str, numeric: list[str], categorical: list[str], depth: int) -> str:
+    """CTEs that grow a two-class tree level by level, and a query for its nodes."""
+    names = numeric + categorical
+    left = " OR ".join(
+        [f"(feature = {i} AND {c} <= thr)" for i, c in enumerate(numeric)]
+        + [f"(feature = {len(numeric) + i} AND list_contains(string_split(cats, ','), {c}))" for i, c in enumerate(categorical)])
+    ctes = [f"s0 AS (SELECT '' AS node, {', '.join(names)}, y FROM {source})"]
+    shown = []
+    for d in range(depth):
+        ctes.append(numeric_splits(f"s{d}", numeric, f"n{d}"))
+        parts = f"SELECT node, feature, thr, NULL AS cats, gain FROM n{d}_best"
+        if categorical:
+            ctes.append(category_splits(f"s{d}", categorical, f"k{d}", len(numeric)))
+            parts += f" UNION ALL SELECT node, feature, NULL, cats, gain FROM k{d}_best"
+        ctes.append(f"""r{d} AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(gain, 12) DESC, feature) AS r FROM ({parts})),
+b{d} AS (SELECT node, feature, thr, cats FROM r{d} WHERE r = 1),
+s{d + 1} AS (SELECT s.node || CASE WHEN {left} THEN 'L' ELSE 'R' END AS node, {', '.join('s.' + c for c in names)}, s.y FROM s{d} s JOIN b{d} b ON s.node = b.node)""")
+        shown.append(f"""SELECT b.node AS node_path, {names}[feature + 1] AS feature, round(thr, 6) AS threshold, cats AS left_categories,
+  CAST(NULL AS DOUBLE) AS prediction, (SELECT count(*) FROM s{d} s WHERE s.node = b.node) AS n FROM b{d} b""")
+        shown.append(f"""SELECT node, NULL, NULL, NULL, CASE WHEN sum(y) > count(*) - sum(y) THEN 1.0 ELSE 0.0 END, count(*)
+FROM s{d} WHERE node NOT IN (SELECT node FROM b{d}) GROUP BY node""")
+    shown.append(f"""SELECT node, NULL, NULL, NULL, CASE WHEN sum(y) > count(*) - sum(y) THEN 1.0 ELSE 0.0 END, count(*) FROM s{depth} GROUP BY node""")
+    return ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(shown)
+
+
+add("cart_deep", f"WITH {LINES}, {cart_nodes('lines', LINE_NUMERIC, LINE_CATEGORICAL, 4)}")
+
 add("cart_predict", f"""WITH {CUSTOMERS}, src AS (SELECT 0 AS node, * FROM customers), {numeric_splits('src', ['c_acctbal'])},
 s AS (SELECT CASE WHEN avg(y) FILTER (c_acctbal <= thr) > 0.5 THEN 1 ELSE 0 END AS l, CASE WHEN avg(y) FILTER (c_acctbal > thr) > 0.5 THEN 1 ELSE 0 END AS r
   FROM customers, ns_best)
