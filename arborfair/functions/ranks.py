@@ -75,10 +75,13 @@ def long_values(
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], order: str, sums: list[str], bucketed: bool
+    df: DataFrame, keys: list[str], order: str, sums: list[str], bucketed: bool,
+    with_total: bool = False,
 ) -> DataFrame:
     """Add ``cum_<s>`` for each of ``sums`` and ``next_<order>`` within ``keys`` by ``order``.
 
+    ``with_total`` also adds ``all_<s>``, the sums over all of ``keys``.
+
     ``df`` holds one row per (keys, order) and, if ``bucketed``, a column ``bucket`` that
     never decreases along ``order``.
     """
@@ -89,6 +92,8 @@ def running_sums(
         "*",
         *[f"sum({s}) OVER {upto} AS cum_{s}" for s in sums],
         f"lead({order}) OVER {inside}) AS next_{order}",
+        *[f"sum({s}) OVER (PARTITION BY {', '.join(keys)}) AS all_{s}"
+          for s in sums if with_total and not bucketed],
     )
     if not bucketed:
         return local
@@ -101,11 +106,13 @@ def running_sums(
         *group,
         *[f"coalesce(sum(_{s}) OVER {before}, 0) AS _off_{s}" for s in sums],
         f"lead(_first) OVER {across}) AS _next",
+        *[f"sum(_{s}) OVER (PARTITION BY {', '.join(keys)}) AS all_{s}" for s in sums if with_total],
     )
     return local.join(offsets, group).selectExpr(
         *df.columns,
         *[f"cum_{s} + _off_{s} AS cum_{s}" for s in sums],
         f"coalesce(next_{order}, _next) AS next_{order}",
+        *[f"all_{s}" for s in sums if with_total],
     )
 
 
@@ -132,7 +139,7 @@ def exact_quantiles(
     edges = bucket_edges(clean, columns, max(counts.values()), rows_per_bucket)
     values = long_values(clean, columns, edges, [])
     sizes: dict[int, list[tuple[int, int]]] = {}
-    for r in values.groupBy("feature", "bucket").count().orderBy("feature", "bucket").collect():
+    for r in sorted(values.groupBy("feature", "bucket").count().collect()):
         sizes.setdefault(r["feature"], []).append((r["bucket"], r["count"]))
 
     wanted: dict[tuple[int, int], set[int]] = {}

@@ -100,10 +100,8 @@ def kept_values(
         .groupBy("feature", "bucket", "value").agg(F.lit(1).alias("one"))
     )
     bucketed = any(edges.values())
-    ranked = running_sums(distinct, ["feature"], "value", ["one"], bucketed)
-    sizes = distinct.groupBy("feature").agg(F.count("*").alias("n_values"))
-    r, n = F.col("cum_one") - 1, F.col("n_values")
-    rows_kept = ranked.join(F.broadcast(sizes), "feature")  # one row per column
+    rows_kept = running_sums(distinct, ["feature"], "value", ["one"], bucketed, with_total=True)
+    r, n = F.col("cum_one") - 1, F.col("all_one")
     if max_thresholds:
         m, last = max_thresholds, F.greatest(n - 1, F.lit(1))
         step = F.ceil(r * m / last).cast("long")
@@ -172,7 +170,7 @@ def fit_midpoints(
     thresholds: list[tuple[str, float]] = []
     if numeric:
         table = kept_values(df, numeric, max_thresholds, rows_per_bucket)
-        for r in table.orderBy("feature", "rank").collect():
+        for r in sorted(table.collect(), key=lambda r: (r["feature"], r["rank"])):
             values[r["column"]].append(r["value"])
             if r["threshold"] is not None:
                 thresholds.append((r["column"], r["threshold"]))

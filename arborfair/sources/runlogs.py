@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # The wording of the log lines.  Two dash styles and two delta signs occur.
 TOP_METRICS = {
     "test_accuracy": r"Test accuracy:\s+([0-9.]+)",
@@ -50,7 +52,7 @@ def log_lines(logs: DataFrame) -> DataFrame:
     A text is cut in front of each fairness header, so the header of a line is known inside
     its own piece and no window over a file is needed.
     """
-    pieces = logs.select(
+    pieces = spread(logs).select(
         "file", F.posexplode(F.split("text", BLOCK_START)).alias("block", "piece")
     )
     head = F.regexp_extract("piece", r"^([^\r\n]*)", 1)
@@ -75,16 +77,22 @@ def parse_logs(logs: DataFrame, audited: list[str] | None = None) -> DataFrame:
         F.when(F.col("post") == "calibrated", F.lit("calibrated_"))
         .when(F.col("post") == "LPFR", F.lit("lpfr_")).otherwise(F.lit(""))
     )
+
+    def matches(pattern: str) -> Column:
+        # A plain search for the fixed beginning spares most lines the regular expression.
+        return line.contains(pattern.split(":")[0].split(")")[-1].strip() + ":") & line.rlike(pattern)
+
     found = [
-        F.when(line.rlike(p), F.struct(F.lit(m).alias("metric"), F.regexp_extract(line, p, 1).alias("value")))
+        F.when(matches(p), F.struct(F.lit(m).alias("metric"), F.regexp_extract(line, p, 1).alias("value")))
         for m, p in TOP_METRICS.items()
     ]
-    in_block = F.col("attribute").isNotNull() & ~line.rlike(BLOCK_HEADER)
+    header = line.startswith("Fairness ") & line.rlike(BLOCK_HEADER)
+    in_block = F.col("attribute").isNotNull() & ~header
     if audited is not None:
         in_block = in_block & F.regexp_extract("file", FILE_NAME, 2).isin(audited)
     attribute = F.concat("attribute", F.lit("."))
     found += [
-        F.when(in_block & line.rlike(p), F.struct(
+        F.when(in_block & matches(p), F.struct(
             F.concat(attribute, prefix, F.lit(m)).alias("metric"),
             F.regexp_extract(line, p, 1).alias("value"),
         ))
@@ -92,7 +100,7 @@ def parse_logs(logs: DataFrame, audited: list[str] | None = None) -> DataFrame:
     ]
     repaired = F.when(F.regexp_extract(line, REPAIRED_ACCURACY, 1) == "Calibrated", F.lit("calibrated_acc")).otherwise(
         F.lit("lpfr_acc"))
-    found.append(F.when(in_block & line.rlike(REPAIRED_ACCURACY), F.struct(
+    found.append(F.when(in_block & matches(REPAIRED_ACCURACY), F.struct(
         F.concat(attribute, repaired).alias("metric"),
         F.regexp_extract(line, REPAIRED_ACCURACY, 2).alias("value"),
     )))
