@@ -48,8 +48,7 @@ def search(
     n_rows, C, n_features = patterns.n_rows, patterns.n_classes, patterns.n_features
     orders = [Order() for _ in roots]
     disjoint = disjoint or len(roots) == 1
-    if 0 < max_features < n_features:
-        orders = rank_cells(patterns, roots, max_features, disjoint)
+    ranking = 0 < max_features < n_features
 
     # cells[level][(root, literal set)]; splits holds the children of each expanded cell.
     levels: list[dict] = [{(i, frozenset(c.literals)): c for i, c in enumerate(roots)}]
@@ -72,6 +71,16 @@ def search(
                 f"level {level} needs {len(open_cells)} cells (limit {max_cells}); "
                 "lower max_features or the depth"
             )
+        if level == 0 and ranking and open_cells:
+            # Ranking the tests of a root counts all of them, so the first level is known with it.
+            tried = ranked_splits(patterns, [c for _, c in open_cells], max_features, disjoint)
+            for (key, _), (order, children) in zip(open_cells, tried):
+                orders[key[0]] = order
+                splits[0][key] = children
+                for _rank, _fid, a, b in children:
+                    for child in (a, b):
+                        nxt.setdefault((key[0], frozenset(child.literals)), child)
+            open_cells = []
         # The last level of a root needs no children: two leaves per test decide it.
         last = [o for o in open_cells if depths[o[0][0]] - level == 1 and remaining == 0]
         inner = [o for o in open_cells if not (depths[o[0][0]] - level == 1 and remaining == 0)]
@@ -145,21 +154,32 @@ def _smaller(sub: tuple, other: tuple, n_rows: int, reg: float) -> tuple:
     return sub if _loss(sub, n_rows, reg) < _loss(other, n_rows, reg) else other
 
 
-def rank_cells(
-    patterns: Patterns, roots: list[Cell], max_features: int, disjoint: bool = False
-) -> list[Order]:
-    """The ``max_features`` tests of largest gain on the rows of each root."""
-    size = patterns.n_features
-    counts = cell_counts(patterns, roots, [Order()] * len(roots), [size] * len(roots), disjoint)
-    ranked = with_gain(counts, patterns.n_classes).groupBy("cell").agg(
-        F.slice(
-            F.array_sort(F.collect_list(F.struct((-F.col("gain")).alias("g"), F.col("fid")))), 1, max_features
-        ).alias("top")
-    )
-    found = {r["cell"]: [s["fid"] for s in r["top"]] for r in ranked.collect()}
-    orders = []
-    for i in range(len(roots)):
-        fids = found.get(i, [])
-        constant = [f for f in range(size) if f not in set(fids)]
-        orders.append(Order(fids + constant[: max_features - len(fids)]))
-    return orders
+def ranked_splits(
+    patterns: Patterns, cells: list[Cell], max_features: int, disjoint: bool = False
+) -> list[tuple[Order, list[tuple]]]:
+    """Per cell its ``max_features`` tests of largest gain (all, in natural order, for 0) and
+    ``(rank, fid, true side, false side)`` of each that splits it: cells x tests rows."""
+    size, C = patterns.n_features, patterns.n_classes
+    if len(cells) * size > CHILDREN_PER_CELL * MAX_CELLS:
+        raise SearchTooLarge(f"{len(cells)} cells with {size} tests each cannot be ranked at once")
+    counts = cell_counts(patterns, cells, [Order()] * len(cells), [size] * len(cells), disjoint)
+    found: list[list] = [[] for _ in cells]
+    for row in with_gain(counts, C).collect():
+        found[row["cell"]].append(row)
+    ranking = 0 < max_features < size
+    result = []
+    for cell, rows in zip(cells, found):
+        rows.sort(key=lambda r: (-r["gain"], r["fid"]) if ranking else r["fid"])
+        order = Order()
+        if ranking:
+            rows = rows[:max_features]
+            fids = [r["fid"] for r in rows]
+            # Tests that do not split the cell fill the list up to its size.
+            rest = [f for f in range(size) if f not in set(fids)]
+            order = Order(fids + rest[: max_features - len(fids)])
+        children = []
+        for rank, r in enumerate(rows):
+            t, tm, f, fm = split_counts(r, C)
+            children.append((rank, r["fid"], cell.child(r["fid"], True, t, tm), cell.child(r["fid"], False, f, fm)))
+        result.append((order, children))
+    return result

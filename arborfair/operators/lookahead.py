@@ -66,13 +66,14 @@ def optimal_tree(
 def lookahead_tree(
     df: DataFrame, label: str, features: BinaryFeatures, n_classes: int, lookahead: int = 2,
     budget: int = 5, reg: float = 1e-4, leaf_fill: str = "optimal", max_features: int = 0,
-    max_cells: int = MAX_CELLS,
+    max_cells: int = MAX_CELLS, with_greedy: bool = False,
 ) -> Tree:
     """Exact for the first ``lookahead`` splits, given greedy completions of the rest.
 
     Then every leaf at depth ``t`` is replaced by the best ("optimal") or the greedy
-    ("greedy") tree of depth ``budget - t`` on its rows.  ``Tree.info`` holds the objectives of
-    the greedy start and of the prefix.
+    ("greedy") tree of depth ``budget - t`` on its rows.  ``Tree.info`` holds the objective of
+    the prefix and, with ``with_greedy``, of a plain greedy tree; the search does not need that
+    upper bound, because it finds the true minimum.
     """
     check_depths(lookahead, budget)
     if leaf_fill not in ("optimal", "greedy"):
@@ -80,7 +81,6 @@ def lookahead_tree(
     with Scratch(df.sparkSession) as scratch:
         patterns = compact(df, features, label, n_classes, scratch)
         n_rows, root = patterns.n_rows, whole_table(patterns)
-        start = grow(patterns, [root], [budget], reg, max_features)[0]
         prefix = search(patterns, [root], [lookahead], reg, max_features,
                         remaining=budget - lookahead, max_cells=max_cells)[0]
         sub = prefix
@@ -94,10 +94,10 @@ def lookahead_tree(
                 filled = grow(patterns, cells, left, reg, max_features, disjoint=True)
             sub = replace_leaves(prefix, {p: f for (p, _), f in zip(leaves, filled)})
         tree = to_tree(sub, features, n_rows, reg)
-        tree.info = {
-            "greedy_objective": subtree_loss(start, n_rows, reg),
-            "prefix_objective": subtree_loss(prefix, n_rows, reg),
-        }
+        tree.info = {"prefix_objective": subtree_loss(prefix, n_rows, reg)}
+        if with_greedy:
+            start = grow(patterns, [root], [budget], reg, max_features)[0]
+            tree.info["greedy_objective"] = subtree_loss(start, n_rows, reg)
         return tree
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 
 from ..session import Scratch
 from .binarize import BinaryFeatures
-from .cells import Cell, Order, cell_counts, split_counts, with_gain
-from .exact import rank_cells
+from .cells import Cell
+from .exact import ranked_splits
 from .greedy import grow, whole_table
 from .patterns import compact
 from .tree import Tree, leaf_of, split_of, subtree_loss, to_tree
@@ -39,20 +39,12 @@ def rollout_tree(
             if not frontier or not size:
                 break
             cells = [c for _, c in frontier]
-            orders = [Order()] * len(cells)
-            if 0 < max_features < size:
-                orders = rank_cells(patterns, cells, max_features, disjoint=True)
-            rows = with_gain(
-                cell_counts(patterns, cells, orders, [o.size(size) for o in orders], disjoint=True),
-                n_classes,
-            ).collect()
             sides, trials = [], []
-            for r in sorted(rows, key=lambda r: (r["cell"], r["rank"])):
-                t, tm, f, fm = split_counts(r, n_classes)
-                cell = cells[r["cell"]]
-                a, b = cell.child(r["fid"], True, t, tm), cell.child(r["fid"], False, f, fm)
-                trials.append((r["cell"], r["fid"], a, b))
-                sides += [a, b]
+            tried = ranked_splits(patterns, cells, max_features, disjoint=True)
+            for i, (_order, children) in enumerate(tried):
+                for _rank, fid, a, b in children:
+                    trials.append((i, fid, a, b))
+                    sides += [a, b]
             subs = grow(patterns, sides, [depth - 1] * len(sides), reg, max_features)
             best = {
                 i: (subtree_loss(leaf_of(c), n_rows, reg), None)
