@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +11,6 @@ from pyspark.sql import types as T
 SCORE_DIGITS = 12
 
 
-def total(columns: list[Column]) -> Column:
-    return reduce(add, columns)
-
-
 def is_missing(column: Column, dtype: T.DataType) -> Column:
     """Null, or NaN for floating-point columns (Spark sorts NaN above every number)."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
@@ -25,10 +18,6 @@ def is_missing(column: Column, dtype: T.DataType) -> Column:
     return column.isNull()
 
 
-def nan_to_null(column: Column) -> Column:
-    return F.when(~F.isnan(column), column)
-
-
 def quoted(name: str) -> str:
     """A column name as SQL text."""
     return "`" + name.replace("`", "``") + "`"
@@ -95,12 +84,6 @@ def information_gain(left: list[str], whole: list[str]) -> str:
     return f"({spread(whole)} - {spread(left)} - {spread(right)}) / {plus(whole)}"
 
 
-def majority(counts: list[Column]) -> Column:
-    """Index of the largest count; the smallest index wins a tie."""
-    top = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    return F.coalesce(*[F.when(c == top, F.lit(i)) for i, c in enumerate(counts)])
-
-
 def seeded_hash(row_id: str | list[str], seed: int) -> Column:
     """A reproducible pseudo-random order of rows that no partitioning can change."""
     ids = [row_id] if isinstance(row_id, str) else list(row_id)

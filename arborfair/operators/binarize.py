@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.expressions import at_most, is_category
 from ..functions.ranks import ROWS_PER_BUCKET, bucket_edges, long_values, running_sums
