@@ -43,3 +43,19 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text FROM words GROU
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+ORACLES["op4_bottom_k_near_duplicates"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+             ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+e AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS k FROM s),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM e AS a JOIN e AS b ON a.k = b.k AND a.doc_id <> b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, l.v FROM reach AS r JOIN links AS l ON l.u = r.v)
+SELECT s.doc_id, len(g) AS n_shingles, min(v) AS component_id, s.doc_id = min(v) AS kept
+FROM s JOIN reach ON reach.u = s.doc_id GROUP BY s.doc_id, len(g)
+"""

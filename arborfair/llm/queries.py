@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, repeats
+from . import bottomk, decontaminate, divergence, repeats
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "rules.*")
 
 
+def op4_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.mark_contaminated(docs, table(spark, sf_dir, "benchmark"), name="found")
@@ -27,5 +31,5 @@ def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES = {f.__name__: f for f in (
     op1_repeated_phrases,
-    op3_divergence_rules, op5_wu_manber_decontamination,
+    op3_divergence_rules, op4_bottom_k_near_duplicates, op5_wu_manber_decontamination,
 )}
