@@ -22,17 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder of ``spark.checkpoint.dir`` and read back: no lineage, and a lost
-    executor costs a re-read.  Without that setting (tests) a folder of its own is set for the session."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests, one is made and set for the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="arborfair-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder of ``spark.checkpoint.dir`` and read back: no lineage, and a lost
+    executor costs a re-read."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -82,10 +86,11 @@ def raw_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0]:at[-1]], at - at[0]
 
 
-def attach(docs: DataFrame, name: str, fields: str, compute) -> DataFrame:
+def attach(docs: DataFrame, name: str, fields: str, compute, sized_by: str | None = "text") -> DataFrame:
     """All rows and columns of ``docs`` with one struct column more, computed piece by piece.
 
-    ``compute(piece)`` gets rows as Arrow data and returns one array per field."""
+    ``compute(piece)`` gets rows as Arrow data and returns one array per field; pieces are cut by the size of the column
+    ``sized_by``, or are Spark's batches."""
     from pyspark.sql.types import StructType
 
     columns = docs.columns
@@ -94,7 +99,7 @@ def attach(docs: DataFrame, name: str, fields: str, compute) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, sized_by) if sized_by else [batch]:
                 made = pa.StructArray.from_arrays(compute(piece), names=names)
                 yield pa.RecordBatch.from_arrays([*piece.columns, made], names=[*columns, name])
 

@@ -148,7 +148,7 @@ def _pass(docs: DataFrame, text: str, state: str, had: str | None, patterns: lis
         ]
 
     docs_text = text
-    out = attach(docs, state, "n_words long, n_hit long, hits binary, items array<bigint>", compute)
+    out = attach(docs, state, "n_words long, n_hit long, hits binary, items array<bigint>", compute, text)
     return out.drop(had) if had else out
 
 

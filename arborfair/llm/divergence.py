@@ -183,4 +183,4 @@ def judge(docs: DataFrame, references: dict[str, tuple[np.ndarray, np.ndarray]],
         return [*(pa.array(x, pa.int64()) for x in counts), pa.array(base),
                 pa.array(c, mask=~c_judged), pa.array(v, mask=~v_judged), pa.array(kept)]
 
-    return attach(docs, name or free_name(docs, "quality_rules"), FIELDS, compute)
+    return attach(docs, name or free_name(docs, "quality_rules"), FIELDS, compute, text)

@@ -59,3 +59,21 @@ reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, l.v FROM reac
 SELECT s.doc_id, len(g) AS n_shingles, min(v) AS component_id, s.doc_id = min(v) AS kept
 FROM s JOIN reach ON reach.u = s.doc_id GROUP BY s.doc_id, len(g)
 """
+
+
+def shard_sql(limit: int) -> str:
+    """Every prefix of every hash is a bucket; the shard of a document is its shortest bucket that is settled."""
+    return rf"""
+WITH h AS (SELECT doc_id, text, coalesce(octet_length(encode(text)), 0) AS n_bytes,
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS hash FROM documents),
+nodes AS (SELECT depth, hash >> (60 - depth) AS node, sum(n_bytes) AS shard_bytes, count(*) AS shard_docs
+          FROM h, range(0, 61) AS t(depth) GROUP BY ALL HAVING sum(n_bytes) <= {limit} OR min(hash) = max(hash)),
+first AS (SELECT h.doc_id, n_bytes, hash, min(depth) AS depth FROM h, range(0, 61) AS t(depth)
+          SEMI JOIN nodes ON t.depth = nodes.depth AND h.hash >> (60 - t.depth) = nodes.node GROUP BY ALL)
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE substr(format('{{:060b}}', hash), 1, depth::INT) END AS shard,
+       depth::INT AS depth, shard_bytes::BIGINT AS shard_bytes, shard_docs
+FROM first JOIN nodes USING (depth) WHERE nodes.node = hash >> (60 - depth)
+"""
+
+
+ORACLES["op6_extendible_hash_shards"] = shard_sql(64 << 20)

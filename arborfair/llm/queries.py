@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk, decontaminate, divergence, repeats
+from . import bottomk, decontaminate, divergence, pieces_viterbi, repeats, sharding, token_counts, token_files
 from .common import table
 
 
@@ -29,7 +30,31 @@ def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(marked, "found")
 
 
+def op6_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.assign_shards(docs, name="placed").select("doc_id", "placed.*")
+
+
+def op8_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces_viterbi.round_trip(docs, path, name="coded").select("doc_id", "coded.*")
+
+
+def op9_elias_fano_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = token_files.scratch_path(spark)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), target, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_token_files(spark, target)
+
+
+def op10_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_counts.count_tokens(docs, path, name="counted").select("doc_id", "counted.*")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_repeated_phrases,
     op3_divergence_rules, op4_bottom_k_near_duplicates, op5_wu_manber_decontamination,
+    op6_extendible_hash_shards, op8_piece_viterbi, op9_elias_fano_token_files, op10_rank_synchronous_token_counts,
 )}
