@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bottomk, decontaminate, divergence, pieces_viterbi, repeats, sharding, token_counts, token_files
-from .common import table
+from . import bottomk, decontaminate, divergence, language_id, pieces_viterbi, quality_gam, repeats, sharding, token_counts, token_files
+from .common import keep, table
 
 
 def op1_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +15,11 @@ def op1_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(repeats.remove_repeats(docs, name="cut"), "cut")
 
 
+def op2_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    featured = keep(quality_gam.with_features(table(spark, sf_dir, "documents")), "features")
+    return quality_gam.score(featured, quality_gam.fit(featured, table(spark, sf_dir, "labels")))
+
+
 def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = divergence.judge(docs.select("doc_id", "text"), divergence.fit_references(docs), name="rules")
@@ -35,6 +41,15 @@ def op6_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, name="placed").select("doc_id", "placed.*")
 
 
+def op7_segmentation_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    out = F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False))
+    model = language_id.fit(docs.where(~out), path)
+    named = language_id.identify(docs.select("doc_id", "text"), model, path, name="named")
+    return named.select("doc_id", out.alias("held_out"), "named.*")
+
+
 def op8_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -54,7 +69,6 @@ def op10_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> Data
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_repeated_phrases,
-    op3_divergence_rules, op4_bottom_k_near_duplicates, op5_wu_manber_decontamination,
-    op6_extendible_hash_shards, op8_piece_viterbi, op9_elias_fano_token_files, op10_rank_synchronous_token_counts,
+    op1_repeated_phrases, op2_additive_quality, op3_divergence_rules, op4_bottom_k_near_duplicates, op5_wu_manber_decontamination,
+    op6_extendible_hash_shards, op7_segmentation_language_id, op8_piece_viterbi, op9_elias_fano_token_files, op10_rank_synchronous_token_counts,
 )}
