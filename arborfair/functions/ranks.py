@@ -19,6 +19,12 @@ ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 20_000
 
 
+def midpoint(low: str, high: str) -> str:
+    """SQL text of a threshold t with ``low <= t < high``: halfway, or ``low`` where that is not below ``high``."""
+    half = f"({low} + {high}) / 2.0D"
+    return f"if({half} >= {high}, {low}, {half})"
+
+
 def bucket_edges(
     df: DataFrame, columns: list[str], rows: int, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> dict[str, list[float]]:
@@ -29,7 +35,8 @@ def bucket_edges(
     probabilities = [i / n_buckets for i in range(1, n_buckets)]
     doubles = df.select([F.col(c).cast("double").alias(c) for c in columns])
     found = doubles.approxQuantile(columns, probabilities, 1.0 / (4 * n_buckets))
-    return {c: sorted(set(edges or [])) for c, edges in zip(columns, found)}
+    # Infinite values lie in the outermost buckets, which have no inner border.
+    return {c: sorted({e for e in edges or [] if math.isfinite(e)}) for c, edges in zip(columns, found)}
 
 
 def with_buckets(df: DataFrame, columns: list[str], edges: dict[str, list[float]]) -> DataFrame:
@@ -185,7 +192,7 @@ def exact_quantiles(
             position = p * (counts[c] - 1)
             low, high = math.floor(position), math.ceil(position)
             a, b = found[(i, low)], found[(i, high)]
-            out.append(a if low == high else (high - position) * a + (position - low) * b)
+            out.append(a if a == b else (high - position) * a + (position - low) * b)
         result[c] = out
     return result
 
@@ -198,14 +205,17 @@ def take_per_group(
     seed: int,
     priority: Column | None = None,
     hex_digits: int = 3,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add a flag ``taken`` to the first ``quota`` rows of each group in seeded order.
 
     ``quotas`` has the columns ``group, quota``.  Rows are ordered by ``priority`` (an integer, lower
     first), then by ``md5(row_id:seed)``, then by ``row_id``.  Only the rows of the one
     hash bucket in which a group's quota ends are ranked; all others are decided by a filter.
-    ``hex_digits`` sets the bucket count (16 ** digits); raise it above ~4e9 rows per group.
+    There are ``16 ** hex_digits`` buckets per group, more if ``rows`` (of the largest group) asks for it.
     """
+    if rows:
+        hex_digits = max(hex_digits, math.ceil(math.log(max(1, rows / ROWS_PER_BUCKET), 16)) + 1)
     ids = [row_id] if isinstance(row_id, str) else list(row_id)
     hashed = df.select(
         "*",

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import at_most, is_category
-from ..functions.ranks import ROWS_PER_BUCKET, bucket_edges, long_values, running_sums
+from ..functions.ranks import ROWS_PER_BUCKET, bucket_edges, long_values, midpoint, running_sums
 from ..session import spread
 
 # Every category becomes a feature of the model, so an identifier column must not get here.
-MAX_CATEGORIES = 10_000
 
 FEATURE_SCHEMA = "fid int, column string, op string, threshold double, category string, name string"
 
@@ -114,8 +113,8 @@ def kept_values(
         F.col("feature"),
         (F.row_number().over(order) - 1).cast("int").alias("rank"),
         "value",
-        ((F.col("value") + F.lead("value").over(order)) / 2.0).alias("threshold"),
-    )
+        F.lead("value").over(order).alias("next"),
+    ).selectExpr("column", "feature", "rank", "value", f"{midpoint('value', 'next')} AS threshold")
 
 
 def vocabulary(df: DataFrame, categorical: list[str]) -> DataFrame:
@@ -134,11 +133,7 @@ def collect_vocabulary(df: DataFrame, categorical: list[str]) -> dict[str, list[
     if not categorical:
         return {}
     words = vocabulary(df, categorical)
-    rows = words.limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(
-            f"more than {MAX_CATEGORIES} categories in {categorical}; each would become a feature"
-        )
+    rows = words.collect()  # each is a feature of the model
     found: dict[str, list[str]] = {c: [] for c in categorical}
     for r in rows:
         found[r["column"]].append(r["category"])

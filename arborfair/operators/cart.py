@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import ROWS_PER_BUCKET, bucket_edges, with_buckets
-from ..session import Scratch
-from .binarize import MAX_CATEGORIES, fit_midpoints
+from ..session import Scratch, spread
+from .binarize import fit_midpoints
 from .splits import Statistics, collect_best_splits
 from .tree import Tree, TreeNode
 
@@ -54,9 +54,9 @@ def fit_cart(
     regression = task == "regression"
 
     with Scratch(df.sparkSession) as scratch:
-        source = scratch.reread(
-            df.select(*columns, F.col(label).cast("double" if regression else "int").alias("_y"))
-        )
+        # Every level reads these columns again: they are computed once.
+        used = df.select(*columns, F.col(label).cast("double" if regression else "int").alias("_y"))
+        source = scratch.keep(spread(used), "rows")
         return _grow(
             source, numeric, categorical, regression, max_depth, min_samples_split,
             min_samples_leaf, max_cat_brute_force, n_classes, rows_per_bucket,
@@ -71,13 +71,9 @@ def _grow(
     columns = [*numeric, *categorical]
     summary = source.agg(
         F.count("_y").alias("n"), F.max("_y").alias("top"), F.avg("_y").alias("mean"),
-        *[F.approx_count_distinct(c).alias(f"k{i}") for i, c in enumerate(categorical)],
     ).first()
     if not summary["n"]:
         raise ValueError("no labelled rows")
-    for i, c in enumerate(categorical):
-        if summary[f"k{i}"] > MAX_CATEGORIES:
-            raise ValueError(f"column {c} has about {summary[f'k{i}']} categories (limit {MAX_CATEGORIES})")
     # Sums of squares lose digits far from zero, so regression works on the centred target.
     centre = summary["mean"] if regression else 0.0
     if regression:

@@ -29,6 +29,12 @@ ROWS_PER_PRODUCT = 4096
 HEAVY_SCAN = 5_000_000_000
 # Cells that a single CASE expression tells apart.
 MAX_GROUPED_CELLS = 64
+# Cells of one frontier, whatever learner opens them: each is an object on the driver.
+MAX_CELLS = 200_000
+
+
+class SearchTooLarge(ValueError):
+    """The search would open more cells than allowed; nothing is cut silently."""
 
 
 @dataclass(frozen=True)
@@ -155,7 +161,7 @@ def _names(n_classes: int) -> list[str]:
 
 def cell_counts(
     patterns: Patterns, cells: list[Cell], orders: list[Order], limits: list[int],
-    disjoint: bool = False,
+    disjoint: bool = False, max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """``cell, fid, rank, t0.., tm, n0.., nm``: class counts where the test is true, and overall.
 
@@ -163,6 +169,8 @@ def cell_counts(
     is crossed with the first ``limits[i]`` tests of ``orders[i]``.  ``disjoint`` promises that
     no row lies in two cells.
     """
+    if len(cells) > max_cells:
+        raise SearchTooLarge(f"{len(cells)} cells at once (limit {max_cells}); lower max_features or the depth")
     lists, of_cell = _candidate_lists(orders, limits, patterns.n_features)
     if disjoint and len(cells) <= MAX_GROUPED_CELLS:
         return _grouped_counts(patterns, cells, lists[of_cell])
@@ -172,7 +180,9 @@ def cell_counts(
     for i, cell in enumerate(cells):
         for d, lit in enumerate(cell.literals):
             literals[i, d] = lit - 1 if lit > 0 else patterns.n_features - lit - 1
-    per_scan = max(1, COUNTERS_PER_SCAN // ((lists.shape[1] + 1) * (C + 1)))
+    # A task has a counter for every cell and every test that any of the lists names.
+    width = len(np.unique(lists[lists >= 0])) + 1
+    per_scan = max(1, COUNTERS_PER_SCAN // (width * (C + 1)))
     schema = "cell int, fid int, rank int, " + ", ".join(f"{n} bigint" for n in _names(C))
     source = patterns.df.select(*patterns.keys, *patterns.counts)
     products = patterns.n_patterns * len(cells) * (lists.shape[1] + 1) * (C + 1)

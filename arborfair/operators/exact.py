@@ -13,19 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import functions as F
 
 from ..functions.expressions import SCORE_DIGITS
-from .cells import Cell, Order, cell_counts, split_counts, with_gain, with_leaf_loss
+from .cells import MAX_CELLS, Cell, Order, SearchTooLarge, cell_counts, split_counts, with_gain, with_leaf_loss
 from .greedy import can_improve, grow, level_candidates
 from .patterns import Patterns
 from .tree import count_errors, count_leaves, leaf_of, split_of
 
-MAX_CELLS = 200_000
 CHILDREN_PER_CELL = 10  # splits of an inner level that may come to the driver, per allowed cell
 
 
-class SearchTooLarge(ValueError):
-    """The search would open more cells than allowed; nothing is cut silently."""
-
-
 def search(
     patterns: Patterns,
     roots: list[Cell],
@@ -73,7 +68,7 @@ def search(
             )
         if level == 0 and ranking and open_cells:
             # Ranking the tests of a root counts all of them, so the first level is known with it.
-            tried = ranked_splits(patterns, [c for _, c in open_cells], max_features, disjoint)
+            tried = ranked_splits(patterns, [c for _, c in open_cells], max_features, disjoint, max_cells)
             for (key, _), (order, children) in zip(open_cells, tried):
                 orders[key[0]] = order
                 splits[0][key] = children
@@ -98,7 +93,7 @@ def search(
                 )
             counts = cell_counts(
                 patterns, [c for _, c in group], [orders[k[0]] for k, _ in group], limits,
-                disjoint=level == 0 and disjoint,
+                disjoint=level == 0 and disjoint, max_cells=max_cells,
             )
             if is_last:
                 picked = with_leaf_loss(counts, C, n_rows, reg).groupBy("cell").agg(
@@ -124,7 +119,7 @@ def search(
     if boundary:
         # One greedy tree per set of rows, whichever order of tests leads to it.
         keys = list(boundary)
-        trees = grow(patterns, [boundary[k] for k in keys], [remaining] * len(keys), reg, max_features)
+        trees = grow(patterns, [boundary[k] for k in keys], [remaining] * len(keys), reg, max_features, max_cells=max_cells)
         for key, sub in zip(keys, trees):
             best[(depths[key[0]], *key)] = sub
 
@@ -155,12 +150,12 @@ def _smaller(sub: tuple, other: tuple, n_rows: int, reg: float) -> tuple:
 
 
 def ranked_splits(
-    patterns: Patterns, cells: list[Cell], max_features: int, disjoint: bool = False
+    patterns: Patterns, cells: list[Cell], max_features: int, disjoint: bool = False, max_cells: int = MAX_CELLS
 ) -> list[tuple[Order, list[tuple]]]:
     """Per cell its ``max_features`` tests of largest gain (all, in natural order, for 0) and
     ``(rank, fid, true side, false side)`` of each that splits it: cells x tests rows."""
     size, C = patterns.n_features, patterns.n_classes
-    if len(cells) * size > CHILDREN_PER_CELL * MAX_CELLS:
+    if len(cells) * size > CHILDREN_PER_CELL * max_cells:
         raise SearchTooLarge(f"{len(cells)} cells with {size} tests each cannot be ranked at once")
     counts = cell_counts(patterns, cells, [Order()] * len(cells), [size] * len(cells), disjoint)
     found: list[list] = [[] for _ in cells]

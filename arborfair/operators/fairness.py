@@ -116,11 +116,12 @@ def fairness_gap(
 ) -> DataFrame:
     """One row ``gap``: largest minus smallest group mean of the prediction.
 
-    ``dp`` takes all rows, ``eo`` those labelled 1.  Every group counts, however small; with
-    fewer than two groups the gap is 0.
+    ``dp`` takes all rows, ``eo`` those labelled 1.  Every group counts, however small, but a missing value is no group;
+    with fewer than two groups the gap is 0.
     """
     _check_metric(metric)
-    rows = df if metric == "dp" else df.where(F.col(label) == 1)
+    rows = df.where(F.col(group).isNotNull())
+    rows = rows if metric == "dp" else rows.where(F.col(label) == 1)
     means = rows.groupBy(group).agg(F.avg(F.col(prediction).cast("double")).alias("m"))
     return means.agg(
         F.when(F.count("m") >= 2, F.max("m") - F.min("m")).otherwise(F.lit(0.0)).alias("gap")
@@ -129,7 +130,7 @@ def fairness_gap(
 
 def _check_metric(metric: str) -> None:
     if metric not in ("dp", "eo"):
-        raise ValueError(f"metric must be 'dp' or 'eo', got {metric!r}")
+        raise ValueError(f"unknown fairness measure {metric!r}: dp compares all rows, eo the rows labelled 1")
 
 
 # -- repair by rows ----------------------------------------------------------------------
@@ -212,10 +213,7 @@ def leaf_summary(
 
 def with_overrides(summary: DataFrame, overrides: dict[str, int]) -> DataFrame:
     """The summary after the predictions of some leaves were replaced."""
-    pred = F.col("pred")
-    for leaf, value in overrides.items():
-        pred = F.when(F.col("leaf_id") == leaf, F.lit(value)).otherwise(pred)
-    return summary.withColumn("pred", pred)
+    return summary.withColumn("pred", _replaced(F.col("leaf_id"), F.col("pred"), overrides))
 
 
 def override_scores(
@@ -228,7 +226,7 @@ def override_scores(
     """
     _check_metric(metric)
     w = F.col("n") if metric == "dp" else F.when(F.col("label") == 1, F.col("n")).otherwise(0)
-    per_group = summary.groupBy("group").agg(
+    per_group = summary.where("group IS NOT NULL").groupBy("group").agg(
         F.sum(w).alias("g_n"), F.sum(w * F.col("pred")).alias("g_pos")
     ).where(F.col("g_n") > 0)
     totals = summary.agg(
@@ -250,6 +248,7 @@ def override_scores(
         F.sum(F.when(F.col("pred") != F.col("label"), F.col("n")).otherwise(0)).alias("before"),
         F.sum(F.when(F.col("candidate") != F.col("label"), F.col("n")).otherwise(0)).alias("after"),
     )
+    # Rows without a group count as errors, but change no group.
     parts = cells.groupBy("leaf_id", "candidate", "group").agg(
         F.sum(w * (F.col("candidate") - F.col("pred"))).alias("change")
     )
@@ -258,7 +257,7 @@ def override_scores(
         F.collect_list(F.struct("group", "g_n", "g_pos")).alias("all")
     ).scalar()
     changes = parts.groupBy("leaf_id", "candidate").agg(
-        F.map_from_entries(F.collect_list(F.struct("group", "change"))).alias("delta")
+        F.map_from_entries(F.collect_list(F.when(F.col("group").isNotNull(), F.struct("group", "change")))).alias("delta")
     )
     means = F.transform(
         "groups",
@@ -276,24 +275,28 @@ def override_scores(
     return scored.withColumn("score", score)
 
 
+def _replaced(leaf: Column, prediction: Column, overrides: dict[str, int]) -> Column:
+    """The prediction, or the new one of the row's leaf: one look-up, however many leaves there are."""
+    if not overrides:
+        return prediction
+    new = F.map_from_arrays(F.lit(list(overrides)), F.lit(list(overrides.values())))
+    return F.coalesce(F.try_element_at(new, leaf), prediction)
+
+
 @dataclass(frozen=True)
 class LeafRepair:
-    """Replaced leaf predictions and what they change on the calibration rows."""
+    """New predictions of some leaves, and the calibration rows' state without and with them."""
 
     overrides: dict[str, int]
     metric: str
-    base_gap: float
-    final_gap: float
-    changed_leaves: int
-    affected_rows: int
-    accuracy_delta: float
+    gaps: tuple[float, float]
+    errors: tuple[int, int]
+    rows: int
+    affected: int
 
     def apply(self, leaf: str, prediction: str) -> Column:
         """The repaired prediction of a row; leaves without an override keep theirs."""
-        value = F.col(prediction)
-        for path, new in self.overrides.items():
-            value = F.when(F.col(leaf) == path, F.lit(new)).otherwise(value)
-        return value
+        return _replaced(F.col(leaf), F.col(prediction), self.overrides)
 
     def table(self, spark) -> DataFrame:
         return spark.createDataFrame(
@@ -302,8 +305,7 @@ class LeafRepair:
 
     def summary(self, spark) -> DataFrame:
         return spark.createDataFrame(
-            [(self.metric, self.base_gap, self.final_gap, self.changed_leaves,
-              self.affected_rows, self.accuracy_delta)],
+            [(self.metric, *self.gaps, len(self.overrides), self.affected, (self.errors[0] - self.errors[1]) / self.rows)],
             "metric string, base_gap double, final_gap double, changed_leaves int, "
             "affected_rows bigint, accuracy_delta double",
         )
@@ -338,7 +340,9 @@ def fit_leaf_repair(
                 (F.round("acc_drop", SCORE_DIGITS) <= acc_budget)
                 & (F.round("gain", SCORE_DIGITS) > 0)
             )
-            best = allowed.orderBy(F.desc("score"), "leaf_id", "candidate").limit(1).collect()
+            # Rounded parts, so that the order of summation cannot decide a near tie.
+            ratio = F.round("gain", SCORE_DIGITS) / (F.greatest(F.round("acc_drop", SCORE_DIGITS), F.lit(0.0)) + F.lit(1e-12))
+            best = allowed.orderBy(ratio.desc(), "leaf_id", "candidate").limit(1).collect()
             if not best:
                 break
             overrides[best[0]["leaf_id"]] = best[0]["candidate"]
@@ -347,16 +351,14 @@ def fit_leaf_repair(
         affected, errors = state.agg(
             F.sum(F.when(F.col("leaf_id").isin(list(overrides)), F.col("n")).otherwise(0)), wrong
         ).first()
-        return LeafRepair(
-            overrides, metric, base_gap, final_gap, len(overrides), affected,
-            (base_errors - errors) / n_rows,
-        )
+        return LeafRepair(overrides, metric, (base_gap, final_gap), (base_errors, errors), n_rows, affected)
     finally:
         summary.unpersist()
 
 
 def _summary_gap(summary: DataFrame, metric: str) -> float:
-    rows = summary if metric == "dp" else summary.where(F.col("label") == 1)
+    rows = summary.where("group IS NOT NULL")
+    rows = rows if metric == "dp" else rows.where(F.col("label") == 1)
     means = rows.groupBy("group").agg((F.sum(F.col("n") * F.col("pred")) / F.sum("n")).alias("m"))
     return means.agg(
         F.when(F.count("m") >= 2, F.max("m") - F.min("m")).otherwise(F.lit(0.0))

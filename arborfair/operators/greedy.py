@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import SCORE_DIGITS, information_gain, plus
-from .cells import Cell, Order, cell_counts, split_counts, with_gain
+from .cells import MAX_CELLS, Cell, Order, cell_counts, split_counts, with_gain
 from .patterns import Patterns
 from .tree import count_errors, count_leaves, leaf_of, split_of
 
@@ -68,6 +68,7 @@ def grow(
     pick_first: bool = False,
     narrow: bool = True,
     disjoint: bool = False,
+    max_cells: int = MAX_CELLS,
 ) -> list[tuple]:
     """One subtree per root cell.  A budget of ``d`` allows ``d - 1`` splits on a path.
 
@@ -97,7 +98,7 @@ def grow(
             limits.append(level_candidates(size, remaining, budgets[i]) if narrow else size)
         counts = cell_counts(
             patterns, [f[2] for f in frontier], [root_orders[f[0]] for f in frontier], limits,
-            disjoint=disjoint or len(roots) == 1,
+            disjoint=disjoint or len(roots) == 1, max_cells=max_cells,
         )
         if at_root:
             picked = _ranked_best(counts, C, max_features, n_features)

@@ -4,24 +4,37 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranks import take_per_group
-from .target import MAX_CLASSES
 
 
-def quotas_by_class(counts: dict, test_size: float) -> dict:
-    """Test rows per class: the floor of each share, then the largest remainders, ties by class."""
-    n = sum(counts.values())
-    n_test = math.ceil(test_size * n)
-    shares = {c: n_test * m / n for c, m in counts.items()}
-    quotas = {c: math.floor(s) for c, s in shares.items()}
-    order = sorted(counts, key=lambda c: (-round(shares[c] - quotas[c], 12), c))
-    for c in order[: n_test - sum(quotas.values())]:
-        quotas[c] += 1
-    return quotas
+def quotas_by_class(counts: DataFrame, key: str, test_size: float, rows: int) -> DataFrame:
+    """``key, quota`` of a table ``key, count`` with ``rows`` in all: the floor of each class's share, then one row more for
+    the largest remainders, ties by class.
+
+    Classes with equal counts have equal remainders, so the cut is found in the small table of distinct counts; only
+    the classes with the remainder at the cut are put in order.
+    """
+    n_test = math.ceil(test_size * rows)
+    share = F.lit(n_test) * F.col("count") / F.lit(rows)
+    shares = counts.select(key, F.floor(share).alias("least"), F.round(share - F.floor(share), 12).alias("rest"))
+    by_rest = shares.groupBy("rest").agg(F.count("*").alias("classes"), F.sum("least").alias("least"))
+    spare = n_test - (by_rest.agg(F.sum("least")).first()[0] or 0)
+    upto = Window.orderBy(F.desc("rest"))  # a row per distinct remainder
+    cut = by_rest.select("rest", "classes", F.sum("classes").over(upto).alias("upto")).where(
+        F.col("upto") >= spare).orderBy("upto").limit(1).collect() if spare else []
+    if not cut:
+        return shares.select(key, F.col("least").alias("quota"))
+    at, left = cut[0]["rest"], spare - (cut[0]["upto"] - cut[0]["classes"])
+    above = F.col("rest") > at
+    if left == cut[0]["classes"]:
+        return shares.select(key, (F.col("least") + (F.col("rest") >= at).cast("int")).alias("quota"))
+    first = shares.where(F.col("rest") == at).orderBy(key).limit(left).select(F.col(key).alias("_first"), F.lit(1).alias("_one"))
+    return shares.join(first, F.col(key).eqNullSafe(F.col("_first")), "left").select(
+        key, (F.col("least") + above.cast("int") + F.coalesce("_one", F.lit(0))).alias("quota"))
 
 
 def mark_test_rows(
@@ -30,30 +43,19 @@ def mark_test_rows(
     """Add ``is_test``.  Stratified by label, unless the label is a float, has a class of fewer
     than two rows, or has more classes than half the rows; then all rows form one stratum.
 
-    Every other column, sensitive ones included, stays on its row.
+    Every other column, sensitive ones included, stays on its row.  Where strata count, a row without label is no test row.
     """
-    spark = df.sparkSession
     stratified = not isinstance(df.schema[label].dataType, (T.FloatType, T.DoubleType))
-    counts: dict = {}
     if stratified:
-        # More classes than this cannot be listed on the driver and are not a class label.
-        rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-        counts = {r[label]: r["count"] for r in rows}
-        stratified = (
-            len(counts) <= MAX_CLASSES
-            and min(counts.values()) >= 2
-            and len(counts) <= sum(counts.values()) // 2
-        )
+        counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("_stratum")).count()
+        n_classes, least, most, rows = counts.agg(F.count("*"), F.min("count"), F.max("count"), F.sum("count")).first()
+        stratified = bool(rows) and least >= 2 and n_classes <= rows // 2
     if not stratified:
-        counts = {0: df.count()}
-    quotas = quotas_by_class(counts, test_size)
+        rows = most = df.count()
+        counts = df.sparkSession.createDataFrame([(0, rows)], "_stratum int, count long")
+    quotas = quotas_by_class(counts, "_stratum", test_size, max(1, rows))
     stratum = F.col(label) if stratified else F.lit(0)
-    dtype = df.schema[label].dataType if stratified else T.IntegerType()
-    table = spark.createDataFrame(
-        list(quotas.items()),
-        T.StructType([T.StructField("_stratum", dtype), T.StructField("quota", T.LongType())]),
-    )
-    taken = take_per_group(df.withColumn("_stratum", stratum), "_stratum", table, row_id, seed)
+    taken = take_per_group(df.withColumn("_stratum", stratum), "_stratum", quotas, row_id, seed, rows=most)
     return taken.drop("_stratum").withColumnRenamed("taken", "is_test")
 
 

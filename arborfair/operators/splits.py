@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import SCORE_DIGITS, gini, plus, squares, variance
-from ..functions.ranks import long_values, running_sums
+from ..functions.ranks import bucket_edges, long_values, midpoint, running_sums
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ def _with_totals(df: DataFrame, totals: DataFrame | list[tuple], stats: Statisti
             for i, w in enumerate(stats.columns("w"))
         ])
     renamed = totals.selectExpr("node", *[f"{n} AS {w}" for n, w in zip(stats.names, stats.columns("w"))])
-    return df.join(F.broadcast(renamed), "node")
+    return df.join(renamed, "node")  # the optimizer measures it before it broadcasts it
 
 
 def _score(candidates: DataFrame, totals: DataFrame | list[tuple], stats: Statistics, min_leaf: int) -> DataFrame:
@@ -102,21 +102,27 @@ def _score(candidates: DataFrame, totals: DataFrame | list[tuple], stats: Statis
     )
 
 
+#: Rows of one column that one task sorts.
+SORTED_ROWS = 50_000
+
+
 def numeric_candidates(
     df: DataFrame, columns: list[str], y: str, totals: DataFrame | list[tuple], stats: Statistics,
-    min_leaf: int, edges: dict[str, list[float]],
+    min_leaf: int, edges: dict[str, list[float]] | None = None,
 ) -> DataFrame:
     """``node, feature, threshold, gain, score, l0..``: every boundary between two values.
 
-    Missing values never pass ``<= threshold``, so they count on the right.
+    Missing values never pass ``<= threshold``, so they count on the right.  Without ``edges`` the values are sorted
+    in buckets of about ``SORTED_ROWS`` rows.
     """
+    edges = edges if edges is not None else bucket_edges(df, columns, df.count(), SORTED_ROWS)
     long = long_values(df, columns, edges, ["node", y])
     per_value = long.groupBy("node", "feature", "bucket", "value").agg(*stats.aggregates(y))
     running = running_sums(
         per_value, ["node", "feature"], "value", stats.names, any(edges.values())
     ).where(F.col("next_value").isNotNull())
     cut = running.selectExpr(
-        "node", "feature", "(value + next_value) / 2.0D AS threshold",
+        "node", "feature", f"{midpoint('value', 'next_value')} AS threshold",
         *[f"cum_{s} AS {l}" for s, l in zip(stats.names, stats.columns("l"))],
     )
     return _score(cut, totals, stats, min_leaf)
@@ -193,10 +199,10 @@ def bucket_borders(
     window = "(PARTITION BY node, feature ORDER BY bucket"
     swept = buckets.selectExpr(
         "*", *[f"sum({s}) OVER {window}) AS {c}" for s, c in zip(names, l)],
-        f"(hi + lead(lo) OVER {window})) / 2.0D AS threshold",
+        f"lead(lo) OVER {window}) AS next_lo",
     )
     swept = _with_totals(swept, totals, stats).selectExpr(
-        "*", *[f"{c} - {s} AS {d}" for c, s, d in zip(l, names, b)]
+        "*", f"{midpoint('hi', 'next_lo')} AS threshold", *[f"{c} - {s} AS {d}" for c, s, d in zip(l, names, b)]
     )
     gain, score = split_gain(l, w, stats)
     valid = f"threshold IS NOT NULL AND {_both_sides(l, w, stats, min_leaf)}"
@@ -204,8 +210,9 @@ def bucket_borders(
         "node", "feature", "bucket", "threshold", *l, *b, "lo < hi AS inner_cuts",
         f"if({valid}, {score}, 0D) AS score", f"if({valid}, {gain}, 0D) AS gain",
         f"{_bound(b, l, w, stats)} AS bound",
-    ).selectExpr("*", "max(score) OVER (PARTITION BY node) AS best")
-    return scored.selectExpr(
+    )
+    best = scored.groupBy("node").agg(F.max("score").alias("best"))
+    return scored.join(best, "node").selectExpr(
         "node", "feature", "bucket", "threshold", "score", "gain", *l, *b, "best",
         f"inner_cuts AND coalesce(bound >= best - {BOUND_SLACK!r}D, true) AS open",
     ).where("open OR (score > 0 AND score = best)").drop("best")
@@ -234,7 +241,7 @@ def inner_candidates(
     )
     placed = running.join(F.broadcast(before), keys)  # at most MAX_OPEN_BUCKETS rows
     cut = placed.selectExpr(
-        "node", "feature", "(value + next_value) / 2.0D AS threshold",
+        "node", "feature", f"{midpoint('value', 'next_value')} AS threshold",
         *[f"cum_{s} + {b} AS {l}" for s, b, l in zip(stats.names, stats.columns("b"), stats.columns("l"))],
     )
     return _score(cut, totals, stats, min_leaf)
@@ -317,7 +324,7 @@ def best_category_subset(
 
 def best_per_feature(
     df: DataFrame, numeric: list[str], categorical: list[str], y: str, totals: DataFrame | list[tuple],
-    stats: Statistics, min_leaf: int, max_categories: int, edges: dict[str, list[float]],
+    stats: Statistics, min_leaf: int, max_categories: int, edges: dict[str, list[float]] | None,
     opened: list[tuple] | None = None,
 ) -> DataFrame | None:
     """The best split of every node on every feature that can split it.
@@ -349,7 +356,7 @@ def best_per_feature(
 
 def best_splits(
     df: DataFrame, numeric: list[str], categorical: list[str], y: str, totals: DataFrame | list[tuple],
-    stats: Statistics, min_leaf: int, max_categories: int, edges: dict[str, list[float]],
+    stats: Statistics, min_leaf: int, max_categories: int, edges: dict[str, list[float]] | None = None,
 ) -> DataFrame:
     """One row per node that can be split: the feature of largest gain, the first one on a tie."""
     found = best_per_feature(

@@ -10,10 +10,21 @@ from pyspark.sql import functions as F
 from .binarize import BinaryFeatures, assemble, collect_vocabulary
 
 
+_LARGEST = 1e300
+
+
 def _assembled(df: DataFrame, columns: list[Column], label: Column) -> DataFrame:
+    """Labels and vectors of all rows.
+
+    The booster takes finite numbers only: infinite values become the largest that are used, and a missing value
+    lies above all of them, so it fails every test.
+    """
     names = [f"_x{i}" for i in range(len(columns))]
-    wide = df.select(label.cast("double").alias("_label"), *[c.alias(n) for c, n in zip(columns, names)])
-    packed = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="skip").transform(wide)
+    most, missing = F.lit(_LARGEST), F.lit(2 * _LARGEST)
+    wide = df.where(label.isNotNull()).select(
+        label.cast("double").alias("_label"),
+        *[F.coalesce(F.least(F.greatest(F.nanvl(c, F.lit(None)), -most), most), missing).alias(n) for c, n in zip(columns, names)])
+    packed = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="error").transform(wide)
     return packed.select("_label", "_features")
 
 

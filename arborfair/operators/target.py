@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from ..functions.ranks import exact_quantiles
 
 MAX_INTEGER_CLASSES = 10
-MAX_CLASSES = 200
 
 
 @dataclass(frozen=True)
@@ -36,7 +35,6 @@ def fit_target(df: DataFrame, label: str, rows_per_bucket: int | None = None) ->
     """Read the label once and decide its coding.  Raises if only one value occurs."""
     dtype = df.schema[label].dataType
     text = isinstance(dtype, (T.StringType, T.CharType, T.VarcharType))
-    limit = MAX_CLASSES if text else MAX_INTEGER_CLASSES
     low, high, roughly = df.agg(
         F.min(label), F.max(label), F.approx_count_distinct(label)
     ).first()
@@ -44,20 +42,15 @@ def fit_target(df: DataFrame, label: str, rows_per_bucket: int | None = None) ->
         raise ValueError("the target has fewer than 2 distinct values; nothing to learn")
     values = []
     if text or isinstance(dtype, T.IntegralType):
-        if roughly <= 2 * limit:
+        # The classes of a text target are part of the model, however many there are.
+        if text or roughly <= 2 * MAX_INTEGER_CLASSES:
             values = [r[0] for r in df.select(label).distinct().collect() if r[0] is not None]
-        elif text:
-            raise ValueError(f"the target has more than {limit} classes")
     if values and is_classification(dtype, len(values)):
-        if len(values) > limit:
-            raise ValueError(f"the target has more than {limit} classes")
         classes = sorted(values)
         if not text and classes == list(range(len(classes))):
             return Target(classes, None, F.col(label).cast("int"))
-        coded = F.lit(None).cast("int")
-        for i, value in enumerate(classes):
-            coded = F.when(F.col(label) == F.lit(value), F.lit(i)).otherwise(coded)
-        return Target(classes, None, coded)
+        place = F.array_position(F.lit(classes).cast(T.ArrayType(dtype)), F.col(label))
+        return Target(classes, None, F.when(place > 0, place - 1).cast("int"))
     kw = {} if rows_per_bucket is None else {"rows_per_bucket": rows_per_bucket}
     median = exact_quantiles(df, [label], [0.5], **kw)[label][0]
     return Target([0, 1], median, (F.col(label) >= F.lit(median)).cast("int"))

@@ -373,15 +373,11 @@ def _as_one_node(df: DataFrame) -> DataFrame:
     return df.withColumn("node", F.lit(0))
 
 
-def _edges(columns):
-    return {c: [] for c in columns}
-
-
 @query
 def best_numeric_split_clf(spark, sf):
     df, stats = _as_one_node(lines(spark, sf)), Statistics(2)
     found = best_numeric(numeric_candidates(
-        df, LINE_NUMERIC, "y", node_statistics(df, "y", stats), stats, 10, _edges(LINE_NUMERIC)))
+        df, LINE_NUMERIC, "y", node_statistics(df, "y", stats), stats, 10))
     return _rounded(found.select("feature", "threshold", "gain", F.col("l0").alias("left_0"), F.col("l1").alias("left_1")))
 
 
@@ -390,7 +386,7 @@ def best_numeric_split_by_node(spark, sf):
     df = lines(spark, sf).withColumn("node", F.ascii("l_returnflag"))
     stats = Statistics(2)
     found = best_numeric(numeric_candidates(
-        df, LINE_NUMERIC, "y", node_statistics(df, "y", stats), stats, 10, _edges(LINE_NUMERIC)))
+        df, LINE_NUMERIC, "y", node_statistics(df, "y", stats), stats, 10))
     return _rounded(found.select("node", "feature", "threshold", "gain"))
 
 
@@ -400,7 +396,7 @@ def best_numeric_split_reg(spark, sf):
     df, stats = _as_one_node(lines(spark, sf)), Statistics(None)
     df = df.withColumn("c", F.col("net") - df.agg(F.avg("net")).scalar())
     found = best_numeric(numeric_candidates(
-        df, columns, "c", node_statistics(df, "c", stats), stats, 10, _edges(columns)))
+        df, columns, "c", node_statistics(df, "c", stats), stats, 10))
     return found.select("feature", F.round("threshold", 6).alias("threshold"), F.round(F.col("gain") / 1e6, 4).alias("gain"),
                         F.col("l0").cast("bigint").alias("left_n"))
 
@@ -442,7 +438,7 @@ def best_categorical_split_multiclass(spark, sf):
 def best_split_of_all(spark, sf):
     df, stats = _as_one_node(customers(spark, sf)), Statistics(2)
     found = best_splits(df, ["c_acctbal"], ["nation", "c_mktsegment"], "y",
-                        node_statistics(df, "y", stats), stats, 10, 10, _edges(["c_acctbal"]))
+                        node_statistics(df, "y", stats), stats, 10, 10)
     return _rounded(_joined_categories(found).select("feature", "threshold", "gain", "left_categories"))
 
 
@@ -517,7 +513,7 @@ def cart_regression(spark, sf):
 @query
 def cart_multiclass(spark, sf):
     raw = table(spark, sf, "embeddings")
-    columns = [f"e{i}" for i in range(8)]
+    columns = [f"e{i}" for i in range(64)]
     wide = raw.select(F.col("label").cast("int").alias("y"),
                       *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(columns)])
     return _node_rows(spark, fit_cart(wide, "y", columns, [], max_depth=3))
@@ -840,7 +836,7 @@ def run_outcomes(spark, sf):
 
 
 def run_logs(spark: SparkSession, sf: str) -> DataFrame:
-    """One log text per customer, in the format of the run logs."""
+    """One log text per customer.  The wording of the lines is a fixed value: it is what log readers look for."""
     key = F.col("c_custkey")
 
     def num(shift: int):
@@ -851,9 +847,9 @@ def run_logs(spark: SparkSession, sf: str) -> DataFrame:
     def block(title, base: int):
         return F.concat_ws(
             "\n", title, F.lit("-----"),
-            F.concat(F.lit("  Statistical parity diff:  "), num(base), F.lit("  (max - min pos rate)")),
-            F.concat(F.lit("  Disparate impact ratio:   "), num(base + 1), F.lit("  (<0.8 usually unfair)")),
-            F.concat(F.lit("  Equal opportunity diff:   "), num(base + 2), F.lit("  (TPR gap)")))
+            F.concat(F.lit("  Statistical parity diff:  "), num(base)),
+            F.concat(F.lit("  Disparate impact ratio:   "), num(base + 1)),
+            F.concat(F.lit("  Equal opportunity diff:   "), num(base + 2)))
 
     post = F.when(key % 3 == 1, F.lit("calibrated")).when(key % 3 == 2, F.lit("LPFR"))
     after = F.when(key % 3 == 1, F.lit("Calibrated")).when(key % 3 == 2, F.lit("LPFR"))
@@ -866,7 +862,7 @@ def run_logs(spark: SparkSession, sf: str) -> DataFrame:
         block(F.lit("Fairness - sex:"), 20),
         F.when(post.isNotNull(), block(F.concat(F.lit("Fairness - sex ("), post, F.lit("):")), 30)),
         F.when(after.isNotNull(), F.concat(
-            F.lit("  "), after, F.lit(" accuracy: "), num(40), F.lit(" (was 0.5000, delta=+0.1)"))),
+            F.lit("  "), after, F.lit(" accuracy: "), num(40))),
     )
     name = F.concat(F.lit("lookahead-greedy-"), F.lower("c_mktsegment"), F.lit("-d5-bin-"), mode,
                     F.lit("-c"), key.cast("string"), F.lit(".log"))

@@ -7,32 +7,25 @@ lost executor costs one re-read and not a re-run of everything before it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_FOLDER: str | None = None
-
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only for a local master."""
-    global _LOCAL_FOLDER
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        return None
-    if _LOCAL_FOLDER is None:
-        _LOCAL_FOLDER = tempfile.mkdtemp(prefix="arborfair-")
-    return _LOCAL_FOLDER
+    """The folder of ``spark.checkpoint.dir``, if the session names one."""
+    return spark.conf.get("spark.checkpoint.dir", None)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for an input of few files; an input with enough partitions is left alone."""
+    """Use all cores for an input of few files; one of as many files as cores is left alone.
+
+    Asks the plan for its files only, so nothing is run to find out.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    if df.isStreaming or len(df.inputFiles()) >= cores:
         return df
     # Dealt out by a running number: even, and without the sort of a round-robin exchange.
     return df.repartition(cores, F.monotonically_increasing_id())
@@ -49,8 +42,8 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         folder = shared_folder(self.spark)
         if folder is None:
-            # A cluster that names no shared folder: the cache rebuilds lost blocks itself.
-            df = df.persist()
+            # No shared folder: the cache spills to disk and rebuilds lost blocks itself.
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
             self._persisted.append(df)
             return df
         path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -58,18 +51,6 @@ class Scratch:
         self._paths.append(path)
         return self.spark.read.parquet(path)
 
-    def reread(self, df: DataFrame) -> DataFrame:
-        """A table that will be scanned many times.
-
-        One with fewer partitions than cores is small: it is dealt out to all cores and cached.
-        A larger one is scanned again each time, which reads only the columns in use.
-        """
-        dealt = spread(df)
-        if dealt is not df:
-            dealt = dealt.persist()
-            self._persisted.append(dealt)
-        return dealt
-
     def release(self) -> None:
         for df in self._persisted:
             df.unpersist()

@@ -114,11 +114,22 @@ def test_leaf_repair_equals_brute_force(spark, seed, metric, budget):
     repair = fairness.fit_leaf_repair(df, "leaf", "g", "y", "p", metric, acc_budget=budget)
     want, gap = brute_repair(rows, metric, budget)
     assert repair.overrides == want
-    assert repair.final_gap == pytest.approx(gap) and repair.final_gap <= repair.base_gap
-    assert repair.accuracy_delta >= -budget - 1e-12
+    assert repair.gaps[1] == pytest.approx(gap) and repair.gaps[1] <= repair.gaps[0]
+    assert (repair.errors[0] - repair.errors[1]) / repair.rows >= -budget - 1e-12
     fixed = df.select("leaf", repair.apply("leaf", "p").alias("q")).distinct().collect()
     assert all(r["q"] == want.get(r["leaf"], int(r["leaf"] > "LZ")) for r in fixed)
-    assert repair.affected_rows == sum(r[0] in want for r in rows)
+    assert repair.affected == sum(r[0] in want for r in rows)
+
+
+def test_a_missing_group_is_no_group(spark):
+    rows = [("L", "a", 1, 1), ("L", None, 1, 0), ("R", "a", 0, 1), ("R", None, 0, 0)] * 30
+    df = spark.createDataFrame(rows, "leaf string, g string, y int, p int")
+    assert fairness.fairness_gap(df, "y", "p", "g").first()[0] == 0.0
+    assert fairness.group_fairness(df, "y", "p", "g").count() == 0
+    repair = fairness.fit_leaf_repair(df, "leaf", "g", "y", "p", "dp")
+    assert repair.overrides == {} and repair.gaps == (0.0, 0.0) and repair.rows == 120
+    more = df.unionAll(spark.createDataFrame([("L", "b", 1, 0), ("R", "b", 0, 1)] * 40, df.schema))
+    assert fairness.fit_leaf_repair(more, "leaf", "g", "y", "p", "dp", acc_budget=1.0).gaps[0] == 0.5
 
 
 def test_sensitive_groups(spark):

@@ -62,9 +62,37 @@ def test_take_per_group_equals_plain_ranking(spark):
     assert {r["id"] for r in again.where("taken").collect()} == want
 
 
-def test_split_sizes():
-    assert quotas_by_class({0: 7, 1: 3}, 0.25) == {0: 2, 1: 1}
-    assert sum(quotas_by_class({0: 10, 1: 10, 2: 10}, 0.35).values()) == 11
+def _quotas(spark, counts, test_size):
+    df = spark.createDataFrame(list(counts.items()), "k int, count long")
+    return {r["k"]: r["quota"] for r in quotas_by_class(df, "k", test_size, sum(counts.values())).collect()}
+
+
+def test_split_sizes(spark):
+    assert _quotas(spark, {0: 7, 1: 3}, 0.25) == {0: 2, 1: 1}
+    assert _quotas(spark, {0: 10, 1: 10, 2: 10}, 0.35) == {0: 4, 1: 4, 2: 3}
+    assert _quotas(spark, {0: 10, 1: 10, 2: 10}, 0.4) == {0: 4, 1: 4, 2: 4}
+    assert _quotas(spark, {0: 5, 1: 6, 2: 7, 3: 8}, 0.3) == {0: 2, 1: 2, 2: 2, 3: 2}
+
+
+def test_split_of_many_classes(spark):
+    df = spark.range(5000).selectExpr("id", "cast(if(id < 10, NULL, id % 500) AS int) AS y")
+    taken = {r["y"]: r["n"] for r in mark_test_rows(df, "y", "id", 0.2, 3).where("is_test").groupBy("y").agg(
+        F.count("*").alias("n")).collect()}
+    assert len(taken) == 500 and set(taken.values()) <= {1, 2} and sum(taken.values()) == 998
+
+
+def test_stumps_keep_rows_with_missing_values(spark):
+    df = spark.range(400).selectExpr("double(id) AS a", "int(id > 300) AS y", "if(id % 10 = 0, double(id % 7), NULL) AS b")
+    alone = fit_stump_thresholds(df, "y", ["a"], [], 2, n_estimators=1)
+    both = fit_stump_thresholds(df, "y", ["a", "b"], [], 2, n_estimators=1)
+    assert alone.names == both.names
+
+
+def test_text_target_with_many_classes(spark):
+    df = spark.range(900).selectExpr("concat('c', id % 450) AS y")
+    coded, target = prepare_target(df, "y")
+    assert len(target.classes) == 450
+    assert all(target.classes[r["y"]] == r["t"] for r in df.select(target.code.alias("y"), df.y.alias("t")).distinct().collect())
 
 
 def test_split_falls_back_to_one_stratum(spark):
