@@ -3,15 +3,18 @@
 A document is its set of distinct word shingles.  One hash function orders all shingles, and a sketch keeps the k
 least values of a set.  Documents with equal sets are one class from the start and are never compared.
 
-1. *Inverted lists.*  Of two sets with a similarity of 0.8, the k least values of the union lie in both with
-   probability 0.8 each, so the sketches share at least ``need`` of 40 values, but for about one pair in 10**10
-   (for sets of up to 40 shingles: always).  Sketches that share ``need`` values still meet if each gives up its
-   ``need - 1`` most frequent values; so only the rarest values of a sketch are listed, and values that a passage
-   has put into a third of all documents make no lists.
-2. *Candidates.*  A list is not expanded into all its pairs.  In two star rounds its members are compared with two
-   leaders; then only pairs of different components are left to compare, and all of these are.
+1. *Inverted lists.*  Each pair of neighbouring values of a sketch has a list of the sketches that hold it.  Of two sets
+   with a similarity of 0.8, each of the k least values of the union lies in both with probability 0.8, and two such values
+   in a row make a common pair; 32 values without two in a row have a probability of 5 in 10**10.  If both sets
+   have no more than k shingles, a common pair is certain.  A passage that many documents share fills no lists: its
+   values are seldom neighbours among the others.
+2. *Candidates.*  A list is not expanded into all its pairs.  In star rounds its members are compared with the member that
+   has most in common with others and with one picked by hash; then only pairs of different components are left to
+   compare, and all of these are.
+   Every pair must pass an exact bound inside the join that makes it: the parities of the hash buckets of two sets differ in
+   at most as many buckets as the sets differ in shingles.
 3. *Union sketch.*  The k least values of both sketches together estimate the similarity; pairs that share fewer
-   than ``need`` of them are dropped.
+   than ``NEED`` of them are dropped (one linked pair in 10**9).
 4. *Exact Jaccard* on the full sets confirms what remains.
 
 Cases: a null or empty text has the empty set and is linked with nothing but stays as a row; one word is one shingle;
@@ -31,8 +34,10 @@ from .components import components
 from .words import BLANK_WORDS, find_words, mix, window_hashes, window_starts
 
 #: Values kept of each set, and shared values that a link is sure to have.
-SKETCH = 40
-NEED = 16
+SKETCH = 32
+NEED = 11
+#: Buckets whose parities bound the difference of two sets.
+PARITIES = 512
 SHINGLE = 2
 _PER_CENT = 80
 
@@ -64,31 +69,37 @@ def _sketches(sketch: int, shingle: int):
                 # Two sums over the set name its class.
                 total = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(salt)))]) for salt in (0x5851F42D, 0x14057B7E)]
                 a, b = ((t[first[1:]] - t[first[:-1]]).view(np.int64) for t in total)
+                bucket = np.repeat(np.arange(len(n)), n) * PARITIES + (mix(h) >> np.uint64(55)).astype(np.int64)
+                odd = np.bincount(bucket, minlength=len(n) * PARITIES).astype(np.uint8) & 1
+                odd = np.packbits(odd, bitorder="little").view(np.int64)
                 # The order of the shingles is that of their fingerprints, as signed numbers.
                 signed = h.view(np.int64)
                 kept = [np.sort(signed[i:j])[:sketch] for i, j in zip(first[:-1], first[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), piece.column("row_key"), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b),
-                     pa.array(kept, pa.list_(pa.int64()))], names=["doc_id", "row_key", "n_shingles", "set_a", "set_b", "sketch"])
+                     pa.array(kept, pa.list_(pa.int64())), pa.FixedSizeListArray.from_arrays(pa.array(odd), PARITIES // 64).cast(pa.list_(pa.int64()))],
+                    names=["doc_id", "row_key", "n_shingles", "set_a", "set_b", "sketch", "odd"])
     return run
 
 
-def _need(n):
-    return F.least(F.lit(NEED), F.ceil(n * _PER_CENT / 100))
+def _postings(classes: DataFrame) -> DataFrame:
+    """``(value, node, weight)``: the lists of neighbouring sketch values that hold more than one node; the weight of a node is
+    the length of all its lists."""
+    neighbours = F.transform(F.sequence(F.lit(1), F.size("sketch") - 1), lambda i: F.xxhash64(F.get("sketch", i - 1), F.get("sketch", i)))
+    listed = classes.where(F.size("sketch") > 1).select(F.explode(neighbours).alias("value"), "node")
+    lists = keep(listed.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
+    postings = keep(listed.join(lists, "value"), "postings")
+    weights = postings.groupBy("node").agg(F.sum("n").alias("weight"))
+    sizes = classes.select("node", "n_shingles", "odd")
+    return keep(postings.join(weights, "node").join(sizes, "node").select("value", "node", "weight", "n_shingles", "odd"), "postings")
 
 
-def _postings(classes: DataFrame, sketch: int) -> DataFrame:
-    """``(value, node)`` for the rarest values of every sketch, where more than one sketch lists the value."""
-    values = classes.select("node", F.explode("sketch").alias("value"))
-    often = keep(values.groupBy("value").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "times")
-    shared = values.join(often, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("shared"))
-    held = shared.join(classes.select("node", F.size("sketch").alias("k")), "node")
-    # Values of this sketch alone are its rarest: they count, but have no list.
-    rest = F.col("k") - _need(F.col("k")) + 1 - (F.col("k") - F.size("shared"))
-    listed = held.where(rest > 0).select("node", F.explode(F.slice("shared", F.lit(1), rest.cast("int"))).alias("s"))
-    listed = keep(listed.select(F.col("s.value").alias("value"), "node"), "postings")
-    lists = keep(listed.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value"), "lists")
-    return keep(listed.join(lists, "value", "left_semi"), "postings")
+def _may_link(a, b):
+    """Whether sizes and parities leave room for a link: the sets differ in at most a ninth of their shingles together."""
+    together = a["n_shingles"] + b["n_shingles"]
+    differ = sum((F.bit_count(F.get(a["odd"], F.lit(i)).bitwiseXOR(F.get(b["odd"], F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
+    sizes = 100 * F.least(a["n_shingles"], b["n_shingles"]) >= _PER_CENT * F.greatest(a["n_shingles"], b["n_shingles"])
+    return sizes & (differ * (100 + _PER_CENT) <= together * (100 - _PER_CENT))
 
 
 def _exact(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -114,10 +125,9 @@ def _exact(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, sketch: int) -> DataFrame:
-    """Pairs ``(u, v)`` that sizes and the union sketch leave possible."""
-    named = lambda end: classes.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}"))
+    """Pairs ``(u, v)`` that the union sketch leaves possible."""
+    named = lambda end: classes.select(F.col("node").alias(end), F.col("sketch").alias(f"s_{end}"))
     joined = pairs.join(named("v"), "v").join(named("u"), "u")
-    joined = joined.where(100 * F.least("n_u", "n_v") >= _PER_CENT * F.greatest("n_u", "n_v"))
     union = F.slice(F.array_sort(F.array_union("s_u", "s_v")), 1, sketch)
     counted = joined.select("u", "v", F.size(union).alias("k"), F.size(F.array_intersect(F.array_intersect(union, F.col("s_u")), F.col("s_v"))).alias("both"))
     enough = F.when(F.col("k") < sketch, 100 * F.col("both") >= _PER_CENT * F.col("k")).otherwise(F.col("both") >= NEED)
@@ -129,12 +139,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     narrow = narrow.withColumn("row_key", F.coalesce("doc_id", F.xxhash64("text")))
-    kind = "doc_id long, row_key long, n_shingles long, set_a long, set_b long, sketch array<bigint>"
+    kind = "doc_id long, row_key long, n_shingles long, set_a long, set_b long, sketch array<bigint>, odd array<bigint>"
     rows = keep(narrow.mapInArrow(_sketches(sketch, shingle), kind), "sketches")
     name = ["set_a", "set_b", "n_shingles"]
     classes = keep(rows.where("n_shingles > 0").groupBy(*name).agg(
-        F.min("row_key").alias("node"), F.any_value("sketch").alias("sketch"), F.min("doc_id").alias("least_id")), "classes")
-    postings = _postings(classes, sketch)
+        F.min("row_key").alias("node"), F.any_value("sketch").alias("sketch"), F.any_value("odd").alias("odd"), F.min("doc_id").alias("least_id")), "classes")
+    postings = _postings(classes)
     texts = keep(narrow.join(postings.select(F.col("node").alias("row_key")).distinct(), "row_key", "left_semi")
                  .select(F.col("row_key").alias("node"), "text").dropDuplicates(["node"]), "texts")
 
@@ -147,18 +157,23 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             listed = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if round_number < 2:
             # All lists agree on how they prefer nodes, so a group of copies tends to share its leaders.
-            rank = lambda seed: F.struct(F.xxhash64("node", F.lit(seed)), "node", "component")
-            leaders = keep(listed.groupBy("value").agg(*[F.min(rank(2 * round_number + i)).alias(f"lead_{i}") for i in range(2)]), "leaders")
-            stars = listed.join(leaders, "value").select("node", "component", F.explode(F.array("lead_0", "lead_1")).alias("lead"))
-            pairs = stars.where("component <> lead.component").select(
+            rest = ["node", "component", "n_shingles", "odd"]
+            central = F.struct(-F.col("weight"), F.xxhash64("node", F.lit(round_number)), *rest)
+            any_one = F.struct(F.xxhash64("node", F.lit(round_number)), *rest)
+            leaders = keep(listed.groupBy("value").agg(F.min(central).alias("lead_0"), F.min(any_one).alias("lead_1")).select(
+                "value", F.explode(F.array(*[F.struct(*[F.col(f"lead_{i}.{c}") for c in rest]) for i in range(2)])).alias("lead")), "leaders")
+            here = {c: listed[c] for c in rest}
+            pairs = listed.join(leaders, (listed["value"] == leaders["value"]) & (listed["component"] != F.col("lead.component"))
+                                & _may_link(here, F.col("lead"))).select(
                 F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
         else:
             several = keep(listed.groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b"))
                            .where("a <> b").select("value"), "open")
             open_lists = keep(listed.join(several, "value", "left_semi"), "open")
-            left = open_lists.select("value", F.col("node").alias("u"), F.col("component").alias("cu"))
-            right = open_lists.select("value", F.col("node").alias("v"), F.col("component").alias("cv"))
-            pairs = left.join(right, "value").where("u < v and cu <> cv").select("u", "v")
+            left, right = open_lists.alias("a"), open_lists.alias("b")
+            a, b = ({c: F.col(f"{side}.{c}") for c in ("value", "node", "component", "n_shingles", "odd")} for side in "ab")
+            pairs = left.join(right, (a["value"] == b["value"]) & (a["node"] < b["node"]) & (a["component"] != b["component"]) & _may_link(a, b))
+            pairs = pairs.select(a["node"].alias("u"), b["node"].alias("v"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
