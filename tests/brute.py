@@ -1,4 +1,4 @@
-"""Plain recursive versions of the learners, for tables of a few hundred rows."""
+"""What the learners promise, by enumeration, for tables of a few hundred rows."""
 
 import itertools
 import math
@@ -41,34 +41,55 @@ def shape(t):
     return f"={t[1]}" if t[0] == "leaf" else f"{t[1]}({shape(t[2])},{shape(t[3])})"
 
 
-def ranked(X, y, k, top):
-    F = X.shape[1]
-    if top <= 0 or top >= F:
-        return list(range(F))
-    g = [gain(X[:, f], y, k) if 0 < X[:, f].sum() < len(y) else -1.0 for f in range(F)]
-    return sorted(range(F), key=lambda f: (-g[f], f))[:top]
+def all_gains(X, y, k):
+    """The gain of every test at once, from a table of counts; -1 where a test does not split."""
+    true = X.T.astype(float) @ np.eye(k)[y]
+    whole = np.bincount(y, minlength=k).astype(float)
 
+    def bits(c):
+        share = c / np.maximum(c.sum(axis=-1, keepdims=True), 1)
+        return -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=-1) * c.sum(axis=-1)
 
-def greedy(X, y, k, budget, reg, n, top=0):
-    order = ranked(X, y, k, top)
+    found = np.round((bits(whole) - bits(true) - bits(whole - true)) / max(len(y), 1), 12)
+    sides = true.sum(axis=1)
+    return np.where((sides > 0) & (sides < len(y)), found, -1.0)
+
+
+def ranked(X, y, k, top):
+    """The tests in play: all of them, or the ``top`` of largest gain."""
+    tests = np.arange(X.shape[1])
+    return tests.tolist() if not 0 < top < len(tests) else tests[np.argsort(-all_gains(X, y, k), kind="stable")][:top].tolist()
+
+
+def grown(X, y, k, budget, tests):
+    """The greedy tree before any split is taken back: node path -> (rows, its test or None), level by level."""
+    nodes, level = {}, {"": np.arange(len(y))}
+    for left in range(budget, 0, -1):
+        below = {}
+        allowed = tests if left == budget else tests[:max(5, int(len(tests) * left / budget))]
+        for path, rows in level.items():
+            gains = all_gains(X[rows], y[rows], k)[allowed] if left > 1 and len(rows) > 1 and allowed else np.array([-1.0])
+            test = allowed[int(gains.argmax())] if gains.max() > -1 else None
+            nodes[path] = rows, test
+            if test is not None:
+                below[path + "T"], below[path + "F"] = rows[X[rows, test]], rows[~X[rows, test]]
+        level = below
+    return nodes or {"": (np.arange(len(y)), None)}
+
+
+def cut_back(nodes, y, k, path=""):
+    """Every tree that results from taking back some splits."""
+    rows, test = nodes[path]
+    yield leaf(y[rows], k)
+    if test is not None:
+        for a, b in itertools.product(cut_back(nodes, y, k, path + "T"), cut_back(nodes, y, k, path + "F")):
+            yield ("split", test, a, b)
 
-    def grow(X, y, depth):
-        here = leaf(y, k)
-        if depth <= 1 or len(y) < 2:
-            return here
-        cut = len(order) if depth >= budget else max(5, int(len(order) * depth / budget))
-        best, pick = -1.0, None
-        for f in order[:cut]:
-            x = X[:, f]
-            if 0 < x.sum() < len(y) and gain(x, y, k) > best:
-                best, pick = gain(x, y, k), f
-        if pick is None:
-            return here
-        x = X[:, pick]
-        sub = ("split", pick, grow(X[x], y[x], depth - 1), grow(X[~x], y[~x], depth - 1))
-        return sub if loss(sub, n, reg) < loss(here, n, reg) else here
 
-    return grow(X, y, budget)
+def greedy(X, y, k, budget, reg, n, top=0):
+    """Of all ways to cut back the greedy tree, the one of smallest loss, then of fewest leaves."""
+    nodes = grown(X, y, k, budget, ranked(X, y, k, top))
+    return min(cut_back(nodes, y, k), key=lambda t: (loss(t, n, reg), size(t)))
 
 
 def optimal(X, y, k, depth, reg, n, top=0, remaining=0):
@@ -92,23 +113,23 @@ def optimal(X, y, k, depth, reg, n, top=0, remaining=0):
 
 
 def rollout(X, y, k, depth, reg, n, top=0):
-    here = leaf(y, k)
-    if depth < 1 or len(y) < 2:
-        return here
-    best, pick = loss(here, n, reg), None
-    for f in ranked(X, y, k, top):
-        x = X[:, f]
-        if 0 < x.sum() < len(y):
-            total = round(
-                loss(greedy(X[x], y[x], k, depth - 1, reg, n, top), n, reg)
-                + loss(greedy(X[~x], y[~x], k, depth - 1, reg, n, top), n, reg), 12)
-            if total < best:
-                best, pick = total, f
-    if pick is None:
-        return here
-    x = X[:, pick]
-    return ("split", pick, rollout(X[x], y[x], k, depth - 1, reg, n, top),
-            rollout(X[~x], y[~x], k, depth - 1, reg, n, top))
+    """The tree whose every split has the least sum of greedy losses on its sides, below the loss of the leaf."""
+    chosen, waiting = {}, [("", np.arange(len(y)), depth)]
+    while waiting:
+        path, rows, left = waiting.pop()
+        here, there = X[rows], y[rows]
+        tests = ranked(here, there, k, top) if left > 0 and len(rows) > 1 else []
+        totals = {f: round(sum(loss(greedy(here[side], there[side], k, left - 1, reg, n, top), n, reg)
+                               for side in (here[:, f], ~here[:, f])), 12)
+                  for f in tests if 0 < here[:, f].sum() < len(rows)}
+        best = min(totals.values(), default=math.inf)
+        if best < loss(leaf(there, k), n, reg):
+            test = next(f for f in tests if totals.get(f) == best)
+            waiting += [(path + "T", rows[here[:, test]], left - 1), (path + "F", rows[~here[:, test]], left - 1)]
+            chosen[path] = rows, test
+        else:
+            chosen[path] = rows, None
+    return max(cut_back(chosen, y, k), key=size)  # nothing is taken back
 
 
 def from_tree(tree, path=""):
