@@ -558,3 +558,31 @@ add("log_metrics", " UNION ALL ".join(
 add("log_identity", """SELECT 'lookahead-greedy' AS model, lower(c_mktsegment) AS dataset, 5 AS depth, 'bin' AS features,
   ['nofair', 'fair', 'lpfr'][c_custkey % 3 + 1] AS mode, c_custkey % 3 <> 0 AS is_fair, ['nofair', 'fair', 'lpfr'][c_custkey % 3 + 1] AS output, count(*) AS n
 FROM customer GROUP BY ALL""")
+
+add("split_many_classes", """WITH c AS (SELECT CAST(o_custkey % 701 AS INTEGER) AS y, count(*) AS n FROM orders GROUP BY 1),
+t AS (SELECT sum(n) AS rows, ceil(0.2 * sum(n)) AS n_test FROM c),
+s AS (SELECT y, n, floor(n_test * n / rows) AS least, round(n_test * n / rows - floor(n_test * n / rows), 12) AS rest, n_test FROM c, t),
+r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, y) AS place, n_test - sum(least) OVER () AS spare FROM s)
+SELECT y, n, CAST(least + CASE WHEN place <= spare THEN 1 ELSE 0 END AS BIGINT) AS n_test FROM r""")
+add("text_target_codes", """WITH p AS (SELECT p_partkey, p_brand || '/' || p_size AS y FROM part)
+SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY y) - 1 AS INTEGER) AS code FROM p""")
+MISSING_GROUP = f"""{SCORED}, grouped AS (SELECT p, y, r_name FROM scored WHERE c_custkey % 3 <> 0)"""
+add("fairness_gap_missing_group", f"WITH {MISSING_GROUP}, g AS (SELECT avg(p) AS m FROM grouped GROUP BY r_name) SELECT round(max(m) - min(m), 8) AS gap FROM g")
+add("group_fairness_missing_group", f"""WITH {MISSING_GROUP}
+SELECT r_name AS "group", count(*) AS n, round(avg(CASE WHEN p = y THEN 1.0 ELSE 0 END), 8) AS accuracy, round(avg(p), 8) AS positive_rate,
+  round(avg(p) FILTER (y = 1), 8) AS tpr, count(*) < 50 AS small_group FROM grouped GROUP BY r_name""")
+INFINITE = """price AS (SELECT y, CASE l_linenumber WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE WHEN 3 THEN NULL ELSE l_extendedprice END AS v
+  FROM (SELECT *, CAST(l_extendedprice * (1 - l_discount) >= 50000 AS INTEGER) AS y FROM lineitem)),
+per AS (SELECT v, sum(1 - y) AS a, sum(y) AS b FROM price WHERE v IS NOT NULL GROUP BY v),
+tot AS (SELECT sum(1 - y) AS ta, sum(y) AS tb, count(*) AS n FROM price),
+cut AS (SELECT v, lead(v) OVER (ORDER BY v) AS w, sum(a) OVER (ORDER BY v) AS l0, sum(b) OVER (ORDER BY v) AS l1 FROM per),
+gain AS (SELECT CASE WHEN w = 'inf'::DOUBLE OR v = '-inf'::DOUBLE THEN v ELSE (v + w) / 2 END AS threshold, l0, l1, n,
+    (1 - (ta / n) ^ 2 - (tb / n) ^ 2)
+    - (l0 + l1) / n * (1 - (l0 / (l0 + l1)) ^ 2 - (l1 / (l0 + l1)) ^ 2)
+    - (n - l0 - l1) / n * (1 - ((ta - l0) / (n - l0 - l1)) ^ 2 - ((tb - l1) / (n - l0 - l1)) ^ 2) AS gain
+  FROM cut, tot WHERE w IS NOT NULL AND l0 + l1 >= 10 AND n - l0 - l1 >= 10),
+best AS (SELECT * FROM gain ORDER BY round(gain, 12) DESC, threshold LIMIT 1)"""
+add("numeric_split_infinite", f"WITH {INFINITE} SELECT round(threshold, 8) AS threshold, round(gain, 8) AS gain, CAST(l0 AS BIGINT) AS left_0, CAST(l1 AS BIGINT) AS left_1 FROM best")
+add("cart_infinite_values", f"WITH {INFINITE} SELECT round(threshold, 8) AS threshold, CAST(n AS BIGINT) AS n FROM best")
+add("missing_target_dropped", "SELECT o_orderkey, o_orderstatus AS y FROM orders WHERE o_orderstatus <> 'P'")
+add("numeric_columns_kept", "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer")

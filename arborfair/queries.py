@@ -887,3 +887,68 @@ def ordered_output(spark, sf):
     m = runs.seed_summary(run_metrics(spark, sf)).where(F.col("metric") == "test_accuracy")
     known = m.select("model", "dataset", "mode", "mean")
     return runs.in_output_order(known, datasets=["click", "view", "purchase"])
+
+
+# -- results that must not depend on sizes, missing or infinite values ---------------------
+
+
+@query
+def split_many_classes(spark, sf):
+    """Test rows per class of a label with far more classes than a list on the driver should hold."""
+    raw = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 701).cast("int").alias("y"))
+    marked = mark_test_rows(raw, "y", "o_orderkey", 0.2, 42)
+    return marked.groupBy("y").agg(F.count("*").alias("n"), F.count_if("is_test").alias("n_test"))
+
+
+@query
+def text_target_codes(spark, sf):
+    """Dense codes of a text label with one class per part brand and size."""
+    raw = table(spark, sf, "part").select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("y"))
+    coded, _ = prepare_target(raw, "y", "code")
+    return coded.select("p_partkey", "code")
+
+
+@query
+def fairness_gap_missing_group(spark, sf):
+    """A missing sensitive value is no group."""
+    group = F.when(F.col("c_custkey") % 3 != 0, F.col("r_name"))
+    scored = scored_customers(spark, sf).withColumn("g", group)
+    return _rounded(fairness.fairness_gap(scored, "y", "p", "g", "dp"))
+
+
+@query
+def group_fairness_missing_group(spark, sf):
+    group = F.when(F.col("c_custkey") % 3 != 0, F.col("r_name"))
+    scored = scored_customers(spark, sf).withColumn("g", group)
+    return _rounded(fairness.group_fairness(scored, "y", "p", "g"))
+
+
+@query
+def numeric_split_infinite(spark, sf):
+    """The best cut of a column with infinite and missing values."""
+    price = (F.when(F.col("l_linenumber") == 1, F.lit(float("inf"))).when(F.col("l_linenumber") == 2, F.lit(float("-inf")))
+             .when(F.col("l_linenumber") != 3, F.col("l_extendedprice")))
+    df, stats = _as_one_node(lines(spark, sf).withColumn("price", price)), Statistics(2)
+    found = best_numeric(numeric_candidates(df, ["price"], "y", node_statistics(df, "y", stats), stats, 10))
+    return _rounded(found.select("threshold", "gain", F.col("l0").alias("left_0"), F.col("l1").alias("left_1")))
+
+
+@query
+def cart_infinite_values(spark, sf):
+    """One split on a column of infinite, missing and plain values, on the bucket path."""
+    price = (F.when(F.col("l_linenumber") == 1, F.lit(float("inf"))).when(F.col("l_linenumber") == 2, F.lit(float("-inf")))
+             .when(F.col("l_linenumber") != 3, F.col("l_extendedprice")))
+    tree = fit_cart(lines(spark, sf).withColumn("price", price), "y", ["price"], [], max_depth=1, rows_per_bucket=1000)
+    return spark.createDataFrame([(float(tree.nodes[""].threshold), tree.nodes[""].n)], "threshold double, n long").select(
+        F.round("threshold", 8).alias("threshold"), "n")
+
+
+@query
+def missing_target_dropped(spark, sf):
+    raw = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("y"))
+    return cleaning.drop_missing_target(raw, "y")
+
+
+@query
+def numeric_columns_kept(spark, sf):
+    return cleaning.drop_non_numeric(table(spark, sf, "customer"), keep=["c_mktsegment"])
