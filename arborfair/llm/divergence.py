@@ -45,7 +45,9 @@ FIELDS = _BASE_FIELDS + ", base_failed boolean, class_distance double, word_dist
 _SCALE = 1_000_000_000
 
 #: Beyond these distances a document is rejected.  See the README for the distances of clean and bad texts.
-MAX_CLASS_DISTANCE = 0.28
+MAX_CLASS_DISTANCE = 0.125
+#: Divided by the number of words, added to the limit of the class distance: short texts scatter more.
+CLASS_NOISE = 10.0
 MAX_WORD_DISTANCE = 0.365
 #: Shorter texts are not judged by the histogram.
 MIN_CHARS = 200
@@ -164,8 +166,8 @@ def fit_references(docs: DataFrame, *, text: str = "text", lang: str = "lang") -
 
 
 def judge(docs: DataFrame, references: dict[str, tuple[np.ndarray, np.ndarray]], *, text: str = "text",
-          name: str | None = None, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
-          min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+          name: str | None = None, max_class: float = MAX_CLASS_DISTANCE, class_noise: float = CLASS_NOISE,
+          max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with a struct of ``FIELDS``; a distance that is not judged is null."""
     ordered = [references[k] for k in sorted(references)]
 
@@ -179,7 +181,8 @@ def judge(docs: DataFrame, references: dict[str, tuple[np.ndarray, np.ndarray]],
         base = failed_base(counts[0], counts[4])
         c, c_judged = nearest(shares(classes), 0, chars >= min_chars)
         v, v_judged = nearest(shares(words), 1, counts[0] >= min_words)
-        kept = ~base & ~(c_judged & (c > max_class)) & ~(v_judged & (v > max_word))
+        limit = max_class + class_noise / np.maximum(counts[0], 1)
+        kept = ~base & ~(c_judged & (c > limit)) & ~(v_judged & (v > max_word))
         return [*(pa.array(x, pa.int64()) for x in counts), pa.array(base),
                 pa.array(c, mask=~c_judged), pa.array(v, mask=~v_judged), pa.array(kept)]
 
