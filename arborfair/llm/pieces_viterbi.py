@@ -7,8 +7,10 @@ A character that is no piece falls back to the pieces of its bytes.
 No piece has a blank behind another character, so the best segmentation of a text is that of its units (blanks and
 the word behind them), and each distinct unit is segmented once per worker.
 
-The result is the segmentation with the greatest sum of piece scores.  For a model trained by merges, this is not the order
-in which that model's own encoder merges, so ids can differ from it; decoding gives the text back either way.
+For a unigram model, the result is the segmentation with the greatest sum of piece scores.  A model trained by merges asks for
+another one: the pieces that remain when the adjacent pair of best score is merged again and again.  Its segmentations are those in
+which every two neighbours stay apart when they are merged by themselves, so for such a model a piece may only be relaxed from
+a last piece with which it stays apart; just one path is left then, the library's.  Decoding gives the text back either way.
 
 Cases: a null or empty text has no ids and decodes to an empty text; the blank mark U+2581 inside a text is a blank to
 the model, as in the library, so it decodes to one; repeated rows and null ids are passed through; an empty table
@@ -35,9 +37,11 @@ _UNKNOWN_PENALTY = 10.0
 
 
 class PieceModel:
-    """Pieces and scores of a SentencePiece model file with byte fallback."""
+    """Pieces and scores of a SentencePiece model file with byte fallback.
 
-    def __init__(self, path: str):
+    ``merges`` says that the model was trained by merges, so that neighbours have to stay apart."""
+
+    def __init__(self, path: str, merges: bool = True):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -45,11 +49,18 @@ class PieceModel:
         pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in normal}
         if any(BLANK_MARK in p.lstrip(BLANK_MARK) for p in pieces):
             raise ValueError("a piece has a blank behind another character")
+        self._merges = merges
+        self._scores = {p: score for p, (_, score) in pieces.items()}
+        self._texts = {i: p for p, (i, _) in pieces.items()}
+        self._apart: dict[tuple[int, int], bool] = {}
+        if merges and not set("".join(pieces)) <= set(pieces):
+            raise ValueError("a character of a piece is no piece itself")
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self._automaton = ahocorasick.Automaton()
         for piece, (i, score) in pieces.items():
             self._automaton.add_word(piece, (len(piece), score, i))
         self._automaton.make_automaton()
+        self._whole = {i for p, (i, _) in pieces.items() if not merges or len(self.merge(p)) == 1}
         self._characters = frozenset(p for p in pieces if len(p) == 1)
         self._unknown = min(score for _, score in pieces.values()) - _UNKNOWN_PENALTY
         self._bytes = Ragged(np.uint8)
@@ -73,7 +84,7 @@ class PieceModel:
                 self._relax_unknown(unknown[at], best, length, last)
                 at += 1
             total = best[end - size] + score
-            if total > best[end]:
+            if total > best[end] and (not self._merges or self._stays(last[end - size] if size < end else -1, piece)):
                 best[end], length[end], last[end] = total, size, piece
         for k in unknown[at:]:
             self._relax_unknown(k, best, length, last)
@@ -86,6 +97,29 @@ class PieceModel:
             end -= length[end]
         return out[::-1]
 
+    def merge(self, text: str) -> list[str]:
+        """What remains of the characters of a short text when the pair of best score, the first of equals, is merged until none is left."""
+        parts = list(text)
+        while len(parts) > 1:
+            found = [(self._scores.get(a + b, float("-inf")), -i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+            score, at = max(found)
+            if score == float("-inf"):
+                break
+            parts[-at:2 - at] = [parts[-at] + parts[1 - at]]
+        return parts
+
+    def _stays(self, left: int, piece: int) -> bool:
+        """Whether a piece is what merging makes of it behind ``left`` (-1: a character without a piece, or nothing)."""
+        if left < 0:
+            return piece in self._whole
+        known = self._apart.get((left, piece))
+        if known is None:
+            if len(self._apart) >= 400_000:
+                self._apart.clear()
+            a, b = self._texts[left], self._texts[piece]
+            known = self._apart[left, piece] = self.merge(a + b) == [a, b]
+        return known
+
     def _relax_unknown(self, end: int, best: list, length: list, last: list) -> None:
         total = best[end - 1] + self._unknown
         if total > best[end]:
@@ -111,19 +145,19 @@ class PieceModel:
         return raw[stay].tobytes(), at - np.concatenate([[0], np.cumsum(np.diff(at) > 0)])
 
 
-_models: dict[str, PieceModel] = {}
+_models: dict[tuple[str, bool], PieceModel] = {}
 
 
-def load(path: str) -> PieceModel:
-    if path not in _models:
-        _models[path] = PieceModel(path)
-    return _models[path]
+def load(path: str, merges: bool = True) -> PieceModel:
+    if (path, merges) not in _models:
+        _models[path, merges] = PieceModel(path, merges)
+    return _models[path, merges]
 
 
-def encode(docs: DataFrame, path: str, *, text: str = "text", name: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, text: str = "text", merges: bool = True, name: str | None = None) -> DataFrame:
     """``docs`` with a struct ``{ids}``: the piece ids of every text."""
     def compute(piece):
-        ids, first = load(path).encode(piece.column(text))
+        ids, first = load(path, merges).encode(piece.column(text))
         return [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))]
 
     return attach(docs, name or free_name(docs, "pieces"), "ids array<int>", compute, text)
@@ -141,11 +175,11 @@ def decode(docs: DataFrame, path: str, *, ids: str, name: str | None = None) ->
     return attach(docs, name or free_name(docs, "decoded"), "text string", compute, sized_by=None)
 
 
-def round_trip(docs: DataFrame, path: str, *, text: str = "text", name: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, *, text: str = "text", merges: bool = True, name: str | None = None) -> DataFrame:
     """``docs`` with a struct ``{n_bytes, n_pieces, ids_crc32, decoded_bytes, round_trip}``: every text encoded, its ids
     decoded, and whether that gives the text back.  The checksum is over the ids as little-endian 32-bit integers."""
     def compute(piece):
-        model, texts = load(path), strings(piece.column(text))
+        model, texts = load(path, merges), strings(piece.column(text))
         ids, first = model.encode(texts)
         raw, at = model.decode(ids, first)
         given = [t.encode() for t in texts.to_pylist()]

@@ -181,14 +181,36 @@ def _best_by_table(model, text):
 
 @settings(max_examples=200, deadline=None)
 @given(TEXT)
-def test_pieces_against_a_table(text):
-    model = pieces_viterbi.load(PIECES)
+def test_scored_pieces_against_a_table(text):
+    model = pieces_viterbi.load(PIECES, merges=False)
     ids, first = model.encode(pa.array([text]))
     assert ids.tolist() == (_best_by_table(model, "▁" + text.replace(" ", "▁")) if text else [])
     assert model.decode(ids, first)[0].decode() == text.replace("▁", " ")
 
 
-def test_pieces_equal_the_library_as_unigrams(odd_rows):
+@settings(max_examples=100, deadline=None)
+@given(TEXT)
+def test_pieces_equal_the_library(text):
+    import sentencepiece
+
+    model = pieces_viterbi.load(PIECES)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ids, first = model.encode(pa.array([text]))
+    assert ids.tolist() == library.encode(text)
+    assert model.decode(ids, first)[0].decode() == text.replace("▁", " ")
+
+
+def test_pieces_of_documents_equal_the_library():
+    import pyarrow.parquet
+    import sentencepiece
+
+    texts = pyarrow.parquet.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0)
+    ids, first = pieces_viterbi.load(PIECES).encode(texts)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert [p.tolist() for p in np.split(ids, first[1:-1])] == library.encode(texts.to_pylist())
+
+
+def test_scored_pieces_equal_the_library_as_unigrams(odd_rows):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
 
@@ -196,7 +218,7 @@ def test_pieces_equal_the_library_as_unigrams(odd_rows):
     with open(PIECES, "rb") as f:
         proto.ParseFromString(f.read())
     proto.trainer_spec.model_type = 1  # the same pieces and scores, segmented by score
-    library, model = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString()), pieces_viterbi.load(PIECES)
+    library, model = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString()), pieces_viterbi.load(PIECES, merges=False)
     for word in sorted({w for _, t in odd_rows[17:] for w in plain.words(t)})[:2000]:
         mine = model.segment("▁" + word)
         score = lambda ids: sum(library.get_score(i) for i in ids)
@@ -211,6 +233,6 @@ def test_pieces_of_odd_rows(odd_docs, odd_rows, no_docs):
     back = pieces_viterbi.decode(coded.select("doc_id", "text", F.col("coded.ids").alias("ids")), PIECES, ids="ids", name="back").collect()
     assert len(back) == len(odd_rows)
     for r in back:
-        assert r.back.text == (r.text or "").replace("▁", " ") == library.decode(r.ids)
+        assert r.ids == library.encode(r.text or "") and r.back.text == (r.text or "").replace("▁", " ") == library.decode(r.ids)
     assert all(r.p.round_trip for r in pieces_viterbi.round_trip(odd_docs, PIECES, name="p").where("doc_id <> 10").collect())
     assert pieces_viterbi.encode(no_docs, PIECES).collect() == []
