@@ -145,11 +145,11 @@ def calibration_quotas(
     flip; ``wrong_first`` says that wrong predictions alone can supply them.
     """
     p = F.col(prediction)
-    wrong = F.lit(False) if label is None else p != F.col(label)
+    known = F.lit(None) if label is None else F.col(label)
     counts = df.groupBy(group).agg(
         F.count("*").alias("n"), F.count_if(p == 1).alias("n_pos"),
-        F.count_if((p == 1) & wrong).alias("false_pos"),
-        F.count_if((p == 0) & wrong).alias("false_neg"),
+        F.count_if((p == 1) & (known == 0)).alias("false_pos"),
+        F.count_if((p == 0) & (known == 1)).alias("false_neg"),
     )
     target = (
         df.agg(F.avg(p.cast("double"))).scalar() if target_rate is None else F.lit(float(target_rate))
@@ -188,7 +188,8 @@ def calibrate_rows(
     marked = df.join(plan.drop("quota"), group, "left")
     p = F.col(prediction)
     surplus = F.when(F.col("direction") == -1, p == 1).otherwise(p == 0)
-    wrong = F.lit(False) if label is None else p != F.col(label)
+    known = F.lit(None) if label is None else F.col(label)
+    wrong = F.coalesce(known == F.when(F.col("direction") == -1, 0).otherwise(1), F.lit(False))
     order = F.when(surplus & (wrong | ~F.col("wrong_first")), F.lit(0)).otherwise(F.lit(1))
     taken = take_per_group(marked, group, plan.select(group, "quota"), row_id, seed, order)
     return taken.select(

@@ -71,27 +71,29 @@ def lookahead_tree(
     """Exact for the first ``lookahead`` splits, given greedy completions of the rest.
 
     Then every leaf at depth ``t`` is replaced by the best ("optimal") or the greedy
-    ("greedy") tree of depth ``budget - t`` on its rows.  ``Tree.info`` holds the objective of
+    ("greedy") tree of depth ``budget - t`` on its rows.  A budget of 0 is none: the prefix is searched without completions and
+    every leaf is refilled with a budget of one.  ``Tree.info`` holds the objective of
     the prefix and, with ``with_greedy``, of a plain greedy tree; the search does not need that
     upper bound, because it finds the true minimum.
     """
-    check_depths(lookahead, budget)
+    open_end = budget == 0
+    check_depths(lookahead, lookahead if open_end else budget)
     if leaf_fill not in ("optimal", "greedy"):
         raise ValueError(f"unknown leaf_fill {leaf_fill!r}")
     with Scratch(df.sparkSession) as scratch:
         patterns = compact(df, features, label, n_classes, scratch)
         n_rows, root = patterns.n_rows, whole_table(patterns)
         prefix = search(patterns, [root], [lookahead], reg, max_features,
-                        remaining=budget - lookahead, max_cells=max_cells)[0]
+                        remaining=0 if open_end else budget - lookahead, max_cells=max_cells)[0]
         sub = prefix
-        if budget > lookahead:
+        if open_end or budget > lookahead:
             leaves = leaf_cells(prefix)
             cells = [c for _, c in leaves]
-            left = [budget - len(path) for path, _ in leaves]
+            left = [1 if open_end else budget - len(path) for path, _ in leaves]
             if leaf_fill == "optimal":
                 filled = search(patterns, cells, left, reg, max_features, max_cells=max_cells, disjoint=True)
             else:
-                filled = grow(patterns, cells, left, reg, max_features, disjoint=True)
+                filled = grow(patterns, cells, left, reg, max_features, disjoint=True, max_cells=max_cells)
             sub = replace_leaves(prefix, {p: f for (p, _), f in zip(leaves, filled)})
         tree = to_tree(sub, features, n_rows, reg)
         tree.info = {"prefix_objective": subtree_loss(prefix, n_rows, reg)}

@@ -54,23 +54,23 @@ def test_optimal_equals_enumeration(spark, seed, k, depth, top):
     assert brute.shape(brute.from_tree(got)) == brute.shape(want)
 
 
-@pytest.mark.parametrize("seed,lookahead,budget,fill", [(9, 2, 4, "optimal"), (10, 1, 3, "greedy"), (11, 2, 2, "optimal"), (12, 2, 5, "greedy")])
+@pytest.mark.parametrize("seed,lookahead,budget,fill", [(9, 2, 4, "optimal"), (10, 1, 3, "greedy"), (11, 2, 2, "optimal"), (12, 2, 5, "greedy"), (9, 2, 0, "optimal"), (10, 1, 0, "optimal"), (11, 2, 0, "greedy")])
 def test_lookahead_equals_recursion(spark, seed, lookahead, budget, fill):
     X, y = planted(seed)
     n = len(y)
     df, tests = as_table(spark, X, y)
     got = lookahead_tree(df, "y", tests, 2, lookahead, budget, REG, fill)
-    prefix = brute.optimal(X, y, 2, lookahead, REG, n, remaining=budget - lookahead)
+    prefix = brute.optimal(X, y, 2, lookahead, REG, n, remaining=max(budget - lookahead, 0))
     assert got.info["prefix_objective"] == brute.loss(prefix, n, REG)
 
     def refill(t, X, y, depth):
         if t[0] == "leaf":
-            left = budget - depth
+            left = budget - depth if budget else 1
             return brute.optimal(X, y, 2, left, REG, n) if fill == "optimal" else brute.greedy(X, y, 2, left, REG, n)
         x = X[:, t[1]]
         return ("split", t[1], refill(t[2], X[x], y[x], depth + 1), refill(t[3], X[~x], y[~x], depth + 1))
 
-    want = refill(prefix, X, y, 0) if budget > lookahead else prefix
+    want = refill(prefix, X, y, 0) if budget > lookahead or not budget else prefix
     assert brute.shape(brute.from_tree(got)) == brute.shape(want)
     assert got.objective == brute.loss(want, n, REG)
     assert got.objective <= got.info["prefix_objective"]
