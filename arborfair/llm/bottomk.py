@@ -82,11 +82,15 @@ def _sketches(sketch: int, shingle: int):
     return run
 
 
+def _neighbours():
+    """The keys of the neighbouring values of a sketch of two or more."""
+    return F.transform(F.sequence(F.lit(1), F.size("sketch") - 1), lambda i: F.xxhash64(F.get("sketch", i - 1), F.get("sketch", i)))
+
+
 def _postings(classes: DataFrame) -> DataFrame:
     """``(value, node, weight)``: the lists of neighbouring sketch values that hold more than one node; the weight of a node is
     the length of all its lists."""
-    neighbours = F.transform(F.sequence(F.lit(1), F.size("sketch") - 1), lambda i: F.xxhash64(F.get("sketch", i - 1), F.get("sketch", i)))
-    listed = classes.where(F.size("sketch") > 1).select(F.explode(neighbours).alias("value"), "node")
+    listed = classes.where(F.size("sketch") > 1).select(F.explode(_neighbours()).alias("value"), "node")
     lists = keep(listed.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
     postings = keep(listed.join(lists, "value"), "postings")
     weights = postings.groupBy("node").agg(F.sum("n").alias("weight"))
@@ -169,10 +173,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         else:
             several = keep(listed.groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b"))
                            .where("a <> b").select("value"), "open")
-            open_lists = keep(listed.join(several, "value", "left_semi"), "open")
+            keys = classes.where(F.size("sketch") > 1).select("node", _neighbours().alias("keys"))
+            open_lists = keep(listed.join(several, "value", "left_semi").join(keys, "node"), "open")
             left, right = open_lists.alias("a"), open_lists.alias("b")
-            a, b = ({c: F.col(f"{side}.{c}") for c in ("value", "node", "component", "n_shingles", "odd")} for side in "ab")
-            pairs = left.join(right, (a["value"] == b["value"]) & (a["node"] < b["node"]) & (a["component"] != b["component"]) & _may_link(a, b))
+            a, b = ({c: F.col(f"{side}.{c}") for c in ("value", "node", "component", "n_shingles", "odd", "keys")} for side in "ab")
+            # A pair that shares several lists comes out of the first of them only.
+            once = a["value"] == F.array_min(F.array_intersect(a["keys"], b["keys"]))
+            pairs = left.join(right, (a["value"] == b["value"]) & (a["node"] < b["node"]) & (a["component"] != b["component"]) & _may_link(a, b) & once)
             pairs = pairs.select(a["node"].alias("u"), b["node"].alias("v"))
         pairs = pairs.distinct()
         if tested is not None:
@@ -184,7 +191,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     labels = components(links)
     named = classes.join(labels, "node", "left").select(*name, "least_id", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    # Both sides written: a component of very many classes is then split by the adaptive join.
+    named = keep(named, "named")
+    least = keep(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
     named = named.join(least, "component").select(*name, "component_id", F.lit(True).alias("named"))
     out = rows.select("doc_id", *name).join(named, name, "left")
     component = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
