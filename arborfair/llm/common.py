@@ -23,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests, one is made and set for the session."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset and everything runs on one machine, as in
+    tests, one is made and set for the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="arborfair-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
