@@ -11,10 +11,11 @@ from .binarize import BinaryFeatures, assemble, collect_vocabulary
 
 
 _LARGEST = 1e300
+WEIGHT = "_weight"
 
 
 def _assembled(df: DataFrame, columns: list[Column], label: Column) -> DataFrame:
-    """Labels and vectors of all rows.
+    """Labels and vectors of all rows, and how many rows each stands for (``_weight``, else 1).
 
     The booster takes finite numbers only: infinite values become the largest that are used, and a missing value
     lies above all of them, so it fails every test.
@@ -22,10 +23,10 @@ def _assembled(df: DataFrame, columns: list[Column], label: Column) -> DataFrame
     names = [f"_x{i}" for i in range(len(columns))]
     most, missing = F.lit(_LARGEST), F.lit(2 * _LARGEST)
     wide = df.where(label.isNotNull()).select(
-        label.cast("double").alias("_label"),
+        label.cast("double").alias("_label"), (F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1.0)).alias(WEIGHT),
         *[F.coalesce(F.least(F.greatest(F.nanvl(c, F.lit(None)), -most), most), missing).alias(n) for c, n in zip(columns, names)])
     packed = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="error").transform(wide)
-    return packed.select("_label", "_features")
+    return packed.select("_label", WEIGHT, "_features")
 
 
 def _booster(n_estimators: int, learning_rate: float, seed: int, max_bins: int) -> GBTClassifier:
@@ -72,7 +73,7 @@ def _training_score(df: DataFrame, columns: list[Column], label: str, models: li
     scored = _assembled(df, columns, F.col(label))
     if len(models) == 1:
         out = models[0].transform(scored)
-        return out.agg(F.avg((F.col("prediction") == F.col("_label")).cast("double"))).first()[0]
+        return _share(out, F.col("prediction") == F.col("_label"))
     from pyspark.ml.functions import vector_to_array
 
     margins = []
@@ -82,7 +83,12 @@ def _training_score(df: DataFrame, columns: list[Column], label: str, models: li
         margins.append(vector_to_array(F.col(f"_raw{i}")).getItem(1))
     values = F.array(*margins)
     hit = (F.array_position(values, F.array_max(values)) - 1) == F.col("_label")
-    return scored.agg(F.avg(hit.cast("double"))).first()[0]
+    return _share(scored, hit)
+
+
+def _share(scored: DataFrame, hit: Column) -> float:
+    """The share of rows with a hit; counts are whole numbers, so partitioning cannot change it."""
+    return scored.agg(F.sum(F.when(hit, F.col(WEIGHT)).otherwise(0.0)) / F.sum(WEIGHT)).first()[0]
 
 
 def fit_stump_thresholds(
@@ -114,13 +120,29 @@ def eliminate(
     """Drop the least important threshold while the training score stays at its base value.
 
     The threshold whose removal ended the loop is put back at the end of the list.
+    Rows that answer all tests alike are one weighted row, so the table is read once for all boosters.
     """
     kept = list(thresholds)
     if len(kept) <= 1:
         return kept
+    answer = {test: f"_t{i}" for i, test in enumerate(kept)}
+    bits = [(F.col(c).cast("double") <= F.lit(t)).cast("double").alias(name) for (c, t), name in answer.items()]
+    whole = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_y"), *bits)
+    df = whole.groupBy("_y", *answer.values()).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)).persist()
+    try:
+        return _eliminate(df, "_y", kept, answer, n_classes, booster.copy().setWeightCol(WEIGHT))
+    finally:
+        df.unpersist()
+
+
+def _eliminate(
+    df: DataFrame, label: str, kept: list[tuple[str, float]], answer: dict[tuple[str, float], str],
+    n_classes: int, booster: GBTClassifier,
+) -> list[tuple[str, float]]:
+    thresholds = list(kept)
 
     def columns() -> list[Column]:
-        return [(F.col(c).cast("double") <= F.lit(t)).cast("double") for c, t in kept]
+        return [F.col(answer[test]) for test in kept]
 
     models = _one_per_class(df, columns(), label, n_classes, booster)
     base = _training_score(df, columns(), label, models)

@@ -321,14 +321,14 @@ def inverse_binarize(spark, sf):
 
 @query
 def stump_thresholds(spark, sf):
-    tests = fit_stump_thresholds(lines(spark, sf), "y", LINE_NUMERIC, LINE_CATEGORICAL, 2, n_estimators=5)
+    tests = fit_stump_thresholds(lines(spark, sf), "y", LINE_NUMERIC, LINE_CATEGORICAL, 2)
     return tests.table(spark)
 
 
 @query
 def stump_matrix(spark, sf):
     data = lines(spark, sf)
-    tests = fit_stump_thresholds(data, "y", ["l_extendedprice", "l_discount"], ["l_returnflag"], 2, n_estimators=3)
+    tests = fit_stump_thresholds(data, "y", ["l_extendedprice", "l_discount"], ["l_returnflag"], 2)
     bits = F.concat(*[F.expr(t).cast("int").cast("string") for t in tests.tests()]).alias("bits")
     return data.select(bits, "y").groupBy("bits", "y").agg(F.count("*").alias("n"))
 
@@ -336,8 +336,7 @@ def stump_matrix(spark, sf):
 @query
 def column_elimination(spark, sf):
     tests = fit_stump_thresholds(
-        lines(spark, sf), "y", ["l_extendedprice", "l_discount"], [], 2, n_estimators=3,
-        column_elimination=True,
+        lines(spark, sf), "y", ["l_extendedprice", "l_discount"], [], 2, column_elimination=True,
     )
     return tests.table(spark)
 
