@@ -445,6 +445,11 @@ def _line_tests(spark, sf, max_thresholds=10):
     return fit_midpoints(lines(spark, sf), LINE_NUMERIC, LINE_CATEGORICAL, max_thresholds)
 
 
+def _all_tests(spark, sf):
+    """The tests at the default number of thresholds."""
+    return fit_midpoints(lines(spark, sf), LINE_NUMERIC, LINE_CATEGORICAL)
+
+
 def _gains(spark, sf, scratch):
     tests = _line_tests(spark, sf)
     return compact(lines(spark, sf), tests, "y", 2, scratch)
@@ -550,34 +555,33 @@ def optimal_depth2_tree(spark, sf):
 
 @query
 def optimal_depth3_tree(spark, sf):
-    tree = optimal_tree(lines(spark, sf), "y", _line_tests(spark, sf), 2, depth=3, reg=0.0005, max_features=12)
+    tree = optimal_tree(lines(spark, sf), "y", _all_tests(spark, sf), 2, depth=3, reg=0.0005)
     return _node_rows(spark, tree)
 
 
 @query
 def lookahead_tree_nodes(spark, sf):
-    tree = lookahead_tree(lines(spark, sf), "y", _line_tests(spark, sf), 2, lookahead=2, budget=4,
-                          reg=0.0005, max_features=10)
+    tree = lookahead_tree(lines(spark, sf), "y", _all_tests(spark, sf), 2, lookahead=2, budget=4, reg=0.0005)
     return _node_rows(spark, tree)
 
 
 @query
 def lookahead_tree_greedy_fill(spark, sf):
-    tree = lookahead_tree(lines(spark, sf), "y", _line_tests(spark, sf), 2, lookahead=2, budget=5,
-                          reg=0.0005, leaf_fill="greedy", max_features=20)
+    tree = lookahead_tree(lines(spark, sf), "y", _all_tests(spark, sf), 2, lookahead=2, budget=5,
+                          reg=0.0005, leaf_fill="greedy")
     return _node_rows(spark, tree)
 
 
 @query
 def rollout_tree_nodes(spark, sf):
-    tree = rollout_tree(lines(spark, sf), "y", _line_tests(spark, sf), 2, budget=4, reg=0.0005, max_features=20)
+    tree = rollout_tree(lines(spark, sf), "y", _all_tests(spark, sf), 2, budget=4, reg=0.0005)
     return _node_rows(spark, tree)
 
 
 @query
 def near_optimal_set(spark, sf):
-    found = near_optimal_trees(lines(spark, sf), "y", _line_tests(spark, sf), 2, lookahead=3, budget=5,
-                               reg=0.0005, tolerance=0.05, n_prefixes=20, max_features=20)
+    found = near_optimal_trees(lines(spark, sf), "y", _all_tests(spark, sf), 2, lookahead=3, budget=5,
+                               reg=0.0005, tolerance=0.05, n_prefixes=20)
     return _rounded(found.table(spark))
 
 

@@ -159,3 +159,24 @@ def test_rows_fall_into_one_leaf_and_losses_add_up(spark):
     assert sum(rows.values()) == len(y)
     assert {n.path: n.n for n in tree.leaves} == rows
     assert sum(n.loss for n in tree.leaves) + REG * tree.num_leaves() == pytest.approx(tree.objective)
+
+
+@pytest.mark.parametrize("name,learner", [
+    ("optimal_depth3_tree", "optimal_tree"), ("lookahead_tree_nodes", "lookahead_tree"), ("lookahead_tree_greedy_fill", "lookahead_tree"),
+    ("rollout_tree_nodes", "rollout_tree"), ("near_optimal_set", "near_optimal_trees")])
+def test_registered_learners_try_all_tests(spark, monkeypatch, name, learner):
+    from arborfair import queries
+    from arborfair.operators.binarize import fit_midpoints
+
+    class Called(Exception):
+        pass
+
+    def stop(df, label, features, n_classes, max_features=0, **rest):
+        raise Called(features.names, max_features)
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(queries, learner, stop)
+    with pytest.raises(Called) as called:
+        queries.QUERIES[name](spark, sf)
+    want = fit_midpoints(queries.lines(spark, sf), queries.LINE_NUMERIC, queries.LINE_CATEGORICAL)
+    assert called.value.args == (want.names, 0)
