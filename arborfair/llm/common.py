@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+_open_scratch: list[list[str]] = []
+
+
+def keep(df: DataFrame, name: str, *, lasting: bool = False) -> DataFrame:
     """Write to the shared folder of ``spark.checkpoint.dir`` and read back: no lineage, and a lost
-    executor costs a re-read."""
+    executor costs a re-read.  Inside ``scratch`` the table goes when the block ends, unless it is ``lasting``."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _open_scratch and not lasting:
+        _open_scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables kept inside this block are deleted when it ends; what leaves it must be written by then."""
+    _open_scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _open_scratch.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not use."""
     taken = {c.lower() for c in df.columns}
@@ -89,6 +107,46 @@ def raw_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0]:at[-1]], at - at[0]
 
 
+def text_parts(column, limit: int | None = None) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Groups of texts with about ``limit`` bytes each, and the row that each text belongs to.
+
+    A longer text is cut in front of ASCII blanks into several consecutive texts of one row, so that words stay whole
+    (a single word may be longer).  Nothing is copied."""
+    limit = limit or PIECE_BYTES
+    data, at = raw_bytes(column)
+    cuts, owner = [0], []
+    for row in range(len(at) - 1):
+        lo, end = int(at[row]), int(at[row + 1])
+        while end - lo > limit:
+            cut = _next_blank(data, lo + limit, end)
+            if cut == end:
+                break
+            cuts.append(cut)
+            owner.append(row)
+            lo = cut
+        cuts.append(end)
+        owner.append(row)
+    cuts, owner = np.array(cuts, np.int64), np.array(owner, np.int64)
+    group = (cuts[1:] + 16 * np.arange(1, len(cuts))) // limit if len(owner) else owner
+    borders = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(owner)]
+    for lo, hi in zip(borders[:-1], borders[1:]):
+        if hi > lo:
+            a, b = int(cuts[lo]), int(cuts[hi])
+            buffers = [None, pa.py_buffer(cuts[lo:hi + 1] - a), pa.py_buffer(data[a:b])]
+            yield pa.Array.from_buffers(pa.large_string(), hi - lo, buffers), owner[lo:hi]
+
+
+def _next_blank(data: np.ndarray, lo: int, end: int) -> int:
+    """The first ASCII blank from ``lo`` on, or ``end``."""
+    while lo < end:
+        part = data[lo:min(lo + 4096, end)]
+        found = np.flatnonzero((part == 0x20) | ((part >= 0x09) & (part <= 0x0D)))
+        if len(found):
+            return lo + int(found[0])
+        lo += len(part)
+    return end
+
+
 def attach(docs: DataFrame, name: str, fields: str, compute, sized_by: str | None = "text") -> DataFrame:
     """All rows and columns of ``docs`` with one struct column more, computed piece by piece.
 

@@ -77,3 +77,21 @@ FROM first JOIN nodes USING (depth) WHERE nodes.node = hash >> (60 - depth)
 
 
 ORACLES["op6_extendible_hash_shards"] = shard_sql(64 << 20)
+
+ORACLES["op11_angular_hard_negatives"] = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, v.vec_id AS b, a.l = v.l AS same,
+             coalesce(list_sum(list_transform(list_zip(a.q, v.q), lambda z: z[1] * z[2])), 0)::BIGINT AS s
+      FROM v AS a, v WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, s FROM s WHERE same AND a <> b QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id,
+       row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b)::INTEGER AS rank,
+       n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s AS n ON n.a = p.a AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
+QUALIFY rank <= 3
+"""

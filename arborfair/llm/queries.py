@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk, decontaminate, divergence, language_id, pieces_viterbi, quality_gam, repeats, sharding, token_counts, token_files
-from .common import keep, table
+from . import (
+    bottomk, decontaminate, divergence, hard_negatives, language_id, periodic_runs, pieces_viterbi, quality_gam, repeats, sharding, token_counts,
+    token_files, transducer,
+)
+from .common import attach, keep, table
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def op1_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +76,42 @@ def op10_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> Data
     return token_counts.count_tokens(docs, path, name="counted").select("doc_id", "counted.*")
 
 
+def op11_angular_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0, label=label)
+
+
+def op12_tiled_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_periodic_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.digest(periodic_runs.find_runs(docs))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: every tenth document, by the crc32 of its id, gets a tail of words that repeats itself."""
+    def change(batch):
+        texts = batch.column("text").to_pylist()
+        for i, h in enumerate(batch.column("h").to_pylist()):
+            w = _WORD.findall(texts[i] or "") if h is not None and h % 10 == 0 else []
+            if n := len(w):
+                g = h // 10
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                texts[i] = " ".join(w[:a] + [w[a + (k % p)] for k in range(n - a)])
+        return [pa.array(texts, pa.string())]
+
+    hashed = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    return attach(hashed, "changed", "text string", change).select("doc_id", "changed.text")
+
+
+def op13_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return transducer.round_trip(docs, path, transducer.fit_lexicon(docs, path), name="coded").select("doc_id", "coded.*")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_repeated_phrases, op2_additive_quality, op3_divergence_rules, op4_bottom_k_near_duplicates, op5_wu_manber_decontamination,
     op6_extendible_hash_shards, op7_segmentation_language_id, op8_piece_viterbi, op9_elias_fano_token_files, op10_rank_synchronous_token_counts,
+    op11_angular_hard_negatives, op12_tiled_periodic_runs, op13_transducer_bpe,
 )}

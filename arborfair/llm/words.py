@@ -81,6 +81,22 @@ class Words:
         return b" ".join(view[int(s[i]) - base:int(e[i]) - base] for i in picked)
 
 
+def joined_texts(w: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The words of every text (those marked in ``keep``) joined by one blank: all bytes, and where each text begins
+    and the last ends."""
+    data, bytes_kept = w.data.copy(), np.zeros(len(w.data) + 1, np.int8)
+    words = np.arange(len(w.start)) if keep is None else np.flatnonzero(keep)
+    np.add.at(bytes_kept, w.start[words], 1)
+    np.add.at(bytes_kept, w.end[words], -1)
+    kept = np.cumsum(bytes_kept[:-1], dtype=np.int8).astype(bool)
+    text = np.searchsorted(w.first, words, "right")
+    blank = w.end[words[:-1][text[:-1] == text[1:]]]  # a word that another follows ends at a blank
+    kept[blank] = True
+    data[blank] = 0x20
+    total = np.concatenate([[0], np.cumsum(kept)])
+    return data[kept], total[w.rows]
+
+
 def spans_of(data: np.ndarray, rows: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every run of member bytes; runs end where a text ends."""
     if not len(data):
