@@ -140,9 +140,12 @@ def _alike(pairs: DataFrame, classes: DataFrame, sketch: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     sketch: int = SKETCH) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``."""
+    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``.
+
+    An id that stands for several texts is several documents: each text is linked on its own, and both components
+    may be named by that id."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    narrow = narrow.withColumn("row_key", F.coalesce("doc_id", F.xxhash64("text")))
+    narrow = narrow.withColumn("row_key", F.xxhash64("doc_id", "text"))
     kind = "doc_id long, row_key long, n_shingles long, set_a long, set_b long, sketch array<bigint>, odd array<bigint>"
     rows = keep(narrow.mapInArrow(_sketches(sketch, shingle), kind), "sketches")
     name = ["set_a", "set_b", "n_shingles"]

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at a time (one longer text is one piece).
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 #: Bytes of text in one slice of the documents that a cogrouped task holds.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from .common import attach, free_name, keep, text_bytes
 from .words import PLAIN_WORDS, Words, find_words, mix
 
 #: Text of the items that are searched for in one pass over the documents.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 _LANE = 64
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,8 +57,9 @@ class Patterns:
         words = np.stack([found[t][0] for t in texts])
         size, flat = min(2, length), words.reshape(-1)
         at = np.arange(len(texts)) * length
-        bits = max(12, math.ceil(math.log2(len(texts) * length + 1)) + 3)
-        shift = np.full(1 << bits, length - size + 1, np.int64)
+        # About four slots per block of words, one byte each (a shift is below the window's length).
+        bits = max(12, math.ceil(math.log2(len(texts) * length + 1)) + 2)
+        shift = np.full(1 << bits, length - size + 1, np.uint8 if length < 256 else np.int64)
         for j in range(length - size + 1):
             slots = _block(flat, at + j, size) & np.uint64(len(shift) - 1)
             np.minimum.at(shift, slots.astype(np.int64), length - size - j)
@@ -81,7 +82,7 @@ class Patterns:
         tried = []
         while len(pos):
             block = _block(h, pos + m - size, size)
-            step = self.shift[(block & np.uint64(len(self.shift) - 1)).astype(np.int64)]
+            step = self.shift[(block & np.uint64(len(self.shift) - 1)).astype(np.int64)].astype(np.int64)
             zero = step == 0
             if zero.any():
                 tried.append((pos[zero], block[zero]))

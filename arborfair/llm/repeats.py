@@ -11,8 +11,8 @@ A word goes if it lies in a window of 35 words whose word sequence also starts a
    at most, and split further by vocabulary.  Words become single characters, so matches are aligned to words.
 4. *Locate.*  All documents of the slice stream through its automaton; every occurrence marks its words.
 
-Slices are dealt by text, so copies meet and count as one row, except copies of texts that make up more than a
-thousandth of the rows (a thousand texts at most): those are dealt by document.
+Slices are dealt by text, so copies meet and count as one row, except copies of a text that together are larger than a
+slice: those are dealt by document.
 
 Cases: a null or empty text and one of fewer than 35 words lose nothing; repeated rows count as different places,
 so rows that repeat a text of 35 words and more lose it entirely; null ids are passed through; an empty table gives
@@ -38,7 +38,6 @@ WINDOW = 35
 PHRASE = 8
 #: Distinct words that the patterns of one automaton may use.
 VOCABULARY = 400_000
-_HOT = 1000
 FIELDS = "n_words long, n_removed long, kept string"
 
 
@@ -66,14 +65,19 @@ def _anchors(w: Words, window: int, phrase: int) -> np.ndarray:
 
 def _slices(docs: DataFrame, text: str, slice_name: str, slice_bytes: int) -> tuple[DataFrame, int]:
     column = F.col(text)
-    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()
+    size = text_bytes(docs, text)
     n = max(1, math.ceil(size / slice_bytes))
     code = F.xxhash64(column)
-    hot = [r[0] for r in docs.groupBy(code.alias("code")).count()
-           .where(F.col("count") > max(2, rows / _HOT)).select("code").collect()]  # fewer than _HOT rows
+    # Copies of a text that together are larger than a slice: a row for each such text, written and joined.
+    hot_name = free_name(docs, "hot_code")
+    hot = keep(docs.groupBy(code.alias(hot_name)).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(column)).alias("size"))
+               .where(f"n > 1 AND coalesce(size, 0L) + 64 * n > {slice_bytes}").select(hot_name), "hot")
+    if hot.isEmpty():
+        return docs.withColumn(slice_name, F.pmod(code, F.lit(n)).cast("int")), n
     every = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not _has_map(f.dataType)])
-    key = F.when(code.isin(hot), every) if hot else F.when(F.lit(False), code)
-    return docs.withColumn(slice_name, F.pmod(key.otherwise(code), F.lit(n)).cast("int")), n
+    key = F.when(F.col(hot_name).isNotNull(), every).otherwise(code)
+    joined = docs.join(hot, code == F.col(hot_name), "left")
+    return joined.withColumn(slice_name, F.pmod(key, F.lit(n)).cast("int")).drop(hot_name), n
 
 
 def _has_map(kind) -> bool:

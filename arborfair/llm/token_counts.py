@@ -90,7 +90,7 @@ class PairMerger:
 
     def pretokens(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text, and its special tokens."""
-        parts = self._special.split(text) if self._special and "<|" in text else [text]
+        parts = self._special.split(text) if self._special and self._special.search(text) else [text]
         found: list[str] = []
         for part in parts[::2]:
             if not part.isascii():

@@ -12,6 +12,7 @@ ordered by text; an empty table writes no block and reads back no row; extra col
 
 from __future__ import annotations
 
+import json
 import math
 import struct
 import uuid
@@ -143,9 +144,23 @@ def encode_column(column, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, first
 
 
+def largest_id(path: str) -> int:
+    """The largest id that a tokenizer file can give."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])], default=0)
+
+
 def write_token_files(docs: DataFrame, target: str, path: str, *, doc_id: str = "doc_id", text: str = "text",
-                      end_id: int = 0, wide: bool = False, part_bytes: int = PART_BYTES) -> None:
-    """Write the ids of every text and ``end_id``, in ascending order of ``doc_id``, as a table of blocks at ``target``."""
+                      end_id: int = 0, wide: bool | None = None, part_bytes: int = PART_BYTES) -> None:
+    """Write the ids of every text and ``end_id``, in ascending order of ``doc_id``, as a table of blocks at ``target``.
+
+    Ids take 4 bytes if ``wide``, else 2; by default whatever the largest id of the vocabulary and ``end_id`` need."""
+    largest = max(end_id, largest_id(path))
+    if wide is None:
+        wide = largest >= 1 << 16
+    if end_id < 0 or largest >= 1 << (32 if wide else 16):
+        raise ValueError(f"ids of {largest} or an end id of {end_id} do not fit into {4 if wide else 2} bytes")
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = max(1, math.ceil(text_bytes(narrow) / part_bytes))
     order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first(F.xxhash64("text")), F.asc_nulls_first("text")]

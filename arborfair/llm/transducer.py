@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, free_name, shared_folder, text_parts
+from .common import attach, free_name, keep, scratch, shared_folder, text_parts
 from .words import find_words
 
 #: Words of the lexicon, and bytes of the longest one.
@@ -289,9 +289,18 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit_lexicon(docs: DataFrame, path: str, *, text: str = "text", size: int = LEXICON_WORDS) -> str:
-    """Compile the ``size`` most frequent words of all texts, and hand the file to all executors; returns its name."""
+    """Compile the most frequent words of all texts, ``size`` at most, and hand the file to all executors; returns its name."""
     spark = docs.sparkSession
-    frequent = [r["word"] for r in count_words(docs, text).orderBy(F.desc("n"), "word").limit(size).collect()]
+    with scratch(spark):
+        counted = keep(count_words(docs, text).withColumn("bin", F.floor(F.log2("n") * 64).cast("int")), "words")
+        # At most 64 bins per doubling of the count, so a few thousand rows; whole bins are taken while they fit.
+        least, held = None, 0
+        for r in counted.groupBy("bin").count().orderBy(F.desc("bin")).collect():
+            held += r["count"]
+            if held > size:
+                break
+            least = r["bin"]
+        frequent = [r["word"] for r in counted.where(F.col("bin") >= least).collect()] if least is not None else []
     merges = Merges(path)
     flat, n = merges.ids(frequent)
     outputs = np.split(flat, np.cumsum(n)[:-1]) if frequent else []

@@ -15,7 +15,7 @@ from .common import raw_bytes
 
 _M = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_M, -1, 1 << 64)
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 17
 _powers: dict[int, np.ndarray] = {}
 
 

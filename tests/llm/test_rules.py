@@ -126,4 +126,4 @@ def test_additive_model_learns_an_interaction():
 
 
 def test_every_number_has_a_query():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
