@@ -4,9 +4,10 @@ A cell is a conjunction of answers, written as a tuple of literals: ``fid + 1``
 test and ``-(fid + 1)`` for a false one.  Cells that do not overlap (the open nodes of one tree)
 are counted by grouping.  Cells of a search overlap: every row lies in one cell per candidate
 test, so grouping would need a copy of each row per cell, or a join on a range of conditions.
-There each task turns its Arrow batches to a 0/1 matrix, marks the cells each pattern lies in,
-and one matrix product per batch gives the counts of all (cell, test) pairs.  Tasks emit their
-partial counts; Spark adds them up and picks the winners.
+Their counts come out of summed histograms of positions (``cubes``).  Cells on more or wider columns
+than a cube can have are counted by tasks that turn Arrow batches to a 0/1 matrix and mark the cells
+each pattern lies in: one matrix product per batch gives the counts of all (cell, test) pairs, Spark
+adds them up and picks the winners.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import SCORE_DIGITS, information_gain, plus
+from .cubes import cube_counts, plan
 from .patterns import Patterns, minority_count
 
 # Counters one task may hold (8 bytes each); more cells are counted by further scans.
@@ -27,6 +29,8 @@ COUNTERS_PER_SCAN = 16_000_000
 CELLS_PER_PRODUCT = 256
 ROWS_PER_PRODUCT = 4096
 HEAVY_SCAN = 5_000_000_000
+# Multiplications that take as long as placing a pattern in one cube.
+PRODUCTS_PER_CUBE = 600
 # Cells that a single CASE expression tells apart.
 MAX_GROUPED_CELLS = 64
 # Cells of one frontier, whatever learner opens them: each is an object on the driver.
@@ -161,19 +165,35 @@ def _names(n_classes: int) -> list[str]:
 
 def cell_counts(
     patterns: Patterns, cells: list[Cell], orders: list[Order], limits: list[int],
-    disjoint: bool = False, max_cells: int = MAX_CELLS,
+    disjoint: bool = False, max_cells: int = MAX_CELLS, pick: str | None = None,
 ) -> DataFrame:
     """``cell, fid, rank, t0.., tm, n0.., nm``: class counts where the test is true, and overall.
 
     ``cell`` is the position in ``cells``; ``tm`` and ``nm`` count minority rows.  Cell ``i``
     is crossed with the first ``limits[i]`` tests of ``orders[i]``.  ``disjoint`` promises that
-    no row lies in two cells.
+    no row lies in two cells.  With ``pick`` rows may be left out that cannot win: by the least
+    error of two leaves ("loss") or the greatest information gain ("gain").
     """
     if len(cells) > max_cells:
         raise SearchTooLarge(f"{len(cells)} cells at once (limit {max_cells}); lower max_features or the depth")
     lists, of_cell = _candidate_lists(orders, limits, patterns.n_features)
     if disjoint and len(cells) <= MAX_GROUPED_CELLS:
         return _grouped_counts(patterns, cells, lists[of_cell])
+    left, work = plan(patterns, cells, lists, of_cell)
+    # A cube costs a copy of each pattern, a product a multiplication per cell and test.
+    if len(cells) * patterns.n_features * (patterns.n_classes + 1) <= PRODUCTS_PER_CUBE * len({s for s, _ in work}):
+        left, work = list(range(len(cells))), {}
+    found = [cube_counts(patterns, lists, of_cell, work, _names(patterns.n_classes), pick)] if work else []
+    if left:
+        found.append(_product_counts(patterns, [cells[i] for i in left], left, lists, of_cell[left]))
+    if not found:
+        schema = "cell int, fid int, rank int, " + ", ".join(f"{n} bigint" for n in _names(patterns.n_classes))
+        return patterns.df.sparkSession.createDataFrame([], schema)
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _product_counts(patterns: Patterns, cells: list[Cell], numbers: list[int], lists: np.ndarray, of_cell: np.ndarray) -> DataFrame:
+    """Counts by matrix products over the patterns, for cells on too many or too wide columns."""
     C = patterns.n_classes
     depth = max((len(c.literals) for c in cells), default=0) or 1
     literals = np.full((len(cells), depth), 2 * patterns.n_features, dtype=np.int32)
@@ -199,7 +219,11 @@ def cell_counts(
             schema,
         )
         partial = counted if partial is None else partial.unionByName(counted)
-    return partial.groupBy("cell", "fid", "rank").agg(*[F.sum(n).alias(n) for n in _names(C)])
+    summed = partial.groupBy("cell", "fid", "rank").agg(*[F.sum(n).alias(n) for n in _names(C)])
+    if numbers == list(range(len(numbers))):
+        return summed
+    numbered = patterns.df.sparkSession.createDataFrame(list(enumerate(numbers)), "at int, cell int")
+    return summed.withColumnRenamed("cell", "at").join(numbered, "at").drop("at")
 
 
 def _grouped_counts(patterns: Patterns, cells: list[Cell], candidates: np.ndarray) -> DataFrame:

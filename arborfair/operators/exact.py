@@ -93,7 +93,7 @@ def search(
                 )
             counts = cell_counts(
                 patterns, [c for _, c in group], [orders[k[0]] for k, _ in group], limits,
-                disjoint=level == 0 and disjoint, max_cells=max_cells,
+                disjoint=level == 0 and disjoint, max_cells=max_cells, pick="loss" if is_last else None,
             )
             if is_last:
                 picked = with_leaf_loss(counts, C, n_rows, reg).groupBy("cell").agg(

@@ -98,7 +98,7 @@ def grow(
             limits.append(level_candidates(size, remaining, budgets[i]) if narrow else size)
         counts = cell_counts(
             patterns, [f[2] for f in frontier], [root_orders[f[0]] for f in frontier], limits,
-            disjoint=disjoint or len(roots) == 1, max_cells=max_cells,
+            disjoint=disjoint or len(roots) == 1, max_cells=max_cells, pick=None if at_root or pick_first else "gain",
         )
         if at_root:
             picked = _ranked_best(counts, C, max_features, n_features)
