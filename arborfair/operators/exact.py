@@ -18,6 +18,7 @@ from .greedy import can_improve, grow, level_candidates
 from .patterns import Patterns
 from .tree import count_errors, count_leaves, leaf_of, split_of
 
+BOUND_SLACK = 1e-9  # far above what rounding does to a loss
 CHILDREN_PER_CELL = 10  # splits of an inner level that may come to the driver, per allowed cell
 
 
@@ -31,6 +32,8 @@ def search(
     narrow: bool = False,
     max_cells: int = MAX_CELLS,
     disjoint: bool = False,
+    incumbent: float | None = None,
+    opened: list[int] | None = None,
 ) -> list[tuple]:
     """One optimal subtree per root cell, with at most ``depths[i]`` splits on a path.
 
@@ -39,6 +42,10 @@ def search(
     leaf first, then for the lowest test rank.  ``max_features`` ranks the tests on the rows
     of each root; ``narrow`` gives lower levels only the first of them.  ``disjoint`` promises
     that the roots share no rows.
+
+    Splits that cannot win are not followed: the least loss that both sides can reach is above the
+    leaf of the node, above another split of it into two leaves, or, at a single root, above
+    ``incumbent``, the loss of any tree of this search.  ``opened`` is filled with the cells counted per level.
     """
     n_rows, C, n_features = patterns.n_rows, patterns.n_classes, patterns.n_features
     orders = [Order() for _ in roots]
@@ -72,10 +79,11 @@ def search(
             for (key, _), (order, children) in zip(open_cells, tried):
                 orders[key[0]] = order
                 splits[0][key] = children
-                for _rank, _fid, a, b in children:
-                    for child in (a, b):
-                        nxt.setdefault((key[0], frozenset(child.literals)), child)
+            if opened is not None:
+                opened.append(len(open_cells))
             open_cells = []
+        elif opened is not None:
+            opened.append(len(open_cells))
         # The last level of a root needs no children: two leaves per test decide it.
         last = [o for o in open_cells if depths[o[0][0]] - level == 1 and remaining == 0]
         inner = [o for o in open_cells if not (depths[o[0][0]] - level == 1 and remaining == 0)]
@@ -109,10 +117,13 @@ def search(
                     sub = split_of(row["fid"], leaf_of(a), leaf_of(b))
                     best[(level, *key)] = _smaller(sub, leaf_of(cell), n_rows, reg)
                 else:
-                    children = splits[level].setdefault(key, [])
-                    children.append((row["rank"], row["fid"], a, b))
-                    for child in (a, b):
-                        nxt.setdefault((key[0], frozenset(child.literals)), child)
+                    splits[level].setdefault(key, []).append((row["rank"], row["fid"], a, b))
+        for key, children in splits[level].items():
+            limit = incumbent if level == 0 and len(roots) == 1 else None
+            splits[level][key] = kept = _promising(levels[level][key], children, n_rows, reg, limit)
+            for _rank, _fid, a, b in kept:
+                for child in (a, b):
+                    nxt.setdefault((key[0], frozenset(child.literals)), child)
         levels.append(nxt)
         level += 1
 
@@ -141,6 +152,17 @@ def search(
     return [best[(0, i, frozenset(c.literals))] for i, c in enumerate(roots)]
 
 
+def _promising(cell: Cell, children: list[tuple], n_rows: int, reg: float, incumbent: float | None) -> list[tuple]:
+    """The splits whose two sides can reach a loss that is not above what the node has anyway."""
+    known = [cell.errors / n_rows + reg, *((a.errors + b.errors) / n_rows + 2 * reg for _, _, a, b in children)]
+    upper = min(known if incumbent is None else [*known, incumbent]) + BOUND_SLACK
+
+    def least(c: Cell) -> float:
+        return min(c.errors / n_rows + reg, c.minority / n_rows + 2 * reg)
+
+    return [x for x in children if least(x[2]) + least(x[3]) <= upper]
+
+
 def _loss(sub: tuple, n_rows: int, reg: float) -> float:
     return round(count_errors(sub) / n_rows + reg * count_leaves(sub), SCORE_DIGITS)
 

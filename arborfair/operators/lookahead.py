@@ -52,15 +52,25 @@ def greedy_tree(
 def optimal_tree(
     df: DataFrame, label: str, features: BinaryFeatures, n_classes: int, depth: int = 2,
     reg: float = 1e-4, max_features: int = 0, narrow: bool = False, max_cells: int = MAX_CELLS,
+    greedy_bound: bool = False,
 ) -> Tree:
-    """The tree of smallest objective with at most ``depth`` splits on a path."""
+    """The tree of smallest objective with at most ``depth`` splits on a path.
+
+    With ``greedy_bound`` a greedy tree of that depth is grown first, and the search leaves out what cannot
+    beat it; the result is the same.  ``Tree.info["opened"]`` has the cells counted per level.
+    """
     if depth < 0:
         raise ValueError("depth must not be negative")
     with Scratch(df.sparkSession) as scratch:
         patterns = compact(df, features, label, n_classes, scratch)
-        sub = search(patterns, [whole_table(patterns)], [depth], reg, max_features,
-                     narrow=narrow, max_cells=max_cells)[0]
-        return to_tree(sub, features, patterns.n_rows, reg)
+        root, bound, opened = whole_table(patterns), None, []
+        if greedy_bound and not max_features:  # a ranked search may not have the greedy tree among its trees
+            bound = subtree_loss(grow(patterns, [root], [depth + 1], reg, narrow=False)[0], patterns.n_rows, reg)
+        sub = search(patterns, [root], [depth], reg, max_features, narrow=narrow, max_cells=max_cells,
+                     incumbent=None if narrow else bound, opened=opened)[0]
+        tree = to_tree(sub, features, patterns.n_rows, reg)
+        tree.info = {"opened": opened, **({} if bound is None else {"greedy_objective": bound})}
+        return tree
 
 
 def lookahead_tree(

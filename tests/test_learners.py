@@ -180,3 +180,37 @@ def test_registered_learners_try_all_tests(spark, monkeypatch, name, learner):
         queries.QUERIES[name](spark, sf)
     want = fit_midpoints(queries.lines(spark, sf), queries.LINE_NUMERIC, queries.LINE_CATEGORICAL)
     assert called.value.args == (want.names, 0)
+
+
+@pytest.mark.parametrize("seed,k,depth", [(31, 2, 3), (32, 3, 2), (33, 2, 4)])
+def test_greedy_bound_opens_fewer_cells(spark, seed, k, depth):
+    """A coarse penalty and few patterns: many cells cannot win.  The tree is that of the search without the bound."""
+    X, y = planted(seed, n=160, f=6, k=k)
+    df, tests = as_table(spark, X, y)
+    reg = 0.03
+    want = brute.optimal(X, y, k, depth, reg, len(y), 0)
+    plain, bound = (optimal_tree(df, "y", tests, k, depth, reg, greedy_bound=b) for b in (False, True))
+    for tree in (plain, bound):
+        assert tree.objective == brute.loss(want, len(y), reg)
+        assert brute.shape(brute.from_tree(tree)) == brute.shape(want)
+    assert sum(bound.info["opened"]) <= sum(plain.info["opened"])
+    every = sum(_cells_of_level(6, level) for level in range(depth))
+    assert sum(plain.info["opened"]) < every
+
+
+def _cells_of_level(n_features, level):
+    """Sets of ``level`` literals on different tests."""
+    from math import comb
+
+    return comb(n_features, level) * 2 ** level
+
+
+def test_tree_set_without_depth_limit(spark):
+    X, y = planted(34)
+    df, tests = as_table(spark, X, y)
+    found = near_optimal_trees(df, "y", tests, 2, 2, 0, REG, tolerance=0.2, n_prefixes=6)
+    closed = near_optimal_trees(df, "y", tests, 2, 2, 3, REG, tolerance=0.2, n_prefixes=6)
+    shapes = [[brute.shape(brute.from_tree(t)) for t in s.trees] for s in (found, closed)]
+    assert len(found) >= 1 and shapes[0] == shapes[1]  # one more split on a path than the prefix has
+    for t in found.trees:
+        assert tree_objective(df, t, "y", REG).first()["objective"] == pytest.approx(t.objective)
