@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, pieces, strings
+from .common import keep, pieces, scratch, strings
 from .components import components
 from .words import BLANK_WORDS, find_words, mix, window_hashes, window_starts
 
@@ -144,60 +144,61 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     An id that stands for several texts is several documents: each text is linked on its own, and both components
     may be named by that id."""
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    narrow = narrow.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    kind = "doc_id long, row_key long, n_shingles long, set_a long, set_b long, sketch array<bigint>, odd array<bigint>"
-    rows = keep(narrow.mapInArrow(_sketches(sketch, shingle), kind), "sketches")
-    name = ["set_a", "set_b", "n_shingles"]
-    classes = keep(rows.where("n_shingles > 0").groupBy(*name).agg(
-        F.min("row_key").alias("node"), F.any_value("sketch").alias("sketch"), F.any_value("odd").alias("odd"), F.min("doc_id").alias("least_id")), "classes")
-    postings = _postings(classes)
-    texts = keep(narrow.join(postings.select(F.col("node").alias("row_key")).distinct(), "row_key", "left_semi")
-                 .select(F.col("row_key").alias("node"), "text").dropDuplicates(["node"]), "texts")
-
-    links, tested = None, None
-    for round_number in range(3):
-        if links is None:
-            listed = postings.withColumn("component", F.col("node"))
-        else:
-            labels = components(links)
-            listed = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if round_number < 2:
-            # All lists agree on how they prefer nodes, so a group of copies tends to share its leaders.
-            rest = ["node", "component", "n_shingles", "odd"]
-            central = F.struct(-F.col("weight"), F.xxhash64("node", F.lit(round_number)), *rest)
-            any_one = F.struct(F.xxhash64("node", F.lit(round_number)), *rest)
-            leaders = keep(listed.groupBy("value").agg(F.min(central).alias("lead_0"), F.min(any_one).alias("lead_1")).select(
-                "value", F.explode(F.array(*[F.struct(*[F.col(f"lead_{i}.{c}") for c in rest]) for i in range(2)])).alias("lead")), "leaders")
-            here = {c: listed[c] for c in rest}
-            pairs = listed.join(leaders, (listed["value"] == leaders["value"]) & (listed["component"] != F.col("lead.component"))
-                                & _may_link(here, F.col("lead"))).select(
-                F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
-        else:
-            several = keep(listed.groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-                           .where("a <> b").select("value"), "open")
-            keys = classes.where(F.size("sketch") > 1).select("node", _neighbours().alias("keys"))
-            open_lists = keep(listed.join(several, "value", "left_semi").join(keys, "node"), "open")
-            left, right = open_lists.alias("a"), open_lists.alias("b")
-            a, b = ({c: F.col(f"{side}.{c}") for c in ("value", "node", "component", "n_shingles", "odd", "keys")} for side in "ab")
-            # A pair that shares several lists comes out of the first of them only.
-            once = a["value"] == F.array_min(F.array_intersect(a["keys"], b["keys"]))
-            pairs = left.join(right, (a["value"] == b["value"]) & (a["node"] < b["node"]) & (a["component"] != b["component"]) & _may_link(a, b) & once)
-            pairs = pairs.select(a["node"].alias("u"), b["node"].alias("v"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        possible = keep(_alike(pairs, classes, sketch), "pairs")
-        tested = possible if tested is None else tested.unionAll(possible)
-        found = keep(_exact(possible, texts, shingle), "links")
-        links = found if links is None else links.unionAll(found)
-
-    labels = components(links)
-    named = classes.join(labels, "node", "left").select(*name, "least_id", F.coalesce("component", "node").alias("component"))
-    # Both sides written: a component of very many classes is then split by the adaptive join.
-    named = keep(named, "named")
-    least = keep(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
-    named = named.join(least, "component").select(*name, "component_id", F.lit(True).alias("named"))
+    with scratch(docs.sparkSession):  # what the result reads stays, all other tables go here
+        narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        narrow = narrow.withColumn("row_key", F.xxhash64("doc_id", "text"))
+        kind = "doc_id long, row_key long, n_shingles long, set_a long, set_b long, sketch array<bigint>, odd array<bigint>"
+        rows = keep(narrow.mapInArrow(_sketches(sketch, shingle), kind), "sketches", lasting=True)
+        name = ["set_a", "set_b", "n_shingles"]
+        classes = keep(rows.where("n_shingles > 0").groupBy(*name).agg(
+            F.min("row_key").alias("node"), F.any_value("sketch").alias("sketch"), F.any_value("odd").alias("odd"), F.min("doc_id").alias("least_id")), "classes")
+        postings = _postings(classes)
+        texts = keep(narrow.join(postings.select(F.col("node").alias("row_key")).distinct(), "row_key", "left_semi")
+                     .select(F.col("row_key").alias("node"), "text").dropDuplicates(["node"]), "texts")
+
+        links, tested = None, None
+        for round_number in range(3):
+            if links is None:
+                listed = postings.withColumn("component", F.col("node"))
+            else:
+                labels = components(links)
+                listed = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            if round_number < 2:
+                # All lists agree on how they prefer nodes, so a group of copies tends to share its leaders.
+                rest = ["node", "component", "n_shingles", "odd"]
+                central = F.struct(-F.col("weight"), F.xxhash64("node", F.lit(round_number)), *rest)
+                any_one = F.struct(F.xxhash64("node", F.lit(round_number)), *rest)
+                leaders = keep(listed.groupBy("value").agg(F.min(central).alias("lead_0"), F.min(any_one).alias("lead_1")).select(
+                    "value", F.explode(F.array(*[F.struct(*[F.col(f"lead_{i}.{c}") for c in rest]) for i in range(2)])).alias("lead")), "leaders")
+                here = {c: listed[c] for c in rest}
+                pairs = listed.join(leaders, (listed["value"] == leaders["value"]) & (listed["component"] != F.col("lead.component"))
+                                    & _may_link(here, F.col("lead"))).select(
+                    F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
+            else:
+                several = keep(listed.groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+                               .where("a <> b").select("value"), "open")
+                keys = classes.where(F.size("sketch") > 1).select("node", _neighbours().alias("keys"))
+                open_lists = keep(listed.join(several, "value", "left_semi").join(keys, "node"), "open")
+                left, right = open_lists.alias("a"), open_lists.alias("b")
+                a, b = ({c: F.col(f"{side}.{c}") for c in ("value", "node", "component", "n_shingles", "odd", "keys")} for side in "ab")
+                # A pair that shares several lists comes out of the first of them only.
+                once = a["value"] == F.array_min(F.array_intersect(a["keys"], b["keys"]))
+                pairs = left.join(right, (a["value"] == b["value"]) & (a["node"] < b["node"]) & (a["component"] != b["component"]) & _may_link(a, b) & once)
+                pairs = pairs.select(a["node"].alias("u"), b["node"].alias("v"))
+            pairs = pairs.distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["u", "v"], "left_anti")
+            possible = keep(_alike(pairs, classes, sketch), "pairs")
+            tested = possible if tested is None else tested.unionAll(possible)
+            found = keep(_exact(possible, texts, shingle), "links")
+            links = found if links is None else links.unionAll(found)
+
+        labels = components(links)
+        named = classes.join(labels, "node", "left").select(*name, "least_id", F.coalesce("component", "node").alias("component"))
+        # Both sides written: a component of very many classes is then split by the adaptive join.
+        named = keep(named, "named", lasting=True)
+        least = keep(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "least", lasting=True)
+        named = named.join(least, "component").select(*name, "component_id", F.lit(True).alias("named"))
     out = rows.select("doc_id", *name).join(named, name, "left")
     component = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
