@@ -60,8 +60,8 @@ def near_optimal_trees(
 
     Prefixes have at most ``lookahead - 1`` splits on a path.  Each of their leaves gets a greedy
     completion and, if it differs, an optimal one, of depth ``budget - lookahead``.  All prefixes
-    grow in the same jobs, and so do all their completions.  A budget of 0 is none: every leaf is completed
-    with a budget of one, as in ``lookahead_tree``.
+    grow in the same jobs, and so do all their completions.  A budget of 0 is no fixed depth: the
+    prefixes are the trees.
     """
     open_end = budget == 0
     check_depths(lookahead, lookahead if open_end else budget)
@@ -75,7 +75,7 @@ def near_optimal_trees(
         )
         # Equal prefixes have equal completions.
         prefixes = list({shape(p): p for p in prefixes}.values())
-        remaining = 1 if open_end else budget - lookahead
+        remaining = 0 if open_end else budget - lookahead
         candidates: dict[str, tuple] = {}
         if remaining == 0:
             candidates = {shape(p): p for p in prefixes}

@@ -123,4 +123,4 @@ def prepare(
     if scratch is not None:
         marked = scratch.keep(marked, "prepared")
     train, test = marked.where("NOT is_test").drop("is_test"), marked.where("is_test").drop("is_test")
-    return Prepared(train, test, data.label, features, groups, len(target.classes), data.row_id)
+    return Prepared(train, test, data.label, features, groups, target.n_classes, data.row_id)

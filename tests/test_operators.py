@@ -207,3 +207,23 @@ def test_elimination_on_weighted_rows_equals_that_on_all_rows(spark):
     got = stumps.eliminate(df.drop("_weight"), "_y", tests, 2, booster)
     assert got == stumps._eliminate(rows, "_y", list(tests), names, 2, booster)
     assert {("a", 40.5), ("b", 8.5)} <= set(got) and len(got) < len(tests)
+
+
+def test_one_class_per_row_needs_no_list(spark, monkeypatch):
+    """Dense codes of very many text classes: ordered, without gaps, joined to rows; nothing but counts on the driver."""
+    from arborfair.operators import target as module
+
+    rows = [(f"t{(i * 7919) % 20_011:05d}" if i % 50 else None, i) for i in range(20_011)]
+    df = spark.createDataFrame(rows, "y string, code long").repartition(6)
+    coded, target = prepare_target(df, "y", "class")
+    want = {v: k for k, v in enumerate(sorted({y for y, _ in rows if y is not None}))}
+    assert target.n_classes == len(want) and target.classes == []
+    got = coded.collect()
+    assert coded.columns == ["y", "code", "class"] and len(got) == len(rows)
+    assert all(r["class"] == want.get(r["y"]) for r in got)
+    target.release()
+    # Few classes and many are coded alike.
+    monkeypatch.setattr(module, "LISTED_CLASSES", 2)
+    small = spark.createDataFrame([("b",), ("a",), ("é",), ("z",), (None,), ("a",)], "y string")
+    in_place, _ = prepare_target(small, "y")
+    assert sorted(in_place.collect(), key=str) == sorted([(1,), (0,), (3,), (2,), (None,), (0,)], key=lambda r: f"Row(y={r[0]})")
