@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ranks import take_per_group
+from ..session import Scratch
+
+# Classes whose counts are held as a local table.
+LISTED_COUNTS = 10_000
 
 
 def quotas_by_class(counts: DataFrame, key: str, test_size: float, rows: int) -> DataFrame:
@@ -48,6 +52,7 @@ def mark_test_rows(
     stratified = not isinstance(df.schema[label].dataType, (T.FloatType, T.DoubleType))
     if stratified:
         counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("_stratum")).count()
+        counts = _once(counts)
         n_classes, least, most, rows = counts.agg(F.count("*"), F.min("count"), F.max("count"), F.sum("count")).first()
         stratified = bool(rows) and least >= 2 and n_classes <= rows // 2
     if not stratified:
@@ -59,6 +64,14 @@ def mark_test_rows(
     return taken.drop("_stratum").withColumnRenamed("taken", "is_test")
 
 
+def _once(counts: DataFrame) -> DataFrame:
+    """The counts without the pass over the data behind them: a local table if they are few, else written."""
+    few = counts.limit(LISTED_COUNTS + 1).collect()
+    if len(few) <= LISTED_COUNTS:
+        return counts.sparkSession.createDataFrame(few, counts.schema)
+    return Scratch(counts.sparkSession).keep(counts, "counts")
+
+
 def train_test_split(
     df: DataFrame, label: str, row_id: str | list[str], test_size: float = 0.2, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
