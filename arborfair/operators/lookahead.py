@@ -22,7 +22,7 @@ class BinarizerOptions:
     kind: str = "midpoint"
     max_thresholds: int = 50
     n_stumps: int = 100
-    seed: int = 42
+    stump_depth: int = 1
 
 
 def fit_binary_features(
@@ -33,7 +33,7 @@ def fit_binary_features(
         return fit_midpoints(df, numeric, categorical, options.max_thresholds)
     if options.kind == "stump":
         return fit_stump_thresholds(
-            df, label, numeric, categorical, n_classes, n_estimators=options.n_stumps, seed=options.seed
+            df, label, numeric, categorical, n_classes, n_estimators=options.n_stumps, max_depth=options.stump_depth
         )
     raise ValueError(f"unknown binarizer {options.kind!r}")
 

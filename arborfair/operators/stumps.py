@@ -1,159 +1,66 @@
-"""Thresholds guessed by boosted one-split trees."""
+"""Thresholds guessed by boosted trees."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import at_most
+from ..session import Scratch, spread
 from .binarize import BinaryFeatures, assemble, collect_vocabulary
-
-
-_LARGEST = 1e300
-WEIGHT = "_weight"
-
-
-def _assembled(df: DataFrame, columns: list[Column], label: Column) -> DataFrame:
-    """Labels and vectors of all rows, and how many rows each stands for (``_weight``, else 1).
-
-    The booster takes finite numbers only: infinite values become the largest that are used, and a missing value
-    lies above all of them, so it fails every test.
-    """
-    names = [f"_x{i}" for i in range(len(columns))]
-    most, missing = F.lit(_LARGEST), F.lit(2 * _LARGEST)
-    wide = df.where(label.isNotNull()).select(
-        label.cast("double").alias("_label"), (F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1.0)).alias(WEIGHT),
-        *[F.coalesce(F.least(F.greatest(F.nanvl(c, F.lit(None)), -most), most), missing).alias(n) for c, n in zip(columns, names)])
-    packed = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="error").transform(wide)
-    return packed.select("_label", WEIGHT, "_features")
-
-
-def _booster(n_estimators: int, learning_rate: float, seed: int, max_bins: int) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="_features", labelCol="_label", maxDepth=1, maxIter=n_estimators,
-        stepSize=learning_rate, maxBins=max_bins, seed=seed,
-    )
-
-
-def _one_per_class(
-    df: DataFrame, columns: list[Column], label: str, n_classes: int, booster: GBTClassifier
-) -> list[GBTClassificationModel]:
-    """One booster for two classes, one against the rest per class for more."""
-    wanted = [1] if n_classes == 2 else list(range(n_classes))
-    models = []
-    for c in wanted:
-        data = _assembled(df, columns, F.col(label) == c).persist()
-        models.append(booster.fit(data))
-        data.unpersist()
-    return models
-
-
-def stump_splits(models: list[GBTClassificationModel]) -> list[tuple[int, float]]:
-    """Distinct ``(feature position, threshold)`` of all roots, in order."""
-    found = set()
-    for model in models:
-        for tree in model.trees:
-            if tree.numNodes > 1:  # a stump that found no split is a single leaf
-                split = tree._call_java("rootNode").split()
-                found.add((split.featureIndex(), split.threshold()))
-    return sorted(found)
-
-
-def _importances(models: list[GBTClassificationModel], size: int) -> list[float]:
-    sums = [0.0] * size
-    for model in models:
-        for i, value in zip(model.featureImportances.indices, model.featureImportances.values):
-            sums[int(i)] += float(value)
-    return sums
-
-
-def _training_score(df: DataFrame, columns: list[Column], label: str, models: list) -> float:
-    """Accuracy of the boosters on their own training rows."""
-    scored = _assembled(df, columns, F.col(label))
-    if len(models) == 1:
-        out = models[0].transform(scored)
-        return _share(out, F.col("prediction") == F.col("_label"))
-    from pyspark.ml.functions import vector_to_array
-
-    margins = []
-    for i, model in enumerate(models):
-        scored = model.setRawPredictionCol(f"_raw{i}").setProbabilityCol(f"_p{i}").setPredictionCol(
-            f"_c{i}").transform(scored)
-        margins.append(vector_to_array(F.col(f"_raw{i}")).getItem(1))
-    values = F.array(*margins)
-    hit = (F.array_position(values, F.array_max(values)) - 1) == F.col("_label")
-    return _share(scored, hit)
-
-
-def _share(scored: DataFrame, hit: Column) -> float:
-    """The share of rows with a hit; counts are whole numbers, so partitioning cannot change it."""
-    return scored.agg(F.sum(F.when(hit, F.col(WEIGHT)).otherwise(0.0)) / F.sum(WEIGHT)).first()[0]
+from .boosting import BUCKETS, Booster, boost
 
 
 def fit_stump_thresholds(
     df: DataFrame, label: str, numeric: list[str], categorical: list[str], n_classes: int,
-    n_estimators: int = 100, learning_rate: float = 0.1, seed: int = 42, max_bins: int = 256,
+    n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 1, buckets: int = BUCKETS,
     column_elimination: bool = False,
 ) -> BinaryFeatures:
-    """The thresholds boosted stumps split at, plus all categories.
+    """The thresholds that boosted trees of ``max_depth`` split at, plus all categories.
 
-    Spark's booster looks for splits between ``max_bins`` quantile bins, so thresholds are near,
-    not always at, the midpoints an exhaustive search would take.  Labels are 0..n_classes-1.
+    Trees may split between any two values.  More than two classes share their gradients (softmax), a tree per class
+    and round.  Labels are 0..n_classes-1.
     """
     thresholds: list[tuple[str, float]] = []
     if numeric:
-        booster = _booster(n_estimators, learning_rate, seed, max_bins)
-        models = _one_per_class(df, [F.col(c).cast("double") for c in numeric], label, n_classes, booster)
-        thresholds = [(numeric[i], t) for i, t in stump_splits(models)]
-        if column_elimination:
-            thresholds = eliminate(df, label, thresholds, n_classes, booster)
+        with Scratch(df.sparkSession) as scratch:
+            model = boost(df, label, numeric, n_classes, scratch, n_estimators, learning_rate, max_depth, buckets)
+            thresholds = [(numeric[i], t) for i, t in model.splits()]
+            if column_elimination:
+                thresholds = eliminate(df, label, thresholds, n_classes, scratch, n_estimators, learning_rate, max_depth)
     return assemble(
         thresholds, collect_vocabulary(df, categorical), [*numeric, *categorical], digits=6
     )
 
 
 def eliminate(
-    df: DataFrame, label: str, thresholds: list[tuple[str, float]], n_classes: int,
-    booster: GBTClassifier,
+    df: DataFrame, label: str, thresholds: list[tuple[str, float]], n_classes: int, scratch: Scratch,
+    n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 1,
 ) -> list[tuple[str, float]]:
     """Drop the least important threshold while the training score stays at its base value.
 
-    The threshold whose removal ended the loop is put back at the end of the list.
-    Rows that answer all tests alike are one weighted row, so the table is read once for all boosters.
+    The threshold whose removal ended the loop is put back at the end of the list.  The models are boosted on the answers
+    to the tests; rows that answer all alike are one weighted row.  A model without some test is the one before up to
+    the first round that split on it, so a removal costs the rounds after that, and none if the test was not in use.
     """
-    kept = list(thresholds)
-    if len(kept) <= 1:
-        return kept
-    answer = {test: f"_t{i}" for i, test in enumerate(kept)}
-    bits = [(F.col(c).cast("double") <= F.lit(t)).cast("double").alias(name) for (c, t), name in answer.items()]
-    whole = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_y"), *bits)
-    df = whole.groupBy("_y", *answer.values()).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)).persist()
-    try:
-        return _eliminate(df, "_y", kept, answer, n_classes, booster.copy().setWeightCol(WEIGHT))
-    finally:
-        df.unpersist()
-
-
-def _eliminate(
-    df: DataFrame, label: str, kept: list[tuple[str, float]], answer: dict[tuple[str, float], str],
-    n_classes: int, booster: GBTClassifier,
-) -> list[tuple[str, float]]:
-    thresholds = list(kept)
-
-    def columns() -> list[Column]:
-        return [F.col(answer[test]) for test in kept]
-
-    models = _one_per_class(df, columns(), label, n_classes, booster)
-    base = _training_score(df, columns(), label, models)
-    score, dropped = float("inf"), None
-    for _ in range(len(thresholds) - 1):
+    if len(thresholds) <= 1:
+        return list(thresholds)
+    bits = [f"if({at_most(c, t)}, 0.0D, 1.0D) AS x{i}" for i, (c, t) in enumerate(thresholds)]
+    names = [f"x{i}" for i in range(len(thresholds))]
+    answers = spread(df.where(F.col(label).isNotNull())).withColumn("_y", F.col(label).cast("int")).selectExpr("_y", *bits)
+    kept = scratch.keep(answers.groupBy("_y", *names).agg(F.count(F.lit(1)).alias("_w")), "answers")
+    booster = Booster(kept, len(names), n_classes, n_estimators, learning_rate, max_depth, [[0.0]] * len(names))
+    left = list(range(len(names)))
+    model = booster.fit()
+    base, dropped = booster.accuracy(model), None
+    score = base
+    for _ in range(len(names) - 1):
         if score < base:
             break
-        weights = _importances(models, len(kept))
-        dropped = kept.pop(weights.index(min(weights)))
-        models = _one_per_class(df, columns(), label, n_classes, booster)
-        score = _training_score(df, columns(), label, models)
-    if dropped is not None:
-        kept.append(dropped)
-    return kept
+        weights = model.importances(len(names))
+        dropped = min(left, key=lambda i: (weights[i], i))
+        left.remove(dropped)
+        if weights[dropped]:
+            model = booster.fit(left, model)
+            score = booster.accuracy(model)
+    return [thresholds[i] for i in left] + ([thresholds[dropped]] if dropped is not None else [])
