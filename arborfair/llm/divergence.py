@@ -52,8 +52,6 @@ MAX_WORD_DISTANCE = 0.365
 #: Shorter texts are not judged by the histogram.
 MIN_CHARS = 200
 MIN_WORDS = 100
-#: Languages with the most documents, of which references are taken.
-MAX_LANGUAGES = 256
 
 
 def _vocabulary_hashes() -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +156,7 @@ def fit_references(docs: DataFrame, *, text: str = "text", lang: str = "lang") -
         F.max(F.when(F.col("bin") == 0, F.col("total"))).alias("n"),
         F.transform(F.array_sort(F.collect_list(F.struct("bin", "total"))), lambda x: x["total"]).alias("totals"))
     out = {}
-    for r in by_lang.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect():
+    for r in by_lang.collect():  # a row of about 130 numbers per language
         mean = np.array(r["totals"][1:], float)
         c, v = mean[:_N_CLASSES], mean[_N_CLASSES:]
         out[r["lang"]] = (c / max(c.sum(), 1), v / max(v.sum(), 1))

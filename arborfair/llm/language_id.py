@@ -5,8 +5,12 @@ all ways to cut it into pieces, of the product of the piece probabilities (forwa
 product over its words.  Training is expectation maximisation: expected piece counts over all segmentations of all training
 words, starting from equal probabilities.  Words of one length run through the algorithm together, a column per language.
 
-A word is a run of letters of any script in lower case, with the blank mark before it; one of more than ``UNIT`` characters is
-cut into units of that length.  A character that is no piece is one unknown piece.
+A word is a run of letters of any script in lower case, with the blank mark before it.  One of more than ``UNIT`` characters goes
+through the algorithm step by step: the last forward sums, as many as the longest piece has characters, are rescaled and carried
+on, so its sums are over all segmentations too.  A character that is no piece is one unknown piece.
+
+Languages are learned and scored in blocks of ``BLOCK_LANGUAGES``, a pass over the texts each, so a model in memory has a bounded size
+whatever the number of languages.
 
 Cases: a null text or one without a letter is ``und`` with score 0, as is every text if nothing was learned; null languages are not
 learned; null ids take part in training (their text is empty); repeated rows count as often; extra columns are not read.
@@ -27,24 +31,28 @@ from .common import attach, free_name, pieces, strings
 from .units import Memo
 from .words import find_words, mix
 
-#: Characters of a unit (the mark included) and of the longest piece that is used.
+#: Characters (the mark included) up to which words of one length are held whole.
 UNIT = 40
-PIECE = 16
+#: Longer ones: characters between two rescalings, steps between two states that are kept for the way back, numbers held at a time.
+STEP = 32
+STEPS = 32
+HELD = 1 << 22
 #: Rounds of expectation maximisation.
 ROUNDS = 1
 #: Added to the expected count of every piece.
 SMOOTHING = 0.1
-#: Languages that are learned: those with the most documents.
-MAX_LANGUAGES = 256
+#: Languages of one model in memory.
+BLOCK_LANGUAGES = 256
 _SCALE = 1_000_000
-#: Keeps products of up to UNIT characters inside the range of doubles; taken off again in the logarithm.
+#: Keeps products of up to UNIT characters (or STEP and a piece) inside the range of doubles; taken off again in the logarithm.
 _PER_CHARACTER = 1e4
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _MARK = ord("▁")
 _M = 0x9E3779B97F4A7C15 | 1
-_POWERS = np.array([pow(_M, i, 1 << 64) for i in range(UNIT + 1)], np.uint64)
-_INVERSE = np.array([pow(pow(_M, -1, 1 << 64), i, 1 << 64) for i in range(UNIT + 1)], np.uint64)
+_REACH = 1024
+_POWERS = np.array([pow(_M, i, 1 << 64) for i in range(_REACH)], np.uint64)
+_INVERSE = np.array([pow(pow(_M, -1, 1 << 64), i, 1 << 64) for i in range(_REACH)], np.uint64)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -60,8 +68,10 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         texts = [model.id_to_piece(i) for i in range(model.vocab_size())
                  if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-        texts = sorted(t for t in texts if len(t) <= PIECE)
-        self.size = len(texts)
+        texts = sorted(texts)
+        self.size, self.longest = len(texts), max(map(len, texts), default=1)
+        if self.longest + STEP >= _REACH:
+            raise ValueError(f"pieces of more than {_REACH - STEP} characters")
         self._memo = Memo(1 << max(12, self.size.bit_length()))
         codes = [np.array([ord(c) for c in t], np.uint64) for t in texts]
         self._memo.add(np.array([self._fingerprint(c) for c in codes], np.uint64), np.arange(self.size, dtype=np.int32))
@@ -73,16 +83,34 @@ class Vocabulary:
     def lattice(self, codes: np.ndarray):
         """For units of one length (units x characters): yields ``(begin, end, piece numbers)``, ends ascending."""
         m, n = codes.shape
-        total = np.zeros((n + 1, m), np.uint64)
-        np.cumsum(mix(codes.T.astype(np.uint64)) * _POWERS[:n, None], axis=0, out=total[1:])
+        total = self._sums(codes)
         for end in range(1, n + 1):
-            for begin in range(max(0, end - PIECE), end):
-                number = self._memo.find(mix((total[end] - total[begin]) * _INVERSE[begin]))
-                missing = number < 0
-                number[missing] = self.size if end - begin == 1 else self.size + 1
-                if end - begin == 1 or not missing.all():
+            for begin in range(max(0, end - self.longest), end):
+                number = self._numbers(total, begin, end)
+                if end - begin == 1 or (number <= self.size).any():
                     yield begin, end, number
 
+    @staticmethod
+    def _sums(codes: np.ndarray) -> np.ndarray:
+        m, n = codes.shape
+        total = np.zeros((n + 1, m), np.uint64)
+        np.cumsum(mix(codes.T.astype(np.uint64)) * _POWERS[:n, None], axis=0, out=total[1:])
+        return total
+
+    def _numbers(self, total: np.ndarray, begin: int, end: int) -> np.ndarray:
+        number = self._memo.find(mix((total[end] - total[begin]) * _INVERSE[begin]))
+        number[number < 0] = self.size if end - begin == 1 else self.size + 1
+        return number
+
+    def ending(self, codes: np.ndarray, first: int) -> np.ndarray:
+        """``[i, d - 1]``: the piece of ``d`` characters whose last is number ``first + i`` (no piece where it begins before 0)."""
+        total, n = self._sums(codes), codes.shape[1]
+        out = np.full((n - first, self.longest, len(codes)), self.size + 1, np.int64)
+        for i in range(n - first):
+            for d in range(1, min(self.longest, first + i + 1) + 1):
+                out[i, d - 1] = self._numbers(total, first + i + 1 - d, first + i + 1)
+        return out
+
 
 _vocabularies: dict[str, Vocabulary] = {}
 
@@ -93,29 +121,122 @@ def load(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def _units(words: list[str]):
-    """Groups of units of one length: ``(codes, number of the word of each)``."""
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     whole = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
     sizes = np.array([len(w) for w in words], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    by_length: dict[int, list] = {}
-    first = sizes + 1 <= UNIT
-    for n in np.unique(sizes[first]).tolist():
-        rows = np.flatnonzero(first & (sizes == n))
-        codes = np.empty((len(rows), n + 1), np.uint32)
-        codes[:, 0] = _MARK
-        codes[:, 1:] = whole[begin[rows][:, None] + np.arange(n)]
-        by_length.setdefault(n + 1, []).append((codes, rows))
-    for r in np.flatnonzero(~first).tolist():
-        code = np.concatenate([[np.uint32(_MARK)], whole[begin[r]:begin[r] + sizes[r]]])
-        full = len(code) // UNIT
-        by_length.setdefault(UNIT, []).append((code[:full * UNIT].reshape(full, UNIT), np.full(full, r)))
-        if len(code) % UNIT:
-            by_length.setdefault(len(code) % UNIT, []).append((code[None, full * UNIT:], np.array([r])))
-    for groups in by_length.values():
-        codes, rows = np.concatenate([g[0] for g in groups]), np.concatenate([g[1] for g in groups])
+    return whole, sizes, np.cumsum(sizes) - sizes
+
+
+def _units(words: list[str]):
+    """Words of at most ``UNIT`` characters in groups of one length: ``(codes, number of the word of each)``."""
+    whole, sizes, begin = _codes(words)
+    for n in np.unique(sizes[sizes < UNIT]).tolist():
+        rows = np.flatnonzero(sizes == n)
         for lo in range(0, len(rows), 8192):
-            yield codes[lo:lo + 8192], rows[lo:lo + 8192]
+            part = rows[lo:lo + 8192]
+            codes = np.empty((len(part), n + 1), np.uint32)
+            codes[:, 0] = _MARK
+            codes[:, 1:] = whole[begin[part][:, None] + np.arange(n)]
+            yield codes, part
+
+
+class _Long:
+    """Longer words of like length, walked in steps; beyond its end a word is filled up with a character that no piece has."""
+
+    def __init__(self, vocabulary: Vocabulary, codes: np.ndarray, sizes: np.ndarray, p: np.ndarray):
+        self.vocabulary, self.codes, self.sizes, self.p = vocabulary, codes, sizes, p
+        self.reach = vocabulary.longest
+        self.weight = (_PER_CHARACTER ** np.arange(1, self.reach + 1))[:, None, None]
+        self.shape = (len(codes), p.shape[1])
+
+    def start(self) -> tuple[np.ndarray, np.ndarray]:
+        """The last forward sums, the newest at the end, and the logarithms taken off them."""
+        tail = np.zeros((self.reach, *self.shape))
+        tail[-1] = 1
+        return tail, np.zeros(self.shape)
+
+    def numbers(self, lo: int, hi: int) -> np.ndarray:
+        before = max(0, lo - self.reach + 1)
+        return self.vocabulary.ending(self.codes[:, before:hi], lo - before)
+
+    def ahead(self, state, lo: int, hi: int) -> np.ndarray:
+        """Forward sums up to ``hi`` in the scale of ``state``; row ``reach - 1`` is place ``lo``."""
+        sums = np.concatenate([state[0], np.zeros((hi - lo, *self.shape))])
+        for i, number in enumerate(self.numbers(lo, hi)):
+            sums[self.reach + i] = (sums[i:self.reach + i][::-1] * self.p[number] * self.weight).sum(axis=0)
+        return sums
+
+    def carried(self, sums: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        tail = sums[-self.reach:]
+        top = tail.max(axis=0)
+        top[top == 0] = 1
+        return tail / top, off + np.log(top)
+
+    def steps(self, lo: int = 0, hi: int | None = None):
+        hi = self.codes.shape[1] if hi is None else min(hi, self.codes.shape[1])
+        return [(a, min(a + STEP, hi)) for a in range(lo, hi, STEP)]
+
+    def likelihood(self, kept: list | None = None) -> np.ndarray:
+        """Scaled log likelihoods; ``kept`` gets the state before every ``STEPS`` steps."""
+        state, out = self.start(), np.zeros(self.shape)
+        for k, (lo, hi) in enumerate(self.steps()):
+            if kept is not None and k % STEPS == 0:
+                kept.append(state)
+            sums = self.ahead(state, lo, hi)
+            ends = np.flatnonzero((self.sizes > lo) & (self.sizes <= hi))
+            out[ends] = np.log(sums[self.reach - 1 + self.sizes[ends] - lo, ends]) + state[1][ends]
+            state = self.carried(sums, state[1])
+        return out
+
+    def expected(self, weights: np.ndarray, out: np.ndarray) -> None:
+        """Add the expected counts of all pieces to ``out``: back from the end, the forward sums of each stretch made again."""
+        kept: list = []
+        whole = self.likelihood(kept)
+        tail, off = np.zeros((self.reach, *self.shape)), np.zeros(self.shape)  # backward sums after the step, nearest first
+        for k in reversed(range(len(kept))):
+            states = [kept.pop()]
+            stretch = self.steps(k * STEPS * STEP, (k + 1) * STEPS * STEP)
+            for lo, hi in stretch[:-1]:
+                states.append(self.carried(self.ahead(states[-1], lo, hi), states[-1][1]))
+            for (lo, hi), state in zip(reversed(stretch), reversed(states)):
+                sums, size = self.ahead(state, lo, hi), hi - lo
+                # Places lo - reach + 1 .. hi; the backward sum of hi is complete but for words that end there.
+                back = np.zeros((self.reach + size, *self.shape))
+                back[size:] = tail
+                ends = np.flatnonzero((self.sizes > lo) & (self.sizes <= hi))
+                back[self.reach - 1 + self.sizes[ends] - lo, ends] += np.exp(-off[ends])
+                scale = np.exp(np.minimum(state[1] + off - whole, 600)) * weights  # beyond a word's end, where it meets zeros
+                numbers = self.numbers(lo, hi)
+                for i in reversed(range(size)):
+                    piece = self.p[numbers[i]] * self.weight * back[self.reach + i]
+                    share = piece * sums[i:self.reach + i][::-1] * scale
+                    back[i:self.reach + i] += piece[::-1]
+                    for c in range(share.shape[2]):
+                        out[:, c] += np.bincount(numbers[i].ravel(), share[:, :, c].ravel(), len(out))
+                tail = back[:self.reach]
+                top = tail.max(axis=0)
+                top[top == 0] = 1
+                tail, off = tail / top, off + np.log(top)
+
+
+def _long_words(vocabulary: Vocabulary, words: list[str], p: np.ndarray):
+    """Groups of the words that ``_units`` leaves: ``(walk, number of the word of each)``."""
+    whole, sizes, begin = _codes(words)
+    rows = np.flatnonzero(sizes >= UNIT)
+    rows = rows[np.argsort(sizes[rows], kind="stable")]
+    at_once = max(1, HELD // (vocabulary.longest * STEP * max(1, p.shape[1])))
+    lo = 0
+    while lo < len(rows):
+        hi = lo + 1
+        while hi < len(rows) and hi - lo < at_once and sizes[rows[hi]] <= 1.25 * sizes[rows[lo]]:
+            hi += 1
+        part = rows[lo:hi]
+        codes = np.zeros((len(part), sizes[part[-1]] + 1), np.uint32)
+        codes[:, 0] = _MARK
+        for i, r in enumerate(part.tolist()):
+            codes[i, 1:sizes[r] + 1] = whole[begin[r]:begin[r] + sizes[r]]
+        yield _Long(vocabulary, codes, sizes[part] + 1, p), part
+        lo = hi
 
 
 def _forward(vocabulary: Vocabulary, codes: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, list]:
@@ -134,7 +255,9 @@ def log_likelihood(vocabulary: Vocabulary, words: list[str], p: np.ndarray) -> n
     out = np.zeros((len(words), p.shape[1]))
     for codes, rows in _units(words):
         alpha, _ = _forward(vocabulary, codes, p)
-        np.add.at(out, rows, np.log(alpha[-1]) - codes.shape[1] * math.log(_PER_CHARACTER))
+        out[rows] = np.log(alpha[-1]) - codes.shape[1] * math.log(_PER_CHARACTER)
+    for walk, rows in _long_words(vocabulary, words, p):
+        out[rows] = walk.likelihood() - walk.sizes[:, None] * math.log(_PER_CHARACTER)
     return out
 
 
@@ -152,16 +275,25 @@ def expected_counts(vocabulary: Vocabulary, words: list[str], weights: np.ndarra
             beta[begin] += piece * beta[end]
             for k in range(weights.shape[1]):
                 out[:, k] += np.bincount(number, share[:, k], vocabulary.size + 2)
+    for walk, rows in _long_words(vocabulary, words, np.broadcast_to(p, (len(p), weights.shape[1]))):
+        walk.expected(weights[rows], out)
     return out[:-1]
 
 
-class Model:
-    """Languages in order, their log priors, and piece probabilities with a last row of zeros (no piece)."""
+class Block:
+    """Some of the languages in order, their log priors, and piece probabilities with a last row of zeros (no piece)."""
 
     def __init__(self, languages: list[str], prior: np.ndarray, p: np.ndarray):
         self.languages, self.prior, self.p, self.key = languages, prior, p, uuid.uuid4().hex
 
 
+class Model:
+    """Blocks of languages, each broadcast to the tasks."""
+
+    def __init__(self, languages: list[str], blocks: list):
+        self.languages, self.blocks = languages, blocks
+
+
 def _lower_words(column):
     texts = pc.utf8_lower(strings(column))
     return find_words(texts, _LETTERS)
@@ -210,22 +342,24 @@ def _expect(docs: DataFrame, path: str, languages: list[str], p: np.ndarray) ->
 def fit(docs: DataFrame, path: str, *, text: str = "text", lang: str = "lang", rounds: int = ROUNDS) -> Model:
     """Learn from all rows of ``docs`` that have a language."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    counted.sort(key=lambda r: r["lang"])
-    languages = [r["lang"] for r in counted]
-    n = np.array([r["count"] for r in counted], float)
-    size = load(path).size
-    p = np.vstack([np.full((size + 1, 1), 1 / (size + 1)), [[0.0]]])
-    for _ in range(rounds if languages else 0):
-        counts = _expect(rows, path, languages, p) + SMOOTHING
-        p = np.vstack([counts / counts.sum(axis=0), np.zeros((1, len(languages)))])
-    return Model(languages, np.log(n / n.sum()) if languages else n, p)
+    counted = sorted(rows.groupBy("lang").count().collect(), key=lambda r: r["lang"])  # a row per language
+    languages, n = [r["lang"] for r in counted], np.array([r["count"] for r in counted], float)
+    size, blocks = load(path).size, []
+    for lo in range(0, len(languages), BLOCK_LANGUAGES):
+        names = languages[lo:lo + BLOCK_LANGUAGES]
+        p = np.vstack([np.full((size + 1, 1), 1 / (size + 1)), [[0.0]]])
+        for _ in range(rounds):
+            counts = _expect(rows, path, names, p) + SMOOTHING
+            p = np.vstack([counts / counts.sum(axis=0), np.zeros((1, len(names)))])
+        block = Block(names, np.log(n / n.sum())[lo:lo + BLOCK_LANGUAGES], np.broadcast_to(p, (size + 2, len(names))))
+        blocks.append(docs.sparkSession.sparkContext.broadcast(block))
+    return Model(languages, blocks)
 
 
 class _Scores:
     """Log probabilities of the words a worker has met, emptied when full."""
 
-    def __init__(self, model: Model, path: str, capacity: int):
+    def __init__(self, model: Block, path: str, capacity: int):
         self.model, self.path, self.capacity, self.memo = model, path, capacity, Memo(capacity)
         self.scores, self._used = np.empty((1 << 12, len(model.languages))), 0
 
@@ -252,7 +386,7 @@ class _Scores:
 _scored: dict[str, _Scores] = {}
 
 
-def _scores_of(model: Model, path: str, capacity: int) -> _Scores:
+def _scores_of(model: Block, path: str, capacity: int) -> _Scores:
     if model.key not in _scored:
         _scored.clear()
         _scored[model.key] = _Scores(model, path, capacity)
@@ -260,25 +394,35 @@ def _scores_of(model: Model, path: str, capacity: int) -> _Scores:
 
 
 
-
 def identify(docs: DataFrame, model: Model, path: str, *, text: str = "text", name: str | None = None, capacity: int = 1 << 19) -> DataFrame:
     """``docs`` with a struct ``{lang_pred, score}``; the score is the posterior probability of the prediction."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
+    name = name or free_name(docs, "language")
+    if not model.blocks:
+        return docs.withColumn(name, F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")))
+    judged, parts = docs, []
+    for shared in model.blocks:
+        parts.append(free_name(judged, f"{name}_{len(parts)}"))
+        judged = attach(judged, parts[-1], "lang string, top double, mass double", _block_scores(shared, path, text, capacity), text)
+    top = F.array_max(F.array(*[F.col(c)["top"] for c in parts]))
+    # Of equal scores the first language counts; texts without a letter have no score.
+    best = F.coalesce(*[F.when(F.col(c)["top"] == top, F.col(c)["lang"]) for c in parts], F.lit("und"))
+    mass = sum((F.col(c)["mass"] * F.exp(F.col(c)["top"] - top) for c in parts[1:]), F.col(parts[0])["mass"] * F.exp(F.col(parts[0])["top"] - top))
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(best.alias("lang_pred"), F.coalesce(1 / mass, F.lit(0.0)).alias("score")).alias(name))
+
+
+def _block_scores(shared, path: str, text: str, capacity: int):
+    """Per text the likeliest language of a block, its log score, and the sum of all scores of the block relative to it."""
     def compute(piece):
-        fitted: Model = shared.value
+        fitted: Block = shared.value
         column = strings(piece.column(text))
         w = _lower_words(column)
-        if not fitted.languages:
-            return [pa.array(["und"] * len(column), pa.string()), pa.array(np.zeros(len(column)))]
         table = _scores_of(fitted, path, capacity)
         number = table.numbers(w)
         total = np.vstack([np.zeros((1, len(fitted.languages))), np.cumsum(table.scores[number], axis=0)])
         scores = total[w.first[1:]] - total[w.first[:-1]] + fitted.prior
-        best = scores.argmax(axis=1)
-        score = 1 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
+        best, top = scores.argmax(axis=1), scores.max(axis=1)
         letters = np.array([n > 0 and (t.isascii() or any(map(str.isalpha, t))) for n, t in zip(w.counts.tolist(), column.to_pylist())], bool)
-        return [pa.array([fitted.languages[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist())], pa.string()),
-                pa.array(np.where(letters, score, 0.0))]
+        return [pa.array([fitted.languages[k] for k in best.tolist()], pa.string()), pa.array(top, mask=~letters),
+                pa.array(np.exp(scores - top[:, None]).sum(axis=1), mask=~letters)]
 
-    return attach(docs, name or free_name(docs, "language"), "lang_pred string, score double", compute, text)
+    return compute

@@ -131,7 +131,7 @@ def test_forward_sums_all_segmentations():
 
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     vocabulary = language_id.load(PIECES)
-    names = sorted(model.id_to_piece(i) for i in range(259, 32000) if len(model.id_to_piece(i)) <= language_id.PIECE)
+    names = sorted(model.id_to_piece(i) for i in range(259, 32000) if len(model.id_to_piece(i)) <= vocabulary.longest)
     number = {p: k for k, p in enumerate(names)}
     rnd = np.random.default_rng(4)
     p = np.vstack([rnd.random((vocabulary.size + 1, 2)), np.zeros((1, 2))])
@@ -146,6 +146,71 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(language_id.expected_counts(vocabulary, [word], np.array([[2.0, 3.0]]), p), counts[:-1])
 
 
+def _sums_by_table(vocabulary, names, p, word):
+    """Log likelihood and expected counts of one word and one language, place by place in logarithms."""
+    number, text = {n: i for i, n in enumerate(names)}, "\u2581" + word
+    size = len(text)
+
+    def arcs(end):
+        for begin in range(max(0, end - vocabulary.longest), end):
+            k = number.get(text[begin:end], vocabulary.size if end - begin == 1 else None)
+            if k is not None:
+                yield begin, k
+
+    ahead, back = np.full(size + 1, -np.inf), np.full(size + 1, -np.inf)
+    ahead[0] = back[size] = 0
+    for end in range(1, size + 1):
+        for begin, k in arcs(end):
+            ahead[end] = np.logaddexp(ahead[end], ahead[begin] + np.log(p[k]))
+    counts = np.zeros(len(p))
+    for end in range(size, 0, -1):
+        for begin, k in arcs(end):
+            step = np.log(p[k]) + back[end]
+            back[begin] = np.logaddexp(back[begin], step)
+            counts[k] += np.exp(ahead[begin] + step - ahead[size])
+    return ahead[size], counts
+
+
+@pytest.mark.parametrize("steps", [32, 2])
+def test_long_runs_sum_all_segmentations(monkeypatch, steps):
+    """Runs beyond one step, one stretch of steps and one batch: no segmentation is lost at a border."""
+    import sentencepiece
+
+    monkeypatch.setattr(language_id, "STEPS", steps)
+    model, vocabulary = sentencepiece.SentencePieceProcessor(model_file=PIECES), language_id.load(PIECES)
+    names = sorted(model.id_to_piece(i) for i in range(model.vocab_size())
+                   if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
+    rng = np.random.default_rng(3)
+    p = np.vstack([rng.dirichlet(np.full(vocabulary.size + 1, 0.3), 2).T + 1e-9, np.zeros((1, 2))])
+    words = ["".join(rng.choice(list("etaoinshr\u00e9\u4e00"), n)) for n in (39, 40, 41, 63, 64, 65, 70, 128, 300, 1100)]
+    words += ["the" * 30, "a" * 500, "short"]
+    weights = rng.integers(0, 4, (len(words), 2)).astype(float)
+    got, counts = language_id.log_likelihood(vocabulary, words, p), language_id.expected_counts(vocabulary, words, weights, p)
+    wanted = np.zeros((vocabulary.size + 2, 2))
+    for i, word in enumerate(words):
+        for c in range(2):
+            score, each = _sums_by_table(vocabulary, names, p[:, c], word)
+            assert got[i, c] == pytest.approx(score, rel=1e-9)
+            wanted[:, c] += weights[i, c] * each
+    assert np.allclose(counts, wanted[:-1], atol=1e-7)
+
+
+def test_blocks_of_languages_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ["the cat and the dog", "le chat et le chien", "der Hund und die Katze", "el gato y el perro"][i % 4],
+                                   ["en", "fr", "de", "es"][i % 4]) for i in range(16)] + [(99, None, "xx"), (98, "123", "en")], "doc_id long, text string, lang string")
+    found = []
+    for size in (256, 3, 1):
+        monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", size)
+        model = language_id.fit(docs, PIECES)
+        assert model.languages == ["de", "en", "es", "fr"] and len(model.blocks) == -(-4 // size)
+        found.append({r.doc_id: r.language for r in language_id.identify(docs, model, PIECES).collect()})
+    for other in found[1:]:
+        assert {k: v.lang_pred for k, v in other.items()} == {k: v.lang_pred for k, v in found[0].items()}
+        assert all(other[k].score == pytest.approx(v.score) for k, v in found[0].items())
+    assert all(v.lang_pred == ["en", "fr", "de", "es"][k % 4] for k, v in found[0].items() if k < 16)
+    assert tuple(found[0][99]) == tuple(found[0][98]) == ("und", 0.0)
+
+
 def test_languages(spark, odd_docs, odd_rows, no_docs):
     from arborfair.llm.queries import QUERIES
 
