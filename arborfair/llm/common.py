@@ -72,12 +72,12 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 
-def pieces(batch: pa.RecordBatch | pa.Table, text: str = "text") -> Iterator[pa.RecordBatch | pa.Table]:
-    """Runs of rows with about PIECE_BYTES of text each, one row at least."""
+def pieces(batch: pa.RecordBatch | pa.Table, text: str = "text", limit: int | None = None) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Runs of rows with about ``limit`` bytes of text each (PIECE_BYTES if not given), one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     if len(sizes) == 0:
         return
-    at = np.cumsum(sizes.astype(np.int64) + 16) // PIECE_BYTES
+    at = np.cumsum(sizes.astype(np.int64) + 16) // (limit or PIECE_BYTES)
     cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(sizes)]
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         if hi > lo:
@@ -147,11 +147,12 @@ def _next_blank(data: np.ndarray, lo: int, end: int) -> int:
     return end
 
 
-def attach(docs: DataFrame, name: str, fields: str, compute, sized_by: str | None = "text") -> DataFrame:
+def attach(docs: DataFrame, name: str, fields: str, compute, sized_by: str | None = "text",
+           piece_bytes: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with one struct column more, computed piece by piece.
 
     ``compute(piece)`` gets rows as Arrow data and returns one array per field; pieces are cut by the size of the column
-    ``sized_by``, or are Spark's batches."""
+    ``sized_by`` (``piece_bytes``, else PIECE_BYTES), or are Spark's batches."""
     from pyspark.sql.types import StructType
 
     columns = docs.columns
@@ -160,7 +161,7 @@ def attach(docs: DataFrame, name: str, fields: str, compute, sized_by: str | Non
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, sized_by) if sized_by else [batch]:
+            for piece in pieces(batch, sized_by, piece_bytes) if sized_by else [batch]:
                 made = pa.StructArray.from_arrays(compute(piece), names=names)
                 yield pa.RecordBatch.from_arrays([*piece.columns, made], names=[*columns, name])
 

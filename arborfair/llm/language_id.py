@@ -41,6 +41,8 @@ HELD = 1 << 22
 ROUNDS = 1
 #: Added to the expected count of every piece.
 SMOOTHING = 0.1
+#: Bytes of text whose new words are scored together: the steps of the algorithm cost the same for few words as for many.
+SCORED_BYTES = 1 << 20
 #: Languages of one model in memory.
 BLOCK_LANGUAGES = 256
 _SCALE = 1_000_000
@@ -221,7 +223,7 @@ class _Long:
 
 def _long_words(vocabulary: Vocabulary, words: list[str], p: np.ndarray):
     """Groups of the words that ``_units`` leaves: ``(walk, number of the word of each)``."""
-    whole, sizes, begin = _codes(words)
+    sizes = np.array([len(w) for w in words], np.int64)
     rows = np.flatnonzero(sizes >= UNIT)
     rows = rows[np.argsort(sizes[rows], kind="stable")]
     at_once = max(1, HELD // (vocabulary.longest * STEP * max(1, p.shape[1])))
@@ -234,7 +236,7 @@ def _long_words(vocabulary: Vocabulary, words: list[str], p: np.ndarray):
         codes = np.zeros((len(part), sizes[part[-1]] + 1), np.uint32)
         codes[:, 0] = _MARK
         for i, r in enumerate(part.tolist()):
-            codes[i, 1:sizes[r] + 1] = whole[begin[r]:begin[r] + sizes[r]]
+            codes[i, 1:sizes[r] + 1] = np.frombuffer(words[r].encode("utf-32-le"), np.uint32)
         yield _Long(vocabulary, codes, sizes[part] + 1, p), part
         lo = hi
 
@@ -374,7 +376,9 @@ class _Scores:
         if len(new):
             need = self._used + len(new)
             if need > len(self.scores):
-                self.scores = np.concatenate([self.scores[:self._used], np.empty((need, self.scores.shape[1]))])
+                grown = np.empty((need + need // 4, self.scores.shape[1]))
+                grown[:self._used] = self.scores[:self._used]
+                self.scores = grown
             self.scores[self._used:need] = log_likelihood(load(self.path), [w.text(i) for i in first[new].tolist()], self.model.p)
             number[new] = self._used + np.arange(len(new))
             self._used = need
@@ -402,7 +406,8 @@ def identify(docs: DataFrame, model: Model, path: str, *, text: str = "text", na
     judged, parts = docs, []
     for shared in model.blocks:
         parts.append(free_name(judged, f"{name}_{len(parts)}"))
-        judged = attach(judged, parts[-1], "lang string, top double, mass double", _block_scores(shared, path, text, capacity), text)
+        judged = attach(judged, parts[-1], "lang string, top double, mass double", _block_scores(shared, path, text, capacity), text,
+                        SCORED_BYTES)
     top = F.array_max(F.array(*[F.col(c)["top"] for c in parts]))
     # Of equal scores the first language counts; texts without a letter have no score.
     best = F.coalesce(*[F.when(F.col(c)["top"] == top, F.col(c)["lang"]) for c in parts], F.lit("und"))
