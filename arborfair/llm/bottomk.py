@@ -38,7 +38,8 @@ SKETCH = 32
 NEED = 11
 #: Buckets whose parities bound the difference of two sets.
 PARITIES = 512
-SHINGLE = 2
+#: Words of a shingle, unless a caller asks for others.
+SHINGLE = 5
 _PER_CENT = 80
 
 
@@ -138,15 +139,20 @@ def _alike(pairs: DataFrame, classes: DataFrame, sketch: int) -> DataFrame:
     return counted.where(enough).select("u", "v")
 
 
+def row_key(doc_id="doc_id", text="text"):
+    """The number that stands for an id together with its text."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    sketch: int = SKETCH) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``.
+                    sketch: int = SKETCH, key: str | None = None) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``, and ``row_key`` under the name ``key`` if given.
 
     An id that stands for several texts is several documents: each text is linked on its own, and both components
-    may be named by that id."""
+    may be named by that id.  So a caller who filters ``docs`` by the result must match ``key``, not the id."""
     with scratch(docs.sparkSession):  # what the result reads stays, all other tables go here
         narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        narrow = narrow.withColumn("row_key", F.xxhash64("doc_id", "text"))
+        narrow = narrow.withColumn("row_key", row_key())
         kind = "doc_id long, row_key long, n_shingles long, set_a long, set_b long, sketch array<bigint>, odd array<bigint>"
         rows = keep(narrow.mapInArrow(_sketches(sketch, shingle), kind), "sketches", lasting=True)
         name = ["set_a", "set_b", "n_shingles"]
@@ -199,6 +205,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         named = keep(named, "named", lasting=True)
         least = keep(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "least", lasting=True)
         named = named.join(least, "component").select(*name, "component_id", F.lit(True).alias("named"))
-    out = rows.select("doc_id", *name).join(named, name, "left")
+    out = rows.select("doc_id", "row_key", *name).join(named, name, "left")
     component = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    more = [F.col("row_key").alias(key)] if key else []
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), *more)

@@ -35,7 +35,7 @@ def op3_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
 def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

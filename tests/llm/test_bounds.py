@@ -13,11 +13,11 @@ def test_one_id_with_two_texts(spark):
     b = " ".join(f"b{i}" for i in range(60))
     near = b + " b60"
     docs = spark.createDataFrame([(1, a), (1, b), (2, near), (3, a), (4, None)], "doc_id long, text string")
-    got = sorted(tuple(r) for r in bottomk.near_duplicates(docs).select("doc_id", "component_id", "n_shingles").collect())
+    got = sorted(tuple(r) for r in bottomk.near_duplicates(docs, shingle=2).select("doc_id", "component_id", "n_shingles").collect())
     assert got == [(1, 1, 59), (1, 1, 59), (2, 1, 60), (3, 1, 59), (4, 4, 0)]
     # The link of the second text does not depend on which text of the id comes first.
     docs = spark.createDataFrame([(5, b), (5, a), (9, near)], "doc_id long, text string")
-    assert {(r["doc_id"], r["component_id"]) for r in bottomk.near_duplicates(docs).collect()} == {(5, 5), (9, 5)}
+    assert {(r["doc_id"], r["component_id"]) for r in bottomk.near_duplicates(docs, shingle=2).collect()} == {(5, 5), (9, 5)}
 
 
 def test_copies_and_empty_texts_larger_than_a_slice(spark):

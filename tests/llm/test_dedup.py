@@ -72,12 +72,12 @@ def _edited(seed):
 
 
 def test_near_duplicates_against_all_pairs(spark):
-    for seed in (1, 2):
+    for seed, n in ((1, 2), (2, 2), (1, bottomk.SHINGLE)):
         rows = _edited(seed)
-        sets = [plain.shingles(t) for _, t in rows]
+        sets = [plain.shingles(t, n) for _, t in rows]
         label = plain.classes(sets)
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in bottomk.near_duplicates(df).collect()}
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in bottomk.near_duplicates(df, shingle=n).collect()}
         assert got == {i: (len(sets[i]), label[i], label[i] == i) for i, _ in rows}
 
 

@@ -68,10 +68,19 @@ def test_quality_stage(stages):
 def test_near_duplicate_stage(stages):
     _, docs, kept = stages[0][:3]
     ids = sorted(docs)
-    label = plain.classes([plain.shingles(docs[i].text) for i in ids])
+    label = plain.classes([plain.shingles(docs[i].text, 5) for i in ids])
     assert set(kept) == {i for k, i in enumerate(ids) if label[k] == k} and len(kept) < len(docs)
 
 
+def test_near_duplicate_stage_keeps_rows_not_ids(spark):
+    """A kept row without an id, or one text of an id, does not bring back the others."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(None, a), (None, b), (1, b + " b60"), (2, a), (2, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted(tuple(r) for r in kept) == [(1, b + " b60"), (2, a)]
+
+
 def test_repeat_stage(stages):
     docs, cut = stages[0][2:4]
     ids = sorted(docs)
