@@ -25,9 +25,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id."""
-    kept = bottomk.near_duplicates(docs).where("kept").select(F.col("doc_id").alias(free_name(docs, "kept_id"))).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept.columns[0])), "left_semi")
+    """One document of each group of near-duplicates on shingles of five words: the one with the least id.
+
+    Rows are matched by id and text, so a null id or one id of several texts decides about its own text only."""
+    key = free_name(docs, "kept_row")
+    kept = bottomk.near_duplicates(docs, key=key).where("kept").select(key).distinct()
+    return docs.join(kept, bottomk.row_key() == F.col(key), "left_semi")
 
 
 def repeated_phrases(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
