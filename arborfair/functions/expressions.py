@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +31,8 @@ def text_literal(value: str) -> str:
 
 def at_most(column: str, threshold: float) -> str:
     """``column <= threshold`` as SQL text; false for null and NaN."""
-    return f"coalesce(double({quoted(column)}) <= {float(threshold)!r}D, false)"
+    value = f"{float(threshold)!r}D" if math.isfinite(threshold) else f"double('{float(threshold)!r}')"
+    return f"coalesce(double({quoted(column)}) <= {value}, false)"
 
 
 def is_category(column: str, category: str) -> str:

@@ -11,6 +11,7 @@ from ..session import Scratch
 from .binarize import BinaryFeatures
 from .cells import Order
 from .exact import MAX_CELLS, search
+from .forest import Forest
 from .greedy import grow, whole_table
 from .lookahead import check_depths
 from .patterns import compact
@@ -37,6 +38,10 @@ class TreeSet:
             raise IndexError(f"tree {index} asked for, {len(self.trees)} present")
         return self.trees[index].predict()
 
+    def score(self, df: DataFrame, count: int = 3, prefix: str = "prediction") -> DataFrame:
+        """``df`` and the predictions of the best ``count`` trees (all, if fewer), side by side in one pass."""
+        return Forest(self.trees[:count]).score(df, prefix)
+
     def table(self, spark: SparkSession) -> DataFrame:
         """``tree_id, rank, objective, n_leaves``."""
         rows = [(i, i + 1, t.objective, t.num_leaves()) for i, t in enumerate(self.trees)]

@@ -586,3 +586,17 @@ add("numeric_split_infinite", f"WITH {INFINITE} SELECT round(threshold, 8) AS th
 add("cart_infinite_values", f"WITH {INFINITE} SELECT round(threshold, 8) AS threshold, CAST(n AS BIGINT) AS n FROM best")
 add("missing_target_dropped", "SELECT o_orderkey, o_orderstatus AS y FROM orders WHERE o_orderstatus <> 'P'")
 add("numeric_columns_kept", "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+add("trees_side_by_side", f"""WITH {SCORED} SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'F' WHEN c_acctbal <= 2000 THEN 'TT' ELSE 'TF' END AS leaf,
+  p AS prediction_1, CASE WHEN c_acctbal <= 5000 THEN 0 ELSE 1 END AS prediction_2,
+  CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal > 2000 THEN 1 ELSE 0 END AS prediction_3 FROM scored""")
+add("positional_recipe", """WITH r AS (SELECT TRY_CAST(CASE WHEN o_orderkey % 3 = 0 THEN 'n/a' ELSE substr(o_orderpriority, 1, 1) END AS DOUBLE) AS priority,
+  CASE WHEN o_custkey % 5 = 0 THEN 7 END AS rare, CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END AS y FROM orders)
+SELECT y, coalesce(priority, (SELECT median(priority) FROM r)) AS priority, count(*) AS n,
+  (SELECT 'priority' || CASE WHEN count(rare) * 2 < count(*) THEN '' ELSE ',rare' END FROM r) AS features FROM r GROUP BY 1, 2""")
+add("projected_recipe", f"WITH {CUSTOMERS} SELECT c_custkey, c_acctbal, c_mktsegment, y FROM customers")
+add("prepared_fair_split", f"""WITH {CUSTOMERS},
+n AS (SELECT y, count(*) AS n FROM customers GROUP BY 1), t AS (SELECT CAST(ceil(0.25 * sum(n)) AS BIGINT) AS t, sum(n) AS total FROM n),
+f AS (SELECT y, CAST(floor(t * n / total) AS BIGINT) AS base, t, row_number() OVER (ORDER BY round(t * n / total - floor(t * n / total), 12) DESC, y) AS r FROM n, t),
+q AS (SELECT y, base + CASE WHEN r <= t - (SELECT sum(base) FROM f) THEN 1 ELSE 0 END AS quota FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(c_custkey || ':3'), c_custkey) AS r FROM customers)
+SELECT c_custkey, o.r <= q.quota AS is_test, r_name AS group_r_name, 'c_acctbal,nation,c_mktsegment' AS features FROM o JOIN q ON o.y = q.y""")

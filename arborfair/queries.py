@@ -11,6 +11,7 @@ from .functions.expressions import entropy, gini, variance
 from .operators import cleaning, fairness, metrics
 from .operators.binarize import fit_midpoints, kept_values, vocabulary
 from .operators.cart import fit_cart, fit_cart_on_tests
+from .operators.forest import Forest
 from .operators.greedy import feature_gains, rank_features
 from .operators.lookahead import greedy_tree, lookahead_tree, optimal_tree
 from .operators.patterns import compact
@@ -593,6 +594,23 @@ def leaf_assignment(spark, sf):
     return scored_customers(spark, sf).select("c_custkey", "leaf", "p")
 
 
+def segment_tree() -> Tree:
+    """A fixed tree of binary tests on :func:`customers`."""
+    return Tree({
+        "": TreeNode("", feature="c_mktsegment", is_numeric=False, left_categories=("BUILDING",)),
+        "T": TreeNode("T", feature="c_acctbal", is_numeric=True, threshold=2000.0),
+        "TT": TreeNode("TT", prediction=0), "TF": TreeNode("TF", prediction=1), "F": TreeNode("F", prediction=0),
+    }, "TF")
+
+
+@query
+def trees_side_by_side(spark, sf):
+    """Three trees of both kinds scored in one pass, with the leaf that the last of them reaches."""
+    forest = Forest([region_tree(), balance_tree(), segment_tree()])
+    data = customers(spark, sf).withColumn("leaf", F.get(forest.leaf_ids(), F.lit(2)))
+    return forest.score(data).select("c_custkey", "leaf", "prediction_1", "prediction_2", "prediction_3")
+
+
 @query
 def leaf_label_counts(spark, sf):
     return leaf_counts(customers(spark, sf), region_tree(), "y")
@@ -955,3 +973,29 @@ def missing_target_dropped(spark, sf):
 @query
 def numeric_columns_kept(spark, sf):
     return cleaning.drop_non_numeric(table(spark, sf, "customer"), keep=["c_mktsegment"])
+
+
+@query
+def positional_recipe(spark, sf):
+    """First column dropped by position, texts read as numbers, sparse columns dropped, the rest filled by medians."""
+    raw = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit("n/a")).otherwise(F.substring("o_orderpriority", 1, 1)).alias("priority"),
+        F.when(F.col("o_custkey") % 5 == 0, F.lit("7")).otherwise(F.lit("?")).alias("rare"), (F.col("o_custkey") % 3 == 0).cast("int").alias("y"))
+    recipe = recipes.Recipe("orders", "y", drop_first=1, coerce=("priority", "rare"), max_null_fraction=0.5, impute_median=True)
+    data = recipes.apply(recipe, raw)
+    return data.df.groupBy("y", "priority").agg(F.count("*").alias("n"), F.lit(",".join(data.features.all)).alias("features"))
+
+
+@query
+def projected_recipe(spark, sf):
+    """Chosen columns only, with the row id and the label."""
+    recipe = recipes.Recipe("customers", "y", select=("c_acctbal", "c_mktsegment"), row_id=("c_custkey",))
+    return recipes.apply(recipe, customers(spark, sf)).df
+
+
+@query
+def prepared_fair_split(spark, sf):
+    """Rows of both parts of a stratified split, and the features left without the sensitive column."""
+    data = recipes.prepare(customer_recipe(), customers(spark, sf), test_size=0.25, seed=3, fair=True)
+    both = data.train.withColumn("is_test", F.lit(False)).unionByName(data.test.withColumn("is_test", F.lit(True)))
+    return both.select("c_custkey", "is_test", "group_r_name", F.lit(",".join(data.features.all)).alias("features"))
