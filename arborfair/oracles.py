@@ -600,3 +600,5 @@ f AS (SELECT y, CAST(floor(t * n / total) AS BIGINT) AS base, t, row_number() OV
 q AS (SELECT y, base + CASE WHEN r <= t - (SELECT sum(base) FROM f) THEN 1 ELSE 0 END AS quota FROM f),
 o AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(c_custkey || ':3'), c_custkey) AS r FROM customers)
 SELECT c_custkey, o.r <= q.quota AS is_test, r_name AS group_r_name, 'c_acctbal,nation,c_mktsegment' AS features FROM o JOIN q ON o.y = q.y""")
+add("csv_round_trip", f"WITH {CUSTOMERS} SELECT r_name, c_custkey, c_acctbal, nation, c_mktsegment, y FROM customers")
+add("json_round_trip", "SELECT event_id, event_type, value, ['nofair', 'fair', 'lpfr'][event_id % 3 + 1] AS mode FROM events")

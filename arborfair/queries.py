@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,8 +36,8 @@ from .operators.treeset import near_optimal_trees
 from .plans import recipe as recipes
 from .plans import runs
 from .plans.workflow import RunConfig, train_and_evaluate
-from .session import Scratch
-from .sources import runlogs
+from .session import Scratch, shared_folder
+from .sources import runlogs, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -999,3 +1001,33 @@ def prepared_fair_split(spark, sf):
     data = recipes.prepare(customer_recipe(), customers(spark, sf), test_size=0.25, seed=3, fair=True)
     both = data.train.withColumn("is_test", F.lit(False)).unionByName(data.test.withColumn("is_test", F.lit(True)))
     return both.select("c_custkey", "is_test", "group_r_name", F.lit(",".join(data.features.all)).alias("features"))
+
+
+def _output_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors reach."""
+    folder = shared_folder(spark)
+    if folder is None:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="arborfair-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_round_trip(spark, sf):
+    """Rows written as CSV in a fixed column order, and read back with a given schema."""
+    path = _output_folder(spark, "csv")
+    columns = ["r_name", "c_custkey", "c_acctbal", "nation", "c_mktsegment", "y"]
+    sinks.write_csv(customers(spark, sf), path, columns)
+    return tables.read_csv(spark, path, "r_name string, c_custkey long, c_acctbal double, nation string, c_mktsegment string, y int")
+
+
+@query
+def json_round_trip(spark, sf):
+    """Rows written as JSON, one folder per output mode, and read back."""
+    path = _output_folder(spark, "json")
+    modes = F.array(*map(F.lit, _MODES))
+    e = table(spark, sf, "events").select("event_id", "event_type", "value", F.get(modes, (F.col("event_id") % 3).cast("int")).alias("mode"))
+    sinks.write_by_mode(e, path)
+    return spark.read.schema("event_id long, event_type string, value double, mode string").json(path)
