@@ -6,6 +6,9 @@ without a known pair is done, and its surviving symbols are its tokens.  Merges
 build on earlier ones, so all places of the lowest pair of a sequence can be merged in one round (left to right where
 they overlap).
 
+What is a letter depends on the Unicode version, so words with characters that Python's tables do not assign are counted by the
+library itself.
+
 Cases: a null or empty text has no tokens; special strings inside texts are one token each, as the library takes them by
 default; null ids and repeated rows are passed through; an empty table gives an empty result.
 """
@@ -19,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .common import attach, free_name
-from .units import Memo
+from .units import Memo, unassigned
 from .words import BLANK_WORDS, find_words
 
 FIELDS = "n_bytes long, n_tokens long, over_limit boolean"
@@ -56,6 +60,11 @@ class PairMerger:
         self._special = regex.compile(f"({special})") if special else None
         self._split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _BLANKS + r"\p{L}\p{N}]+")
         self._known: dict[str, int] = {}
+        self._path, self._library = path, None
+
+    def _library_count(self, text: str) -> int:
+        self._library = self._library or Tokenizer.from_file(self._path)
+        return len(self._library.encode(text, add_special_tokens=False).ids)
 
     def count(self, pretokens: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
@@ -89,14 +98,18 @@ class PairMerger:
         return out
 
     def pretokens(self, text: str) -> tuple[list[str], int]:
-        """Pre-tokens of a text, and its special tokens."""
+        """Pre-tokens of a text, and how many tokens it has besides: special ones, and those of parts the library counts."""
         parts = self._special.split(text) if self._special and self._special.search(text) else [text]
         found: list[str] = []
+        extra = len(parts) // 2
         for part in parts[::2]:
+            if unassigned(part):
+                extra += self._library_count(part)
+                continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # a sigma has no special end form here
             found.extend(self._split.findall(part.lower()))
-        return found, len(parts) // 2
+        return found, extra
 
     def count_texts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""

@@ -4,7 +4,7 @@ Words between ASCII blanks are tokenized apart from each other.  The words that
 all documents, merged once, and compiled into a minimal acyclic transducer: a deterministic automaton over bytes that shares prefixes
 and suffixes, with token ids written on its arcs as early as they are certain.  It is a flat file, which Spark hands to every executor and
 whose pages all Python workers of a machine map.  All distinct words of a piece of text walk through it together; a word that
-leaves it is merged exactly, lowest rank first.  So the lexicon's size (``LEXICON_WORDS``) decides about speed, never about ids.
+leaves it is merged exactly, lowest rank first (by the library itself if it has characters that Python's Unicode tables do not assign).  So the lexicon's size (``LEXICON_WORDS``) decides about speed, never about ids.
 
 Cases: a null or empty text has no ids and an empty decoded text; special strings inside texts are one id each, as the
 library takes them by default; null and repeated ids and repeated rows are passed through; a long text is read in parts cut at
@@ -24,8 +24,10 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import attach, free_name, keep, scratch, shared_folder, text_parts
+from .units import unassigned
 from .words import find_words
 
 #: Words of the lexicon, and bytes of the longest one.
@@ -57,6 +59,7 @@ class Merges:
         self._at_special = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._split = regex.compile(r"\n|" + split.replace(r"\s", r"\t-\r\x85\p{Z}"))
+        self._path, self._library = path, None
         self.tokens = {i: t for t, i in vocabulary.items()} | {i: t for t, i in self._special.items()}
 
     @staticmethod
@@ -74,10 +77,17 @@ class Merges:
                 found = [(m.start(), m.end(), self._special[m[0]]) for m in self._at_special.finditer(word)]
                 if found:
                     special[k], plain[k] = found, ""
+        unsure = [k for k, word in enumerate(words) if unassigned(word)] if unassigned("".join(words)) else []
+        for k in unsure:
+            special.pop(k, None)
+            plain[k] = ""
         flat, sizes = self._plain(plain)
-        if special:
+        if special or unsure:
             at = np.concatenate([[0], np.cumsum(sizes)])
             lists = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+            for k in unsure:
+                self._library = self._library or Tokenizer.from_file(self._path)
+                lists[k] = np.array(self._library.encode(words[k], add_special_tokens=False).ids, np.int64)
             for k, found in special.items():
                 cuts = [0, *(x for a, b, _ in found for x in (a, b)), len(words[k])]
                 between, n = self._plain([words[k][a:b] for a, b in zip(cuts[::2], cuts[1::2])])

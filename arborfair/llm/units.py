@@ -7,12 +7,20 @@ Python worker from task to task and emptied when full, so memory is bounded and
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 
 from .common import raw_bytes
 from .words import fingerprints
 
 
+def unassigned(text: str) -> bool:
+    """Whether a text has characters that Python's Unicode tables do not assign: libraries of other Unicode
+    versions may take them for letters, or change their case."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 class Memo:
     """An open-addressing table from 64-bit fingerprints to numbers, probed for whole arrays at once."""
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from arborfair.llm import language_id, pieces_viterbi, token_counts, token_files
+from arborfair.llm import language_id, pieces_viterbi, token_counts, token_files, transducer
 from arborfair.llm.units import Memo
 from arborfair.llm.words import BLANK_WORDS, PLAIN_WORDS, find_words, sliding_min, window_hashes
 
@@ -57,6 +57,18 @@ def test_token_counts_equal_the_library(texts):
     assert size.tolist() == [len(t.encode()) for t in texts]
 
 
+def test_characters_of_newer_unicode_versions():
+    """Whether U+3D000 is a letter depends on whose tables are asked."""
+    texts = ["\xd6R\U0003d000", "r\U0003d000 plain", "a<|endoftext|>R\U0003d000<|startoftext|>", "\U0003d000A 1\ua7cb"]
+    library = Tokenizer.from_file(WORDS)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert token_counts.count_column(pa.array(texts), WORDS)[1].tolist() == [len(ids) for ids in want]
+    words = [w for t in texts for w in t.split(" ")]
+    flat, sizes = transducer.Merges(WORDS).ids(words)
+    assert flat.tolist() == [i for ids in want for i in ids]
+    assert sizes.tolist() == [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(TEXT, min_size=1, max_size=5))
 def test_token_ids_equal_the_library(texts):
