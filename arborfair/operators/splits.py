@@ -38,6 +38,14 @@ class Statistics:
             texts = [f"count_if({y} = {c})" for c in range(self.n_classes)]
         return [F.expr(t).alias(s) for t, s in zip(texts, self.names)]
 
+    def weighted(self, y: str, n: str) -> list[Column]:
+        """The same statistics of rows that stand for ``n`` rows each."""
+        if self.n_classes is None:
+            texts = [f"double(coalesce(sum(if({y} IS NULL, 0L, {n})), 0L))", f"sum({y} * {n})", f"sum({y} * {y} * {n})"]
+        else:
+            texts = [f"coalesce(sum(if({y} = {c}, {n}, 0L)), 0L)" for c in range(self.n_classes)]
+        return [F.expr(t).alias(s) for t, s in zip(texts, self.names)]
+
     def size(self, s: list[str]) -> str:
         return s[0] if self.n_classes is None else plus(s)
 
@@ -392,3 +400,25 @@ def collect_best_splits(
     for r in sorted(rows, key=lambda r: (-r["score"], r["feature"], r["threshold"] or 0.0)):
         best.setdefault(r["node"], r)
     return list(best.values())
+
+
+def collect_best_tests(
+    df: DataFrame, keys: list[str], ranges: list[tuple[int, int, int]], sums: list[Column],
+    totals: list[tuple], stats: Statistics, min_leaf: int,
+) -> list[dict]:
+    """The binary test of largest gain per node, the first one on a tie.
+
+    ``df`` has a ``node`` and the positions ``keys`` of every pattern, ``sums`` are the statistics of a group of
+    patterns, and test ``fid`` holds in its range of positions.  Rows that fail it are on the left.
+    """
+    cells = ", ".join(f"struct({i} AS place, {k} AS position)" for i, k in enumerate(keys))
+    counted = df.selectExpr("*", f"explode(array({cells})) AS _c").selectExpr("*", "_c.place", "_c.position").groupBy(
+        "node", "place", "position").agg(*sums)
+    tests = df.sparkSession.createDataFrame(
+        [(fid, *r) for fid, r in enumerate(ranges)], "feature int, place int, low int, high int")
+    names, l, w = stats.names, stats.columns("l"), stats.columns("w")
+    holds = counted.join(F.broadcast(tests), "place").where("position BETWEEN low AND high").groupBy("node", "feature").agg(
+        *[F.sum(s).alias(s) for s in names])
+    left = _with_totals(holds, totals, stats).selectExpr("node", "feature", *[f"{b} - coalesce({s}, 0) AS {a}" for a, b, s in zip(l, w, names)])
+    best = F.expr("max_by(struct(*), struct(score, -feature)) AS _b")
+    return [r["_b"].asDict() for r in _score(left, totals, stats, min_leaf).groupBy("node").agg(best).select("_b").collect()]

@@ -2,6 +2,8 @@ import brute
 import numpy as np
 import pytest
 
+from arborfair.operators import cart
+from arborfair.operators.binarize import fit_midpoints
 from arborfair.operators.cart import fit_cart, fit_cart_on_tests
 
 
@@ -100,3 +102,33 @@ def test_inspection(spark):
     assert tree.table(spark).where("prediction IS NOT NULL").count() == tree.num_leaves()
     assert tree.used_features()[0] == tree.nodes[""].feature
     assert set(tree.to_dict()) >= {"feature", "true", "false"}
+
+
+@pytest.mark.parametrize("task, k", [("classification", 2), ("classification", 3), ("regression", 2)])
+def test_tests_on_patterns_equal_cart_on_all_answers(spark, task, k):
+    rows, y = data(11, n=300, k=k)
+    df = as_table(spark, rows, y)
+    options = dict(task=task, max_depth=3, min_samples_leaf=4, min_samples_split=10)
+    tree = fit_cart_on_tests(df, "y", ["a", "b"], ["c"], 50, **options)
+    tests = fit_midpoints(df, ["a", "b"], ["c"], 50)
+    names = [f"t{i}" for i in range(len(tests))]
+    wide = df.selectExpr("y", *[f"int({t}) AS {n}" for t, n in zip(tests.tests(), names)])
+    want = fit_cart(wide, "y", names, [], **options)
+    swap = str.maketrans("LR", "RL")
+    assert {p: n.n for p, n in tree.nodes.items()} == {p.translate(swap): n.n for p, n in want.nodes.items()}
+    for path, node in want.nodes.items():
+        got = tree.nodes[path.translate(swap)]
+        if node.is_leaf:
+            assert got.prediction == pytest.approx(node.prediction) and got.impurity == pytest.approx(node.impurity)
+        else:
+            assert got.fid == int(node.feature[1:])
+
+
+def test_tests_are_counted_on_patterns(spark, monkeypatch):
+    """What a level reads grows with the distinct answers, not with the rows."""
+    read = []
+    whole = cart.collect_best_tests
+    monkeypatch.setattr(cart, "collect_best_tests", lambda df, *rest: read.append(df.count()) or whole(df, *rest))
+    rows, y = data(8, n=4000)
+    fit_cart_on_tests(as_table(spark, rows, y), "y", ["a", "b"], ["c"], 3, max_depth=2)
+    assert read and max(read) <= 4 * 4 * 6 * 2
