@@ -1,12 +1,15 @@
 """Gradient boosting of small trees on numeric columns, with a split at any boundary between two values.
 
 A round fits one regression tree per class (one in all for two classes) to the gradients of the log loss, and gives each
-leaf its Newton step.  One level of all trees of a round is one pass over the training table: every task adds up rows,
-gradients and curvatures per (tree, node, column, bucket of values), and one shuffle brings the buckets of a column together.
+leaf its Newton step.  Rows whose values lie in the same buckets and that share their label are one *cell* with a count: no cut
+in use divides a cell, so its rows have the same margins.  One level of all trees of a round is one pass over
+the cells: every task adds up rows, gradients and curvatures per (tree, node, column, bucket of values), and one shuffle brings the
+buckets of a column together.
 
 The gain of a cut is convex in the sums on its left, so what a cut inside a bucket can gain is bounded by the corners of the box
 of sums which the bucket spans.  Only buckets whose bound reaches the best border are taken apart, in a second
-pass, and are finer from then on; the tree is that of all boundaries.  Sums are whole numbers (gradients in fixed point), so partitioning cannot change a tree.
+pass over their rows, and are finer from then on; the tree is that of all boundaries.  The rows of such buckets are set aside: they
+take the place of their cells, and second passes read nothing else.  Sums are whole numbers (gradients in fixed point), so partitioning cannot change a tree.
 
 Ties: the lowest column, then the lowest threshold.  Missing values and NaN fail every test, infinite values are values; rows without
 a label are left out; a table without rows, or of one class, has no trees.
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,8 @@ TASK_SUMS = 1 << 22
 #: An opened bucket becomes this many, as long as its column has no more than FINEST times the buckets of the start.
 PIECES = 32
 FINEST = 8
+#: Rows of opened buckets in one file, about.
+ROWS_ASIDE = 200_000
 #: Cuts must gain this share of a row's gradient on average.
 LEAST_GAIN = 1e-12
 _SLACK = 1 + 1e-9
@@ -151,14 +157,19 @@ class Booster:
     """Fits models on the columns ``x0, x1, ..`` of a table kept for the fit (``_y``, ``_w``, the columns)."""
 
     def __init__(self, kept: DataFrame, columns: int, n_classes: int, n_estimators: int, learning_rate: float,
-                 max_depth: int, edges: list[list[float]]):
+                 max_depth: int, edges: list[list[float]], scratch: Scratch):
         if max_depth < 1 or n_classes < 2:
             raise ValueError("boosting needs a depth of at least 1 and two classes")
         self.kept, self.columns, self.n_classes, self.max_depth = kept, columns, n_classes, max_depth
         self.n_estimators, self.learning_rate = n_estimators, learning_rate
         self.edges = [np.array(e, float) for e in edges]
+        self.first_edges, self.scratch = list(self.edges), scratch
         self.most_edges = FINEST * max([PIECES, *map(len, edges)])
-        counts = {r["_y"]: r["w"] for r in kept.groupBy("_y").agg(F.sum("_w").alias("w")).collect()}
+        self.coarse = scratch.keep(self._cells(kept), "cells")
+        # Buckets of the start that were opened, by column, and their rows.
+        self.opened: dict[int, set[int]] = {}
+        self.aside: list[DataFrame] = []
+        counts = {r["_y"]: r["w"] for r in self.coarse.groupBy("_y").agg(F.sum("_w").alias("w")).collect()}
         self.n_rows = sum(counts.values())
         self.prior: list[float] = []
         if sum(0 <= y < n_classes for y in counts) > 1:
@@ -194,15 +205,88 @@ class Booster:
         """The share of training rows whose class has the greatest margin."""
         if not model.prior:
             return 1.0
-        read = self._reader(model, [])
+        read, live = self._reader(model, []), self._live()
 
         def run(batches):
-            for batch in batches:
+            for batch in live(batches):
                 _, y, w, margins = read(batch)
                 said = (margins[0] >= 0).astype(np.int64) if len(margins) == 1 else margins.argmax(axis=0)
                 yield pa.RecordBatch.from_pydict({"w": pa.array([int(w[said == y].sum())], pa.int64())})
 
-        return (self.kept.mapInArrow(run, "w long").agg(F.sum("w")).first()[0] or 0) / self.n_rows
+        return (self._table().mapInArrow(run, "w long").agg(F.sum("w")).first()[0] or 0) / self.n_rows
+
+    # -- cells -------------------------------------------------------------------------------------
+
+    def _cells(self, rows: DataFrame) -> DataFrame:
+        """The rows between the same edges and of one label: their weight, and the least (``x``) and greatest (``hi``)
+        value of each column, null where it is missing."""
+        edges, columns = self.edges, range(self.columns)
+
+        def run(batches):
+            for batch in batches:
+                x = [batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in columns]
+                places = [np.where(np.isnan(v), len(e) + 1, np.searchsorted(e, v, "left")) for v, e in zip(x, edges)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *(pa.array(b.astype(np.int32)) for b in places)],
+                    names=[*batch.schema.names, *(f"b{i}" for i in columns)])
+
+        kinds = ", ".join(["_y int", "_w long", *(f"x{i} double" for i in columns), *(f"b{i} int" for i in columns)])
+        placed = rows.select("_y", "_w", *[f"x{i}" for i in columns]).mapInArrow(run, kinds)
+        return placed.groupBy("_y", *[f"b{i}" for i in columns]).agg(
+            F.sum("_w").alias("_w"), *[F.min(f"x{i}").alias(f"x{i}") for i in columns],
+            *[F.max(f"x{i}").alias(f"hi{i}") for i in columns],
+        ).select("_y", "_w", *[f"x{i}" for i in columns], *[f"hi{i}" for i in columns])
+
+    def _table(self) -> DataFrame:
+        """The cells, and the rows set aside as cells of their own; ``_live`` drops the cells that those replace."""
+        x, hi = [f"x{i}" for i in range(self.columns)], [f"hi{i}" for i in range(self.columns)]
+        rows = [df.selectExpr("_y", "_w", *x, *[f"{a} AS {b}" for a, b in zip(x, hi)], "false AS _cell") for df in self.aside]
+        return reduce(DataFrame.unionAll, rows, self.coarse.selectExpr("_y", "_w", *x, *hi, "true AS _cell"))
+
+    def _live(self):
+        edges, gone = self.first_edges, {}
+        for f, of in self.opened.items():
+            gone[f] = np.zeros(len(edges[f]) + 2, bool)
+            gone[f][sorted(of)] = True
+
+        def live(batches):
+            for batch in batches:
+                if gone:
+                    cell = batch.column("_cell").to_numpy(zero_copy_only=False)
+                    drop = np.zeros(len(batch), bool)
+                    for f, of in gone.items():
+                        x = batch.column(f"x{f}").to_numpy(zero_copy_only=False).astype(float)
+                        drop |= of[np.where(np.isnan(x), len(edges[f]) + 1, np.searchsorted(edges[f], x, "left"))]
+                    batch = batch.filter(pa.array(~(drop & cell)))
+                yield batch
+
+        return live
+
+    def _rows(self, opened: dict[int, set[int]]) -> DataFrame:
+        """The rows of buckets of the start, each once; those not set aside before are set aside now."""
+        new = {f: of - self.opened.get(f, set()) for f, of in opened.items()}
+        new = {f: of for f, of in new.items() if of}
+        if new:
+            found = self.kept.where(self._in_buckets(self.first_edges, new))
+            if self.opened:
+                found = found.where(f"NOT {self._in_buckets(self.first_edges, self.opened)}")
+            share = max(len(of) / (len(self.first_edges[f]) + 1) for f, of in new.items())
+            self.aside.append(self.scratch.keep(found.repartition(max(1, math.ceil(share * self.n_rows / ROWS_ASIDE))), "aside"))
+            self.opened = {f: self.opened.get(f, set()) | new.get(f, set()) for f in {*self.opened, *new}}
+        return reduce(DataFrame.unionAll, self.aside)
+
+    @staticmethod
+    def _in_buckets(edges: list[np.ndarray], buckets: dict[int, set[int]]) -> str:
+        """A condition (never null) that holds for the rows in any of the buckets of each column."""
+        parts = []
+        for f, of in sorted(buckets.items()):
+            ends = sorted(of)
+            runs = np.split(np.array(ends), np.flatnonzero(np.diff(ends) > 1) + 1)
+            for run in runs:
+                lo = f"x{f} > {_number(edges[f][run[0] - 1])}" if run[0] > 0 else "true"
+                hi = f"x{f} <= {_number(edges[f][run[-1]])}" if run[-1] < len(edges[f]) else "true"
+                parts.append(f"coalesce(x{f} IS NOT NULL AND {lo} AND {hi}, false)")
+        return f"({' OR '.join(parts)})"
 
     # -- one round ---------------------------------------------------------------------------------
 
@@ -271,13 +355,13 @@ class Booster:
         opened = [r for r in borders if r["bound"] is not None and r["bound"] * _SLACK > LEAST_GAIN * r["tn"]
                   and ((r["t"], r["node"]) not in top or r["bound"] * _SLACK >= top[r["t"], r["node"]]["gain"])]
         inner = self._inner(model, trees, level, opened) if opened else []
-        self._refine(inner)
         for r in inner:
             if r["gain"] is None:
                 continue
             key = (r["t"], r["node"])
             if key not in top or self._order(r) < self._order(top[key]):
                 top[key] = r
+        self._refine(inner, [(r["feature"], r["threshold"]) for r in top.values() if "pieces" in r])
         return top
 
     @staticmethod
@@ -291,7 +375,7 @@ class Booster:
 
     def _borders(self, model: Model, allowed: list[int], trees: list[BoostedTree], level: list[tuple[int, int]]) -> list[dict]:
         """The best border between buckets per node and column, and the buckets that may hide a better cut."""
-        place, width = self._placed(model, allowed, trees, level), max(len(self.edges[f]) for f in allowed) + 2
+        place, live, width = self._placed(model, allowed, trees, level), self._live(), max(len(self.edges[f]) for f in allowed) + 2
         number = {f: i for i, f in enumerate(allowed)}
         size = len(level) * len(allowed) * width
         names = ["t", "node", "feature", "bucket", "n", "g", "h", "neg", "pos", "lo", "hi"]
@@ -299,7 +383,7 @@ class Booster:
         def run(batches):
             sums = np.zeros((5, size), np.int64)
             lo, hi = np.full(size, np.inf), np.full(size, -np.inf)
-            for batch in batches:
+            for batch in live(batches):
                 x, buckets, found = place(batch)
                 for slot, rows, (n, g, h) in found:
                     for f in allowed:
@@ -307,7 +391,7 @@ class Booster:
                         for i, v in enumerate((n, g, h, np.minimum(g, 0), np.maximum(g, 0))):
                             sums[i] += _whole_sums(key, v, size)
                         np.fmin.at(lo, key, x[f][rows])
-                        np.fmax.at(hi, key, x[f][rows])
+                        np.fmax.at(hi, key, batch.column(f"hi{f}").to_numpy(zero_copy_only=False)[rows])
             used = np.flatnonzero(sums[0])
             at, bucket = used // width, used % width
             slot, feature = at // len(allowed), np.array(allowed)[at % len(allowed)]
@@ -320,7 +404,7 @@ class Booster:
         self_edges = self.edges
         schema = "t int, node int, feature int, bucket int, n long, g long, h long, neg long, pos long, lo double, hi double"
         # Tasks have added up already: the buckets of a column meet by one shuffle, in which no key is hot.
-        buckets = self.kept.mapInArrow(run, schema).repartition(*_KEYS).groupBy(*_KEYS, "bucket").agg(
+        buckets = self._table().mapInArrow(run, schema).repartition(*_KEYS).groupBy(*_KEYS, "bucket").agg(
             *[F.sum(s).alias(s) for s in ("n", "g", "h", "neg", "pos")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         by = ", ".join(_KEYS)
         swept = buckets.selectExpr(
@@ -346,6 +430,10 @@ class Booster:
         for r in opened:
             wanted[r["feature"]][slot_of[r["t"], r["node"]], r["bucket"]] = True
         open_nodes = np.array(level).reshape(-1, 2)
+        ends = {f: np.append(self.edges[f], np.inf) for f in columns}
+        of_start = {f: {int(np.searchsorted(self.first_edges[f], ends[f][r["bucket"]], "left"))
+                        for r in opened if r["feature"] == f} for f in columns}
+        source = self._rows(of_start)
 
         def run(batches):
             for batch in batches:
@@ -360,7 +448,7 @@ class Booster:
                             names=["t", "node", "feature", "bucket", "value", "n", "g", "h"])
 
         schema = "t int, node int, feature int, bucket int, value double, n long, g long, h long"
-        values = self.kept.mapInArrow(run, schema).groupBy(*_KEYS, "bucket", "value").agg(*[F.sum(s).alias(s) for s in _SUMS])
+        values = source.mapInArrow(run, schema).groupBy(*_KEYS, "bucket", "value").agg(*[F.sum(s).alias(s) for s in _SUMS])
         # One row per opened bucket: at most columns x buckets of the open nodes.
         names = [*_KEYS, "bucket", "bn", "bg", "bh", "tn", "tg", "th"]
         kinds = [pa.int32()] * 4 + [pa.int64()] * 6
@@ -381,12 +469,19 @@ class Booster:
             F.expr(f"percentile_approx(value, array({shares}), 1000) AS pieces")).select(*_KEYS, "pieces", "_b.*")
         return [r.asDict() for r in best.collect()]
 
-    def _refine(self, opened: list[dict]) -> None:
-        """Borders inside the buckets that were opened: later rounds mostly cut near the same places."""
+    def _refine(self, opened: list[dict], cuts: list[tuple[int, float]]) -> None:
+        """Borders at the cuts made inside buckets, and inside the buckets that were opened: later rounds mostly cut near
+        the same places."""
         for f in sorted({r["feature"] for r in opened}):
-            finer = np.union1d(self.edges[f], [e for r in opened if r["feature"] == f for e in r["pieces"] if math.isfinite(e)])
-            if len(finer) <= self.most_edges:
-                self.edges[f] = finer
+            finer = np.union1d(self.edges[f], [t for of, t in cuts if of == f])
+            pieces = np.union1d(finer, [e for r in opened if r["feature"] == f for e in r["pieces"] if math.isfinite(e)])
+            if len(pieces) <= self.most_edges:
+                finer = pieces
+            self.edges[f] = finer
+
+
+def _number(x: float) -> str:
+    return f"double('{float(x)!r}')" if math.isfinite(x) else f"double('{'-' if x < 0 else ''}Infinity')"
 
 
 def bucket_count(columns: int, n_classes: int, max_depth: int, buckets: int = BUCKETS) -> int:
@@ -407,4 +502,4 @@ def boost(df: DataFrame, label: str, numeric: list[str], n_classes: int, scratch
     names, count = [f"x{i}" for i in range(len(numeric))], bucket_count(len(numeric), n_classes, max_depth, buckets)
     found = kept.approxQuantile(names, [i / count for i in range(1, count)], 1 / (4 * count)) if names else []
     edges = [sorted({e for e in of or [] if math.isfinite(e)}) for of in found]
-    return Booster(kept, len(numeric), n_classes, n_estimators, learning_rate, max_depth, edges).fit()
+    return Booster(kept, len(numeric), n_classes, n_estimators, learning_rate, max_depth, edges, scratch).fit()

@@ -49,7 +49,7 @@ def eliminate(
     names = [f"x{i}" for i in range(len(thresholds))]
     answers = spread(df.where(F.col(label).isNotNull())).withColumn("_y", F.col(label).cast("int")).selectExpr("_y", *bits)
     kept = scratch.keep(answers.groupBy("_y", *names).agg(F.count(F.lit(1)).alias("_w")), "answers")
-    booster = Booster(kept, len(names), n_classes, n_estimators, learning_rate, max_depth, [[0.0]] * len(names))
+    booster = Booster(kept, len(names), n_classes, n_estimators, learning_rate, max_depth, [[0.0]] * len(names), scratch)
     left = list(range(len(names)))
     model = booster.fit()
     base, dropped = booster.accuracy(model), None

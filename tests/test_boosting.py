@@ -109,6 +109,19 @@ def test_opened_buckets_become_finer(spark, monkeypatch):
     assert opened and len(opened) < 12  # once split, most rounds need no second pass
 
 
+def test_passes_read_cells_and_opened_rows(spark, monkeypatch):
+    """Rows that agree in all buckets are read as one; of the others only those of opened buckets."""
+    rng = np.random.default_rng(4)
+    a, b = rng.random(6000), rng.integers(0, 5, 6000)
+    y = (a + 0.05 * b > 0.6).astype(int)
+    df = spark.createDataFrame([(int(t), float(v), float(k)) for t, v, k in zip(y, a, b)], "y int, a double, b double")
+    read, table = [], Booster._table
+    monkeypatch.setattr(Booster, "_table", lambda self: read.append(table(self).count()) or table(self))
+    with Scratch(spark) as scratch:
+        model = boost(df, "y", ["a", "b"], 2, scratch, 4, 0.3, 1, 64)
+    assert len(model.rounds) == 4 and len(read) == 4 and max(read) < 3000 and read[0] <= 64 * 5 * 2
+
+
 def test_degenerate_tables(spark):
     schema = "y int, a double"
     for rows in ([], [(1, 1.0), (1, 2.0)], [(0, None), (1, None)], [(0, 3.0), (1, 3.0)], [(None, 1.0), (None, 2.0)]):
