@@ -36,8 +36,11 @@ TASK_SUMS = 1 << 22
 #: An opened bucket becomes this many, as long as its column has no more than FINEST times the buckets of the start.
 PIECES = 32
 FINEST = 8
-#: Rows of opened buckets in one file, about.
+#: Tables of fewer rows are read whole in every pass: jobs cost more than rows there.
+SMALL_ROWS = 2_000_000
+#: Rows of opened buckets in one file, about, and the tables of them that are read side by side.
 ROWS_ASIDE = 200_000
+MOST_ASIDE = 8
 #: Cuts must gain this share of a row's gradient on average.
 LEAST_GAIN = 1e-12
 _SLACK = 1 + 1e-9
@@ -165,12 +168,14 @@ class Booster:
         self.edges = [np.array(e, float) for e in edges]
         self.first_edges, self.scratch = list(self.edges), scratch
         self.most_edges = FINEST * max([PIECES, *map(len, edges)])
-        self.coarse = scratch.keep(self._cells(kept), "cells")
         # Buckets of the start that were opened, by column, and their rows.
         self.opened: dict[int, set[int]] = {}
         self.aside: list[DataFrame] = []
-        counts = {r["_y"]: r["w"] for r in self.coarse.groupBy("_y").agg(F.sum("_w").alias("w")).collect()}
-        self.n_rows = sum(counts.values())
+        found = kept.groupBy("_y").agg(F.sum("_w").alias("w"), F.count(F.lit(1)).alias("n")).collect()
+        counts = {r["_y"]: r["w"] for r in found}
+        self.n_rows, size = sum(counts.values()), sum(r["n"] for r in found)
+        self.small = size <= SMALL_ROWS
+        self.coarse = None if self.small else scratch.keep(self._cells(kept), "cells")
         self.prior: list[float] = []
         if sum(0 <= y < n_classes for y in counts) > 1:
             share = [min(max(counts.get(c, 0) / self.n_rows, 1e-7), 1 - 1e-7) for c in range(n_classes)]
@@ -240,7 +245,10 @@ class Booster:
     def _table(self) -> DataFrame:
         """The cells, and the rows set aside as cells of their own; ``_live`` drops the cells that those replace."""
         x, hi = [f"x{i}" for i in range(self.columns)], [f"hi{i}" for i in range(self.columns)]
-        rows = [df.selectExpr("_y", "_w", *x, *[f"{a} AS {b}" for a, b in zip(x, hi)], "false AS _cell") for df in self.aside]
+        own = ["_y", "_w", *x, *[f"{a} AS {b}" for a, b in zip(x, hi)], "false AS _cell"]
+        if self.small:
+            return self.kept.selectExpr(*own)
+        rows = [df.selectExpr(*own) for df in self.aside]
         return reduce(DataFrame.unionAll, rows, self.coarse.selectExpr("_y", "_w", *x, *hi, "true AS _cell"))
 
     def _live(self):
@@ -264,17 +272,25 @@ class Booster:
 
     def _rows(self, opened: dict[int, set[int]]) -> DataFrame:
         """The rows of buckets of the start, each once; those not set aside before are set aside now."""
+        if self.small:
+            return self.kept
         new = {f: of - self.opened.get(f, set()) for f, of in opened.items()}
         new = {f: of for f, of in new.items() if of}
         if new:
             found = self.kept.where(self._in_buckets(self.first_edges, new))
             if self.opened:
                 found = found.where(f"NOT {self._in_buckets(self.first_edges, self.opened)}")
-            share = max(len(of) / (len(self.first_edges[f]) + 1) for f, of in new.items())
-            self.aside.append(self.scratch.keep(found.repartition(max(1, math.ceil(share * self.n_rows / ROWS_ASIDE))), "aside"))
+            self.aside.append(self.scratch.keep(found.repartition(self._files(new)), "aside"))
             self.opened = {f: self.opened.get(f, set()) | new.get(f, set()) for f in {*self.opened, *new}}
+            if len(self.aside) > MOST_ASIDE:
+                together = reduce(DataFrame.unionAll, self.aside).repartition(self._files(self.opened))
+                self.aside = [self.scratch.keep(together, "aside")]
         return reduce(DataFrame.unionAll, self.aside)
 
+    def _files(self, opened: dict[int, set[int]]) -> int:
+        share = sum(len(of) / (len(self.first_edges[f]) + 1) for f, of in opened.items())
+        return max(1, math.ceil(min(share, 1.0) * self.n_rows / ROWS_ASIDE))
+
     @staticmethod
     def _in_buckets(edges: list[np.ndarray], buckets: dict[int, set[int]]) -> str:
         """A condition (never null) that holds for the rows in any of the buckets of each column."""

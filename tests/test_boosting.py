@@ -114,12 +114,20 @@ def test_passes_read_cells_and_opened_rows(spark, monkeypatch):
     rng = np.random.default_rng(4)
     a, b = rng.random(6000), rng.integers(0, 5, 6000)
     y = (a + 0.05 * b > 0.6).astype(int)
+    a[:40], a[40:80], a[80:120] = math.nan, math.inf, -math.inf
     df = spark.createDataFrame([(int(t), float(v), float(k)) for t, v, k in zip(y, a, b)], "y int, a double, b double")
-    read, table = [], Booster._table
+    read, table, found = [], Booster._table, []
     monkeypatch.setattr(Booster, "_table", lambda self: read.append(table(self).count()) or table(self))
-    with Scratch(spark) as scratch:
-        model = boost(df, "y", ["a", "b"], 2, scratch, 4, 0.3, 1, 64)
-    assert len(model.rounds) == 4 and len(read) == 4 and max(read) < 3000 and read[0] <= 64 * 5 * 2
+    monkeypatch.setattr(boosting, "MOST_ASIDE", 1)
+    for small in (boosting.SMALL_ROWS, 0):
+        monkeypatch.setattr(boosting, "SMALL_ROWS", small)
+        read.clear()
+        for depth in (1, 2):
+            with Scratch(spark) as scratch:
+                found.append(boost(df, "y", ["a", "b"], 2, scratch, 4, 0.3, depth, 64).rounds)
+            if depth == 1:
+                assert len(read) == 4 and (max(read) < 3000 and read[0] <= 66 * 5 * 2) == (small == 0)
+    assert found[:2] == found[2:]
 
 
 def test_degenerate_tables(spark):
