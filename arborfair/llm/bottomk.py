@@ -10,12 +10,14 @@ least values of a set.  Documents with equal sets are one class from the start a
    values are seldom neighbours among the others.
 2. *Candidates.*  A list is not expanded into all its pairs.  In star rounds its members are compared with the member that
    has most in common with others and with one picked by hash; then only pairs of different components are left to
-   compare, and all of these are.
+   compare, and all of these are, sorted by size: sets of more than a quarter's difference never meet.
+   A list whose members are all of one component is closed and not read again.
    Every pair must pass an exact bound inside the join that makes it: the parities of the hash buckets of two sets differ in
    at most as many buckets as the sets differ in shingles.
 3. *Union sketch.*  The k least values of both sketches together estimate the similarity; pairs that share fewer
    than ``NEED`` of them are dropped (one linked pair in 10**9).
-4. *Exact Jaccard* on the full sets confirms what remains.
+4. *Exact Jaccard* on the full sets confirms what remains.  Sketches and texts are read where they lie and shuffled only if a
+   bitmap of fixed size allows that a pair asks for them.
 
 Cases: a null or empty text has the empty set and is linked with nothing but stays as a row; one word is one shingle;
 null ids take part and never name a component unless it has no other; rows that repeat an id are returned as often
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, pieces, scratch, strings
+from .common import keep, pieces, scratch
 from .components import components
 from .words import BLANK_WORDS, find_words, mix, window_hashes, window_starts
 
@@ -41,6 +43,10 @@ PARITIES = 512
 #: Words of a shingle, unless a caller asks for others.
 SHINGLE = 5
 _PER_CENT = 80
+#: Sets that may be linked are in the same or in neighbouring bands of sizes (a little wider than 100 / _PER_CENT).
+_BAND = 1.2501
+#: Bits of a node's number that choose its word in the bitmap of asked nodes.
+_WORD_BITS = 17
 
 
 def shingle_sets(column, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -107,31 +113,41 @@ def _may_link(a, b):
     return sizes & (differ * (100 + _PER_CENT) <= together * (100 - _PER_CENT))
 
 
-def _exact(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs ``(u, v)`` whose full sets are similar enough."""
+def _asked(table: DataFrame, node, pairs: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose ``node`` may be an end of ``pairs``: all that are, and few others while ends are few."""
+    word = lambda n: F.shiftrightunsigned(n, 64 - _WORD_BITS)
+    bit = lambda n: F.shiftrightunsigned(n, 58 - _WORD_BITS).bitwiseAND(63).cast("int")
+    ends = pairs.select(F.col("u").alias("end")).unionAll(pairs.select("v"))
+    bits = ends.groupBy(word("end").alias("asked_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("end")))).alias("asked_bits"))
+    marked = table.withColumns({"asked_at": word(node), "asked_bit": bit(node)})
+    there = F.call_function("shiftrightunsigned", F.col("asked_bits"), F.col("asked_bit")).bitwiseAND(1) == 1
+    return marked.join(F.broadcast(bits), (F.col("asked_at") == F.col("asked_word")) & there).select(*table.columns)
+
+
+def _exact(pairs: DataFrame, narrow: DataFrame, shingle: int) -> DataFrame:
+    """The pairs ``(u, v)`` whose full sets are similar enough; ``narrow`` has the texts of all rows.  Each text that pairs ask
+    for is cut into shingles once."""
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text_u"):
-                ids = np.concatenate([part.column("u").to_numpy(), part.column("v").to_numpy()])
-                _, at, back = np.unique(ids, return_index=True, return_inverse=True)
-                both = pa.concat_arrays([strings(part.column("text_u")), strings(part.column("text_v"))])
-                h, first = shingle_sets(both.take(pa.array(at)), shingle)
-                sets = [h[i:j] for i, j in zip(first[:-1], first[1:])]
-                n = part.num_rows
-                alike = []
-                for k, (i, j) in enumerate(zip(back[:n].tolist(), back[n:].tolist())):
-                    inner = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * inner >= _PER_CENT * (len(sets[i]) + len(sets[j]) - inner):
-                        alike.append(k)
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(alike, pa.int64())) for c in (part.column("u"), part.column("v"))], names=["u", "v"])
-
-    named = lambda end: texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
-    return pairs.join(named("v"), "v").join(named("u"), "u").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+            for piece in pieces(batch):
+                h, first = shingle_sets(piece.column("text"), shingle)
+                sets = pa.LargeListArray.from_arrays(pa.array(first.astype(np.int64)), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([piece.column("node"), sets], names=["node", "shingles"])
+
+    ends = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
+    texts = _asked(narrow, F.col("row_key"), pairs).select(F.col("row_key").alias("node"), "text")
+    texts = texts.join(ends, "node", "left_semi").dropDuplicates(["node"])
+    sets = keep(texts.mapInArrow(run, "node long, shingles array<bigint>"), "sets")
+    named = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}"))
+    joined = pairs.join(named("v"), "v").join(named("u"), "u")
+    counted = joined.select("u", "v", F.size(F.array_intersect("set_u", "set_v")).cast("long").alias("both"), (F.size("set_u").cast("long") + F.size("set_v")).alias("together"))
+    return counted.where(100 * F.col("both") >= _PER_CENT * (F.col("together") - F.col("both"))).select("u", "v")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, sketch: int) -> DataFrame:
     """Pairs ``(u, v)`` that the union sketch leaves possible."""
-    named = lambda end: classes.select(F.col("node").alias(end), F.col("sketch").alias(f"s_{end}"))
+    held = _asked(classes.select("node", "sketch"), F.col("node"), pairs)
+    named = lambda end: held.select(F.col("node").alias(end), F.col("sketch").alias(f"s_{end}"))
     joined = pairs.join(named("v"), "v").join(named("u"), "u")
     union = F.slice(F.array_sort(F.array_union("s_u", "s_v")), 1, sketch)
     counted = joined.select("u", "v", F.size(union).alias("k"), F.size(F.array_intersect(F.array_intersect(union, F.col("s_u")), F.col("s_v"))).alias("both"))
@@ -139,6 +155,27 @@ def _alike(pairs: DataFrame, classes: DataFrame, sketch: int) -> DataFrame:
     return counted.where(enough).select("u", "v")
 
 
+def _open(listed: DataFrame) -> DataFrame:
+    """The lists that hold more than one component, with all their members."""
+    several = listed.groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("value")
+    return listed.join(several, "value", "left_semi")
+
+
+def _compared(open_lists: DataFrame) -> DataFrame:
+    """All pairs ``(u, v)`` of different components that share a list and may be linked."""
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(_BAND)))
+    rest = ["value", "node", "component", "n_shingles", "odd", "keys"]
+    left = open_lists.select(*rest, band.alias("band"), F.lit(0).alias("below")).alias("a")
+    # Each member meets those of its own band that follow it, and all of the band below.
+    right = open_lists.select(*rest, F.posexplode(F.array(band, band - 1)).alias("below", "band")).alias("b")
+    a, b = ({c: F.col(f"{side}.{c}") for c in [*rest, "band", "below"]} for side in "ab")
+    # A pair that shares several lists comes out of the first of them only.
+    once = a["value"] == F.array_min(F.array_intersect(a["keys"], b["keys"]))
+    follows = (b["below"] == 1) | (a["node"] < b["node"])
+    pairs = left.join(right, (a["value"] == b["value"]) & (a["band"] == b["band"]) & follows & (a["component"] != b["component"]) & _may_link(a, b) & once)
+    return pairs.select(F.least(a["node"], b["node"]).alias("u"), F.greatest(a["node"], b["node"]).alias("v"))
+
+
 def row_key(doc_id="doc_id", text="text"):
     """The number that stands for an id together with its text."""
     return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
@@ -159,8 +196,6 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         classes = keep(rows.where("n_shingles > 0").groupBy(*name).agg(
             F.min("row_key").alias("node"), F.any_value("sketch").alias("sketch"), F.any_value("odd").alias("odd"), F.min("doc_id").alias("least_id")), "classes")
         postings = _postings(classes)
-        texts = keep(narrow.join(postings.select(F.col("node").alias("row_key")).distinct(), "row_key", "left_semi")
-                     .select(F.col("row_key").alias("node"), "text").dropDuplicates(["node"]), "texts")
 
         links, tested = None, None
         for round_number in range(3):
@@ -168,7 +203,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                 listed = postings.withColumn("component", F.col("node"))
             else:
                 labels = components(links)
-                listed = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+                listed = keep(_open(listed.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))), "open")
             if round_number < 2:
                 # All lists agree on how they prefer nodes, so a group of copies tends to share its leaders.
                 rest = ["node", "component", "n_shingles", "odd"]
@@ -181,22 +216,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                                     & _may_link(here, F.col("lead"))).select(
                     F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
             else:
-                several = keep(listed.groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-                               .where("a <> b").select("value"), "open")
                 keys = classes.where(F.size("sketch") > 1).select("node", _neighbours().alias("keys"))
-                open_lists = keep(listed.join(several, "value", "left_semi").join(keys, "node"), "open")
-                left, right = open_lists.alias("a"), open_lists.alias("b")
-                a, b = ({c: F.col(f"{side}.{c}") for c in ("value", "node", "component", "n_shingles", "odd", "keys")} for side in "ab")
-                # A pair that shares several lists comes out of the first of them only.
-                once = a["value"] == F.array_min(F.array_intersect(a["keys"], b["keys"]))
-                pairs = left.join(right, (a["value"] == b["value"]) & (a["node"] < b["node"]) & (a["component"] != b["component"]) & _may_link(a, b) & once)
-                pairs = pairs.select(a["node"].alias("u"), b["node"].alias("v"))
+                pairs = _compared(keep(listed.join(keys, "node"), "open"))
             pairs = pairs.distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["u", "v"], "left_anti")
-            possible = keep(_alike(pairs, classes, sketch), "pairs")
+            possible = keep(_alike(keep(pairs, "candidates"), classes, sketch), "pairs")
             tested = possible if tested is None else tested.unionAll(possible)
-            found = keep(_exact(possible, texts, shingle), "links")
+            found = keep(_exact(possible, narrow, shingle), "links")
             links = found if links is None else links.unionAll(found)
 
         labels = components(links)

@@ -92,6 +92,39 @@ def test_near_duplicates_of_odd_rows(odd_docs, odd_rows, no_docs):
     assert bottomk.near_duplicates(no_docs).collect() == []
 
 
+def test_later_rounds_read_open_lists_and_asked_texts_only(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(40)]
+        rows += [" ".join(base), " ".join(base[:-1] + [f"e{g}"])]
+    rows += [" ".join(f"a{rnd.randrange(10 ** 9)}" for _ in range(30)) + " of the and" for _ in range(20)]
+    kept, keep = [], bottomk.keep
+
+    def counting(df, name, **options):
+        table = keep(df, name, **options)
+        kept.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(bottomk, "keep", counting)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in bottomk.near_duplicates(df, shingle=2).collect()}
+    assert got == {i: i - i % 2 if i < 60 else i for i in range(len(rows))}
+    leaders = [n for name, n in kept if name == "leaders"]
+    assert len(leaders) == 2 and leaders[0] > 0
+    assert leaders[1] <= 6  # all copies are linked by then, their lists are closed
+    assert [n for name, n in kept if name == "sets"] == [60, 0, 0]  # texts are cut for candidates only
+
+
+def test_last_round_compares_sizes_that_may_link(spark):
+    rnd = random.Random(4)
+    rows = [(7, k, k, n, [0] * (bottomk.PARITIES // 64), [7]) for k, n in enumerate(rnd.choices([2, 3, 4, 5, 9, 10, 11, 40, 49, 50, 51, 10 ** 7, 125 * 10 ** 5], k=60))]
+    lists = spark.createDataFrame(rows, "value long, node long, component long, n_shingles long, odd array<bigint>, keys array<bigint>")
+    got = sorted((r.u, r.v) for r in bottomk._compared(lists).collect())
+    size = [r[3] for r in rows]
+    assert got == [(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * min(size[i], size[j]) >= 80 * max(size[i], size[j])]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7), (300, 301), (301, 300)]
     df = spark.createDataFrame(chain, "u long, v long")
